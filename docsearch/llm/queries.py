@@ -8,16 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch.llm import mixing, neardup, pieces, pii, quality, scans
+from docsearch.llm import audio, chat, mixing, neardup, pieces, pii, quality, scans, topk, webtext
 from docsearch.llm.common import table
 
 MIX = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.report(table(spark, sf_dir, "documents"))
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.threads(table(spark, sf_dir, "conversations"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
     shares = [F.round(F.element_at("posteriors", k + 1), 6).alias(f"p_{d}") for k, d in enumerate(MIX)]
@@ -28,6 +40,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), neardup.Setting(words=3, percent=85))
 
@@ -48,7 +64,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_secret_scans, op5_mixing, op6_sentencepiece, op8_minhash_neardup, op9_pii, op10_quality, pipeline)
+    ops = (
+        op1_html_extraction, op2_secret_scans, op3_quotation_linking, op4_exact_topk, op5_mixing, op6_sentencepiece,
+        op7_audio_features, op8_minhash_neardup, op9_pii, op10_quality, pipeline,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -85,6 +104,17 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 FROM t LEFT JOIN agg USING (r)
 """
 
+_OP4 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 #: Brute force: all pairs of documents that share a shingle; components by repeated minima.
 _OP8 = r"""
 WITH RECURSIVE t AS (
@@ -106,4 +136,4 @@ FROM t JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": _OP2, "op8_minhash_neardup": _OP8}
+    return {"op2_secret_scans": _OP2, "op4_exact_topk": _OP4, "op8_minhash_neardup": _OP8}
