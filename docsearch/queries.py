@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch.functions import paths, patterns, text
@@ -27,10 +27,15 @@ STRICT = Settings(fuzzy_terms=False, fuzzy_near=False)
 
 def query(name: str, sql: str | None = None, with_corpus: bool = True) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            global c, p
+            c, p = F.col("content"), F.col("file_path")  # columns need a running session, so they can't be made on import
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = (f"WITH {CORPUS} " if with_corpus else "") + sql
-        return f
+        return run
 
     return keep
 
@@ -44,15 +49,17 @@ def on_corpus(name: str, sql: str | None = None) -> Callable[[Callable[[DataFram
     return keep
 
 
-c, p = F.col("content"), F.col("file_path")
+#: The columns content and file_path; set when a query runs.
+c: Column
+p: Column
 
 
-def filtered(name: str, test: Callable[[], F.Column] | F.Column, sql: str) -> None:
+def filtered(name: str, test: Callable[[], Column], sql: str) -> None:
     """Registers a filter over the corpus: the ids that pass."""
-    on_corpus(name, f"SELECT doc_id FROM corpus WHERE {sql}")(lambda d: d.filter(test() if callable(test) else test).select("doc_id"))
+    on_corpus(name, f"SELECT doc_id FROM corpus WHERE {sql}")(lambda d: d.filter(test()).select("doc_id"))
 
 
-def computed(name: str, value: Callable[[], F.Column], sql: str, kind: str | None = None) -> None:
+def computed(name: str, value: Callable[[], Column], sql: str, kind: str | None = None) -> None:
     """Registers a computed column over the corpus: doc_id and value."""
     column = (lambda: value().cast(kind)) if kind else value
     on_corpus(name, f"SELECT doc_id, {sql} AS value FROM corpus")(lambda d: d.select("doc_id", column().alias("value")))
@@ -166,7 +173,7 @@ ESTION_THE = ("contains(w, 'estion')", "contains(w, 'the')")
 FOR_AND = ("contains(w, 'for')", "contains(w, 'and')")
 
 
-def near_query(name: str, test: Callable[[], F.Column], sql: str | None) -> None:
+def near_query(name: str, test: Callable[[], Column], sql: str | None) -> None:
     on_corpus(name, sql)(lambda d: d.filter(test()).select("doc_id"))
 
 
@@ -289,7 +296,7 @@ on_corpus("d11_matched_lines", f"SELECT doc_id, CAST(line_no AS INTEGER) AS line
 _AT = "(instr(lower(content), 'estion') - 1)"
 
 
-def at_first(name: str, value: Callable[[F.Column], F.Column], sql: str) -> None:
+def at_first(name: str, value: Callable[[Column], Column], sql: str) -> None:
     on_corpus(name, f"SELECT doc_id, {sql.replace('@', _AT)} AS value FROM corpus WHERE contains(lower(content), 'estion')")(
         lambda d: d.filter(F.lower("content").contains("estion")).select("doc_id", value(F.instr(F.lower("content"), "estion") - 1).alias("value"))
     )

@@ -33,7 +33,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan(spark: SparkSession, path: str | list[str], extensions: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """file_path, size, mtime, content of all files below ``path``. One extension or several become a glob of the file lister.
-    Spark passes over names that begin with . or _. Depth counts the segments below the root; None or 0: any depth."""
+    Spark passes over names that begin with . or _ and over empty files. Depth counts the segments below the root; None or 0: any depth."""
     roots = [path] if isinstance(path, str) else list(path)
     read = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if extensions:
