@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 #: Rows of eight-byte keys that a broadcast may hold (about 32 MB in memory).
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that one step of an Arrow operator holds at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of one Arrow batch between Spark and a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _own_dirs: dict[str, str] = {}
 

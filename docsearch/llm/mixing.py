@@ -136,12 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column
     return Classifier(domains, vocabulary, mean, scale, w, b)
 
 
-def memberships(docs: DataFrame, model: Classifier | None, domains: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def memberships(docs: DataFrame, model: Classifier | None, domains: list[str], keep: tuple[str, ...] = ("doc_id",), moves: np.ndarray | None = None, max_rate: float | None = None) -> DataFrame:
     """The columns ``keep``, n_tokens (words of the text) and posteriors (array of double, in the order of ``domains``) of every
-    row of ``docs``. Null and empty texts have no tokens. Without a model all posteriors are equal."""
+    row of ``docs``, and with the ``moves`` of ``fit_rates`` its rate. Null and empty texts have no tokens. Without a model all
+    posteriors are equal."""
     ready(docs.sparkSession)
-    schema = with_fields(docs.select(*keep).schema, "n_tokens long, posteriors array<double>")
-    names = [*keep, "n_tokens", "posteriors"]
+    schema = with_fields(docs.select(*keep).schema, "n_tokens long, posteriors array<double>" + ", rate double" * (moves is not None))
+    names = schema.names
     k = len(domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,8 @@ def memberships(docs: DataFrame, model: Classifier | None, domains: list[str], k
                 n = np.diff(words(part, o)[2])
                 p = np.full((j - i, k), 1 / k) if model is None else model.posteriors(part, o)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * k), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(n.astype(np.int64)), lists], names)
+                rate = [] if moves is None else [pa.array(_replay(p, moves, max_rate))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(n.astype(np.int64)), lists, *rate], names)
 
     return docs.select(*keep, text_or_empty().alias("_t")).mapInArrow(run, schema)
 
@@ -209,8 +211,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float], budget: float | Non
 
 
 def with_rates(members: DataFrame, moves: np.ndarray, max_rate: float | None = None) -> DataFrame:
-    """``members`` with rate (double) and copies (long): the whole part of rate plus a share in [0, 1) that is fixed by a hash of
-    doc_id, so that the expected number of copies is the rate. A null doc_id counts as an id of its own."""
+    """``members`` with rate (double)."""
     place = members.columns.index("posteriors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +221,14 @@ def with_rates(members: DataFrame, moves: np.ndarray, max_rate: float | None = N
             r = _replay(p.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), moves, max_rate) if len(p) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*b.schema.names, "rate"])
 
+    return members.mapInArrow(run, with_fields(members.schema, "rate double"))
+
+
+def copies() -> Column:
+    """How often a row with doc_id and rate is taken: the whole part of rate plus a share in [0, 1) that is fixed by a hash of
+    doc_id, so that the expected number is the rate. A null doc_id counts as an id of its own."""
     u = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    return members.mapInArrow(run, with_fields(members.schema, "rate double")).withColumn("copies", F.floor(F.round(F.col("rate"), 6) + u).cast("long"))
+    return F.floor(F.round(F.col("rate"), 6) + u).cast("long")
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float | None = None, budget: float | None = None, domain: Column | None = None) -> DataFrame:
@@ -229,7 +236,7 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rat
     Repeated rows have equal results; empty tables give an empty result; without labels all posteriors are equal."""
     domains = list(weights)
     members = cut(memberships(docs, train(docs, labels, domains, domain), domains))
-    return with_rates(members, fit_rates(members, weights, budget, max_rate), max_rate)
+    return with_rates(members, fit_rates(members, weights, budget, max_rate), max_rate).withColumn("copies", copies())
 
 
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float | None = 1.0, budget: float | None = None, domain: Column | None = None) -> DataFrame:
@@ -239,6 +246,6 @@ def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_
     model = train(docs, labels, domains, domain)
     moves = fit_rates(cut(memberships(docs, model, domains, ())), weights, budget, max_rate)
     packed = docs.select(F.struct(*docs.columns).alias(held), "doc_id", "text")
-    rated = with_rates(memberships(packed, model, domains, (held, "doc_id")), moves, max_rate)
+    rated = memberships(packed, model, domains, (held, "doc_id"), moves, max_rate).withColumn("copies", copies())
     taken = rated.filter("copies > 0").select(held, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_n"))
     return taken.select(f"{held}.*")

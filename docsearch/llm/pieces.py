@@ -25,8 +25,8 @@ from docsearch.llm.common import buffer_of, ready, slices, text_or_empty
 
 MARK = "▁"
 #: Words of one generation of a worker's cache; the older of two generations goes when the newer is full.
-CACHE_WORDS = 500_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 400_000
 
 
 class Codec:
