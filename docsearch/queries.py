@@ -580,12 +580,10 @@ def _w8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    import os
-
     from docsearch.streaming import search as streaming
 
-    schema = read_table(spark, sf_dir, name).schema
-    return streaming.read_documents(spark, f"{sf_dir}/{name}*.parquet" if not os.path.isdir(f"{sf_dir}/{name}.parquet") else f"{sf_dir}/{name}.parquet", schema)
+    # a pattern that matches the table alone: a stream's source takes patterns, but no single file
+    return streaming.read_documents(spark, f"{sf_dir}/[{name[0]}]{name[1:]}.parquet", read_table(spark, sf_dir, name).schema)
 
 
 def _to_end(stream: DataFrame, mode: str) -> DataFrame:
