@@ -166,11 +166,11 @@ def _replay(p: np.ndarray, steps: np.ndarray, top: float | None) -> np.ndarray:
     return r
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], budget: float | None = None, max_rate: float | None = None, steps: int = 80, tolerance: float = 1e-4) -> np.ndarray:
+def fit_rates(members: DataFrame, weights: dict[str, float], budget: float | None = None, max_rate: float | None = None, steps: int = 60, tolerance: float = 1e-3) -> np.ndarray:
     """The steps (rows) of the projected gradient for a table with n_tokens and posteriors, whose order of domains is that of
     ``weights``. ``budget``: the token total to reach; by default as many as are there, or with a ``max_rate`` of R, the most
     that the domain of the largest weight allows: R times its expected tokens over its weight. Ends when every domain's total is
-    within ``tolerance`` of the budget or a step improves the loss by less than a thousandth."""
+    within ``tolerance`` of the budget or a step improves the loss by less than half a hundredth."""
     k = len(weights)
     share = np.array(list(weights.values()), float)
     share = share / share.sum()
@@ -203,7 +203,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float], budget: float | Non
     for _ in range(steps):
         e = residual(done)
         loss = float((scale * e * e).sum())
-        if np.abs(e).max() <= tolerance * budget / total or before - loss <= 1e-3 * loss:
+        if np.abs(e).max() <= tolerance * budget / total or before - loss <= 5e-3 * loss:
             break
         before = loss
         done = np.vstack([done, np.round(rate * scale * e, 9)])

@@ -61,17 +61,16 @@ def passage_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     # from the first byte of a passage's first word to the first byte of the next passage, or the document's end
     lo, hi = starts[head], np.minimum(np.concatenate([starts[head[1:]], [len(buf)]]), offs[doc_of[head] + 1])
     kind = _CLASS[buf]
-    size = (hi - lo).astype(np.float32)
-    for c in range(CLASSES):
-        sums = np.concatenate([[0], np.cumsum(kind == c, dtype=np.int32)])
-        x[row, c] = (sums[hi] - sums[lo]) / size
-    group = _GROUP[kind].astype(np.uint8)
-    pair = np.empty(len(buf), np.uint8)
-    pair[:-1] = group[:-1] * 6 + group[1:]
-    pair[-1] = 255
-    for c in range(36):
-        sums = np.concatenate([[0], np.cumsum(pair == c, dtype=np.int32)])
-        x[row, CLASSES + c] = (sums[np.maximum(hi - 1, lo)] - sums[lo]) / size
+    size = (hi - lo).astype(np.float32)[:, None]
+    edges = np.column_stack([lo, hi]).ravel()
+    spans = np.diff(np.concatenate([[0], edges, [len(buf)]]))
+    none = len(head)  # bytes between passages
+    owner = np.repeat(np.concatenate([np.column_stack([np.full(none, none), np.arange(none)]).ravel(), [none]]), spans)
+    x[row, :CLASSES] = np.bincount(owner * CLASSES + kind, minlength=(none + 1) * CLASSES).reshape(-1, CLASSES)[:none] / size
+    group = _GROUP[kind]
+    owner[hi - 1] = none  # the last byte of a passage has none after it
+    pair = owner[:-1] * 36 + group[:-1] * 6 + group[1:]
+    x[row, CLASSES : CLASSES + 36] = np.bincount(pair, minlength=(none + 1) * 36).reshape(-1, 36)[:none] / size
     lens = (ends - starts).astype(np.float32)
     mean = lambda v: np.add.reduceat(v.astype(np.float32), head) / count
     same = np.zeros(len(starts), bool)
