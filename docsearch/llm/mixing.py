@@ -245,7 +245,7 @@ def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_
     domains, held = list(weights), "_held"
     model = train(docs, labels, domains, domain)
     moves = fit_rates(cut(memberships(docs, model, domains, ())), weights, budget, max_rate)
-    packed = docs.select(F.struct(*docs.columns).alias(held), "doc_id", "text")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(held), "doc_id", "text")
     rated = memberships(packed, model, domains, (held, "doc_id"), moves, max_rate).withColumn("copies", copies())
     taken = rated.filter("copies > 0").select(held, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_n"))
     return taken.select(f"{held}.*")

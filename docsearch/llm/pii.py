@@ -243,18 +243,23 @@ def pseudonyms(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text") ->
 
     pattern = F.lit(PATTERN)
     found = F.when(cut_up, F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), replaced))
-    out = docs.withColumn("_text", text_or_empty(column)).withColumn("_found", found)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_or_empty(f"`{column}`").alias("_text"))
+    packed = packed.withColumn("_found", found)
     gaps = F.split(text, PATTERN, -1)
     filled = F.array_join(F.zip_with(gaps, F.col("_found"), lambda g, f: F.concat(g, F.coalesce(f["new"], f["old"], F.lit("")))), "")
     good = F.filter(F.coalesce(F.col("_found"), F.array().cast("array<struct<kind:string,new:string,old:string>>")), lambda f: f["new"].isNotNull())
-    return out.withColumns({
+    made = {
         column: F.when(F.coalesce(F.size("_found"), F.lit(0)) > 0, filled).otherwise(text),
         "pii_kinds": F.transform(good, lambda f: f["kind"]),
         "pii_values": F.transform(good, lambda f: f["new"]),
-    }).drop("_text", "_found")
+    }
+    old = {c: F.col("_row").getField(c) for c in docs.columns}
+    return packed.select(*(value.alias(name) for name, value in (old | made).items()))
 
 
 def mask(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """``docs`` (columns of documents) with pseudonyms in text and the matching n_chars."""
-    out = pseudonyms(docs, key).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """``docs`` (columns of documents, and any others, which stay) with pseudonyms in text and the matching n_chars."""
+    hidden = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    out = pseudonyms(hidden, key)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

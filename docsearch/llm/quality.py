@@ -178,11 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model
     return fit(np.concatenate(bags).astype(np.float64), at, np.array([y for y, _ in parts], float))
 
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns doc_id, score and the columns in ``keep``. Null and empty texts are scored as a passage without words;
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and score. Null and empty texts are scored as a passage without words;
     without a model every score is 0.5. Nothing but the text decides a score."""
     ready(docs.sparkSession)
-    names = ["doc_id", *[c for c in keep if c != "doc_id"]]
+    names = list(keep)
     if model is None:
         return docs.select(*names, F.lit(0.5).alias("score"))
     plain = Model(model.mean.astype(np.float32), model.scale.astype(np.float32), {k: v.astype(np.float32) for k, v in model.params.items()})
@@ -208,5 +208,5 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Dat
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, limit: int = TRAIN_DOCS) -> DataFrame:
     """The rows of ``docs`` with a score of ``least`` or more, with the columns they had."""
-    scored = score(docs, train(docs, labels, limit), tuple(docs.columns))
-    return scored.filter(F.col("score") >= least).select(*docs.columns)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
+    return score(packed, train(docs, labels, limit), ("_row",)).filter(F.col("score") >= least).select("_row.*")

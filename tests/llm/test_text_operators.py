@@ -83,6 +83,7 @@ def test_quality_edges(spark):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows.values())
     assert all(rows[i].predicted == int(i < 20) for i in range(40))
     assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    docs = docs.withColumns({"score": F.lit("x"), "_row": F.lit(1), "a.b": F.lit(2)})
     kept = quality.keep_good(docs, known)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(20)) and not {r.doc_id for r in kept.collect()} & set(range(20, 40))
 
@@ -228,9 +229,9 @@ def test_feistel_is_the_stated_permutation(spark):
 
 
 def test_mask_keeps_columns(spark):
-    docs = documents(spark, ["a@b.cd", None])
+    docs = documents(spark, ["a@b.cd", None]).withColumns({"_text": F.lit("x"), "_found": F.lit(1), "pii_kinds": F.lit("y"), "a.b": F.lit(2)})
     out = pii.mask(docs)
-    assert out.columns == docs.columns and [r.n_chars for r in out.orderBy("doc_id").collect()] == [6, 0]
+    assert out.columns == docs.columns and [(r.n_chars, r._text, r._found) for r in out.orderBy("doc_id").collect()] == [(6, "x", 1), (0, "x", 1)]
     assert pii.mask(documents(spark, [])).count() == 0
     assert "Python" not in out._jdf.queryExecution().toString() and "Pandas" not in out._jdf.queryExecution().toString()
 
