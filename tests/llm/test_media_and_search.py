@@ -40,6 +40,8 @@ def test_marked_pages(spark):
 def test_unclosed_markup():
     assert webtext.read_blocks('<div class="ad">buy<p>text') == [(False, "buy"), (False, "text")]
     assert webtext.read_blocks("<div><nav>menu</div><p>text</p>") == [(False, "text")]
+    assert webtext.read_blocks('<div class="with-sidebar"><nav>menu</nav><main>text</main></div>') == [(True, "text")]
+    assert webtext.read_blocks('<main>text</main><div class="comments"><article>me</article></div>') == [(True, "text")]
     assert webtext.read_blocks("<p>a < b and c<!-- open") == [(False, "a < b and c")]
 
 
