@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import text_or_empty
+from docsearch.llm.common import cut, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = B
     """``versions`` (repeated rows stay) with blob, and for each rule its spans (an empty array if none). The ledger's found rows
     are joined to all paths and versions of a blob; texts take no part in the join."""
     per_rule = [F.first(F.when(F.col("rule") == r.name, F.col("spans")), ignorenulls=True).alias(f"_{r.name}") for r in rules]
-    hit = ledger.filter(F.size("spans") > 0).groupBy("blob").agg(*per_rule)
+    hit = cut(ledger.filter(F.size("spans") > 0).groupBy("blob").agg(*per_rule))  # a table of its own: Spark can then split a blob with very many paths
     keyed = blobs_of(versions)
     out = keyed.drop("text").join(hit, "blob", "left")
     return out.withColumns({f"{r.name}_spans": F.coalesce(F.col(f"_{r.name}"), F.array().cast(SPAN)) for r in rules}).drop(*(f"_{r.name}" for r in rules))
@@ -119,6 +119,6 @@ def report(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     """doc_id, n_{rule} for each rule, base_sha256 and spans of every row of ``documents`` (doc_id, text; others are ignored).
     The base rules are all rules here, so base_sha256 is the digest of spans."""
     versions = documents.select("doc_id", "text")
-    out = findings(versions, update(versions, ledger, rules), rules)
+    out = findings(versions, cut(update(versions, ledger, rules)), rules)
     counts = [F.size(f"{r.name}_spans").cast("long").alias(f"n_{r.name}") for r in rules]
     return out.select("doc_id", *counts, listed(rules).alias("spans")).withColumn("base_sha256", F.sha2("spans", 256))
