@@ -48,9 +48,10 @@ def op_stats(ops: DataFrame) -> DataFrame:
 
 
 def op_totals(ops: DataFrame) -> DataFrame:
-    """name, calls, total, average, percent of all. The share is taken over the grouped rows, one for each name."""
+    """name, calls, total, average, percent of all. The whole is a scalar subquery over the same rows, so that any number of names
+    stays distributed."""
     by = ops.groupBy("name").agg(F.sum("duration").alias("total"), F.count("*").alias("calls"), F.avg("duration").alias("average"))
-    whole = F.sum("total").over(W.partitionBy())
+    whole = ops.agg(F.sum("duration")).scalar()
     return by.withColumn("percent", F.when(whole != 0, F.col("total") * 100 / whole).otherwise(0.0))
 
 
