@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column
     A document with several labels counts in the domain that is least by name."""
     ready(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), (label_domain() if domain is None else domain).alias("_d")).dropna()
-    known = known.filter(F.col("_d").isin(domains)).groupBy("_id").agg(F.min("_d").alias("_d"))
+    present = docs.select(F.col("doc_id").alias("_id")).dropna().distinct()  # an earlier stage may have dropped labelled documents
+    known = known.filter(F.col("_d").isin(domains)).groupBy("_id").agg(F.min("_d").alias("_d")).join(present, "_id", "left_semi")
     counts = {r["_d"]: r["count"] for r in known.groupBy("_d").count().collect()}  # one row for each domain
     parts = [known.filter(F.col("_d") == d).orderBy(F.xxhash64("_id"), "_id").limit(limit // len(domains)) for d in domains]
     sample = parts[0]

@@ -183,11 +183,17 @@ BLOCK = 512
 
 def confirm_blocks(members: DataFrame, setting: Setting) -> DataFrame:
     """Links (a, b) between classes of one ``area`` but different ``comp``, enough of them to join what is linked.
-    ``members``: cls, grams, area, comp. An area is dealt into blocks of about BLOCK classes, and a task compares two blocks:
-    intersections are products of incidence matrices, in steps of a bounded number of shingles."""
-    sizes = members.groupBy("area").agg(F.count("*").alias("size"), F.count_distinct("comp").alias("comps")).filter("comps > 1")
-    dealt = members.join(sizes, "area").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    ``members``: cls, grams, area, comp. An area is dealt into blocks of about BLOCK classes, those of its largest component apart
+    from the others; blocks of the largest component meet the others only. A task compares two blocks: intersections are
+    products of incidence matrices, in steps of a bounded number of shingles."""
+    counts = members.groupBy("area", "comp").agg(F.count("*").alias("n"))
+    areas = counts.groupBy("area").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count("*").alias("comps"))
+    sizes = areas.filter("comps > 1").select("area", "main", F.ceil(F.col("most") / BLOCK).alias("p"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("q"))
+    hashed = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    main = F.col("comp") == F.col("main")
+    dealt = members.join(sizes, "area").withColumn("block", F.when(main, hashed("p")).otherwise(F.col("p") + hashed("q")))
+    first = F.when(main, F.col("p")).otherwise(F.lit(0).cast("long"))
+    other = F.explode(F.sequence(first, F.col("p") + F.col("q") - 1)).alias("other")
     pairs = dealt.select("area", "cls", "comp", "grams", "block", other).select("area", "cls", "comp", "grams", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     percent = setting.percent
 
