@@ -191,7 +191,7 @@ def confirm_blocks(members: DataFrame, setting: Setting) -> DataFrame:
     sizes = areas.filter("comps > 1").select("area", "main", F.ceil(F.col("most") / BLOCK).alias("p"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("q"))
     hashed = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
     main = F.col("comp") == F.col("main")
-    dealt = members.join(sizes, "area").withColumn("block", F.when(main, hashed("p")).otherwise(F.col("p") + hashed("q")))
+    dealt = members.join(small(cut(sizes)), "area").withColumn("block", F.when(main, hashed("p")).otherwise(F.col("p") + hashed("q")))
     first = F.when(main, F.col("p")).otherwise(F.lit(0).cast("long"))
     other = F.explode(F.sequence(first, F.col("p") + F.col("q") - 1)).alias("other")
     pairs = dealt.select("area", "cls", "comp", "grams", "block", other).select("area", "cls", "comp", "grams", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
