@@ -137,9 +137,10 @@ def brute(texts, k, percent):
     return [len(s) for s in sets], [top(a) for a in range(len(sets))]
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 512), (5, 80, 3)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, percent, block):
     rng = random.Random(k)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
     texts = list(EDGES)
