@@ -6,12 +6,14 @@ come from 2 x GROUPS bands: the number of minhash values is about the square roo
 Two documents meet in a table exactly if they share a band in both collections, which the plan uses: bands that one document
 alone has are dropped before any table key is formed.
 
-Documents with equal word sequences form a class, and only classes are compared. In a table bucket each class is tried with
-one root of the bucket, never with all others. Pairs that set sizes and sketches don't rule out are the candidates:
+Documents with equal word sequences form a class, and only classes are compared. Pairs that set sizes and sketches don't rule
+out are the candidates:
 
-1. each class is confirmed on full shingle sets against its best candidate, and the links found are joined to components;
-2. classes that candidates connect, but confirmed links don't, are compared exactly, block by block (``confirm_blocks``),
-   leaving out pairs that one component holds already.
+1. in a table bucket each class is tried with one root of the bucket; candidates join classes to areas;
+2. in buckets that still hold classes of several areas, each class is tried with all those of other areas, block by block
+   (``rest_of_buckets``): so every two classes that meet in a bucket are in one area, or are ruled out;
+3. each class is confirmed on full shingle sets against its best candidate, and the links found are joined to components;
+4. classes of one area, but of different components, are compared exactly, block by block (``confirm_blocks``).
 
 So a group of copies costs about one comparison a copy; no step lists the pairs of a group, and no cap is set on a bucket.
 """
@@ -177,29 +179,94 @@ def confirm(pairs: DataFrame, sets: DataFrame, setting: Setting) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(100 * common >= setting.percent * union).select("a", "b")
 
 
-#: Classes of one block of ``confirm_blocks``.
+#: Classes of one block of ``rest_of_buckets`` and ``confirm_blocks``.
 BLOCK = 512
 
 
-def confirm_blocks(members: DataFrame, setting: Setting) -> DataFrame:
-    """Links (a, b) between classes of one ``area`` but different ``comp``, enough of them to join what is linked.
-    ``members``: cls, grams, area, comp. An area is dealt into blocks of about BLOCK classes, those of its largest component apart
-    from the others; blocks of the largest component meet the others only. A task compares two blocks: intersections are
-    products of incidence matrices, in steps of a bounded number of shingles."""
-    counts = members.groupBy("area", "comp").agg(F.count("*").alias("n"))
-    areas = counts.groupBy("area").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count("*").alias("comps"))
-    sizes = areas.filter("comps > 1").select("area", "main", F.ceil(F.col("most") / BLOCK).alias("p"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("q"))
+def _block_pairs(members: DataFrame, group: str, part: str) -> DataFrame:
+    """``members`` (cls, {group}, {part}, others) with block, lo and hi: a row for each pair of blocks (lo, hi) that its own block
+    is in. A group is dealt into blocks of about BLOCK classes, those of its largest part apart from the others; blocks of the
+    largest part meet the others only. Groups of one part have no rows."""
+    counts = members.groupBy(group, part).agg(F.count("*").alias("n"))
+    groups = counts.groupBy(group).agg(F.max_by(part, F.struct("n", part)).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count("*").alias("parts"))
+    sizes = groups.filter("parts > 1").select(group, "main", F.ceil(F.col("most") / BLOCK).alias("p"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("q"))
     hashed = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
-    main = F.col("comp") == F.col("main")
-    dealt = members.join(small(cut(sizes)), "area").withColumn("block", F.when(main, hashed("p")).otherwise(F.col("p") + hashed("q")))
+    main = F.col(part) == F.col("main")
+    dealt = members.join(small(cut(sizes)), group).withColumn("block", F.when(main, hashed("p")).otherwise(F.col("p") + hashed("q")))
     first = F.when(main, F.col("p")).otherwise(F.lit(0).cast("long"))
     other = F.explode(F.sequence(first, F.col("p") + F.col("q") - 1)).alias("other")
-    pairs = dealt.select("area", "cls", "comp", "grams", "block", other).select("area", "cls", "comp", "grams", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    pairs = dealt.select(*members.columns, "block", other)
+    return pairs.select(*members.columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
+def _labels(parts: list, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each part, and which pairs are to be compared: those of different parts, and where a task has two blocks, of
+    different blocks (pairs inside a block have a task of their own)."""
+    number = {c: k for k, c in enumerate(dict.fromkeys(parts))}
+    label = np.array([number[c] for c in parts])
+    open_ = label[:, None] != label[None, :]
+    if block.min() != block.max():
+        open_ &= block[:, None] != block[None, :]
+    return label, open_
+
+
+def _spanning(good: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs marked in ``good``, enough to join all parts that they join."""
+    root = list(range(int(label.max()) + 1))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(good)), strict=True):
+        p, q = top(label[x]), top(label[y])
+        if p != q:
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
+def rest_of_buckets(in_buckets: DataFrame, areas: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
+    """Candidates (a, b, agree) between classes of one table bucket but different areas, enough of them to join what such pairs
+    join. ``in_buckets``: table_key, cls, root (the class that the others of its bucket were tried with); ``areas``: node, root."""
+    left = _labelled(in_buckets.filter("cls <> root").select("table_key", "cls"), areas, "area")
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "cls")).alias(f"mark_{seed}") for seed in (1, 2)]
+    held = left.groupBy("table_key").agg(F.min("area").alias("x"), F.max("area").alias("y"), F.count("*").alias("size"), *marks)
+    # one of the buckets that hold the same classes is enough
+    open_ = held.filter("x <> y").groupBy("size", "mark_1", "mark_2").agg(F.min("table_key").alias("table_key")).select("table_key")
+    members = cut(left.join(open_, "table_key", "left_semi"))
+    info = classes.select("cls", F.col("n").alias("n_grams"), "mins")
+    pairs = _block_pairs(members, "table_key", "area").join(info, "cls")
+    percent, least = setting.percent, setting.agree
+
+    def compare(t: pa.Table) -> pa.Table:
+        cls = t.column("cls").to_pylist()
+        label, good = _labels(t.column("area").to_pylist(), t.column("block").to_numpy())
+        n = t.column("n_grams").to_numpy()
+        good &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        mins = t.column("mins").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+        agree = np.zeros(good.shape, np.int16)
+        for column in np.ascontiguousarray(mins.T) if good.any() else ():
+            agree += column[:, None] == column[None, :]
+        found = [(*sorted((cls[x], cls[y])), int(agree[x, y])) for x, y in _spanning(good & (agree >= least), label)]
+        a, b, same = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "agree": pa.array(same, pa.int32())})
+
+    return pairs.groupBy("table_key", "lo", "hi").applyInArrow(compare, "a binary, b binary, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def confirm_blocks(members: DataFrame, setting: Setting) -> DataFrame:
+    """Links (a, b) between classes of one ``area`` but different ``comp``, enough of them to join what is linked.
+    ``members``: cls, grams, area, comp. A task compares two blocks (``_block_pairs``): intersections are products of incidence
+    matrices, in steps of a bounded number of shingles."""
+    pairs = _block_pairs(members.select("area", "cls", "comp", "grams"), "area", "comp")
     percent = setting.percent
 
     def compare(t: pa.Table) -> pa.Table:
-        cls, comp = t.column("cls").to_pylist(), t.column("comp").to_pylist()
-        block = t.column("block").to_numpy()
+        cls = t.column("cls").to_pylist()
         grams = t.column("grams").combine_chunks()
         lens = np.diff(grams.offsets.to_numpy())
         owner = np.repeat(np.arange(len(cls)), lens)
@@ -218,25 +285,8 @@ def confirm_blocks(members: DataFrame, setting: Setting) -> DataFrame:
             inter += m @ m.T
         inter = inter.astype(np.int64)
         union = lens[:, None] + lens[None, :] - inter
-        number = {c: k for k, c in enumerate(dict.fromkeys(comp))}
-        label = np.array([number[c] for c in comp])
-        good = (100 * inter >= percent * union) & (label[:, None] != label[None, :])
-        if block.min() != block.max():
-            good &= block[:, None] != block[None, :]  # pairs inside a block have a task of their own
-        root = list(range(len(number)))
-
-        def top(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        out = []
-        for x, y in zip(*np.nonzero(np.triu(good)), strict=True):
-            p, q = top(label[x]), top(label[y])
-            if p != q:
-                root[p] = q
-                out.append((cls[x], cls[y]))
+        label, good = _labels(t.column("comp").to_pylist(), t.column("block").to_numpy())
+        out = [(cls[x], cls[y]) for x, y in _spanning(good & (100 * inter >= percent * union), label)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     return pairs.groupBy("area", "lo", "hi").applyInArrow(compare, "a binary, b binary")
@@ -251,9 +301,12 @@ def _labelled(frame: DataFrame, parts: DataFrame, name: str) -> DataFrame:
 def class_links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
     """(node, root) for the classes that have a confirmed link."""
     in_buckets = cut(buckets(classes, setting))
-    roots = in_buckets.groupBy("table_key").agg(F.min("cls").alias("a"))
-    tried = in_buckets.join(roots, "table_key").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    likely = cut(candidates(tried, classes, setting))
+    roots = in_buckets.groupBy("table_key").agg(F.min("cls").alias("root"))
+    rooted = cut(in_buckets.join(roots, "table_key"))
+    tried = rooted.filter("root <> cls").select(F.col("root").alias("a"), F.col("cls").alias("b")).distinct()
+    first = cut(candidates(tried, classes, setting))
+    rest = cut(rest_of_buckets(rooted, components(first), classes, setting))
+    likely = first.unionByName(rest)
     sets = cut(candidate_sets(likely, docs, classes, setting))
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
     links = cut(confirm(best, sets, setting))

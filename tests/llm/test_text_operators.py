@@ -180,6 +180,17 @@ def test_blocks_find_chains(spark):
 # --- pseudonyms -----------------------------------------------------------------------------------------------------------------
 
 
+def test_pair_among_longer_holders_of_its_passage(spark):
+    rng = random.Random(8)
+    tail = lambda n: " ".join(f"t{rng.randrange(10**9)}" for _ in range(n))
+    passage = tail(300)
+    pair = (f"{passage} {tail(10)}" for _ in range(1000))
+    pair = [t for t in pair if neardup._class(t.encode()) > b"\xf0"][:2]  # never the least class of a bucket with a holder
+    texts = [f"{passage} {tail(110)}" for _ in range(1500)] + pair
+    got = {r.doc_id: r.component_id for r in neardup.link(documents(spark, texts), neardup.Setting(5, 85)).collect()}
+    assert got == {i: i for i in range(1501)} | {1501: 1500}
+
+
 def luhn(number):
     total = 0
     for i, d in enumerate(reversed([int(x) for x in number if x.isdigit()])):
