@@ -284,6 +284,15 @@ def test_rates_match_plain_projected_gradient(spark):
     assert np.abs((q * n) @ p / n.sum() - got).max() < 0.002
 
 
+def test_rates_meet_each_target_by_its_own_size(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 300)
+    n = rng.integers(1, 50, 300)
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posteriors array<double>")
+    r = mixing._replay(p, mixing.fit_rates(members, {"a": 0.5, "b": 0.3, "c": 0.2}), None)
+    assert np.abs((r * n) @ p / n.sum() / [0.5, 0.3, 0.2] - 1).max() < 1.1e-4
+
+
 def test_mixing_without_rows(spark):
     none = labels(spark, [])
     weights = {"clean": 0.5, "toxic": 0.5}
