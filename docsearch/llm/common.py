@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,21 @@ SLICE_BYTES = 1 << 20
 #: Bytes of one Arrow batch between Spark and a Python worker.
 BATCH_BYTES = 4 << 20
 
+#: Spark's own bound of a batch, which ``ready`` lowers; a bound that the user has set stays.
+SPARKS_BATCH = "67108864b"
+
 _own_dirs: dict[str, str] = {}
+_paths: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary folder of this application."""
+    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary folder of this application. On a cluster such a
+    folder would be another one on every machine, so an unset spark.checkpoint.dir is an error there."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="docsearch-")
@@ -40,7 +48,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/docsearch/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and that no later step reads."""
+    for df in tables:
+        known, path = _paths.pop(id(df), (lambda: None, ""))
+        if known() is df:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +68,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, and ships this package where the workers would not find it by themselves."""
+    """Bounds Arrow batches by bytes where the session has Spark's default, and ships this package where the workers would not find
+    it by themselves. Spark reads the bound when a lazy result is run, so it can't be set back before."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key)
-    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+    if spark.conf.get(key) == SPARKS_BATCH:
         spark.conf.set(key, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     places = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]

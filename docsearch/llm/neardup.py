@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import buffer_of, cut, ready, slices, small, text_or_empty
+from docsearch.llm.common import buffer_of, cut, discard, ready, slices, small, text_or_empty, with_fields
 from docsearch.llm.components import components
 from docsearch.llm.wordbytes import constants, mix, shingles, word_hashes, words
 
@@ -313,34 +313,69 @@ def class_links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFr
     parts = components(links)
     members = _labelled(_labelled(sets, parts, "comp"), components(likely), "area")
     more = cut(confirm_blocks(members, setting))
-    return components(links.unionByName(more))
+    if not more.isEmpty():
+        parts = components(links.unionByName(more))
+    discard(in_buckets, rooted, first, rest, sets)
+    return parts
 
 
-def link(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (columns doc_id, text; others are ignored).
-
-    component_id is the smallest doc_id that links reach, the own one included; kept: doc_id = component_id. Rows without words
-    (null, empty or blank texts) have no shingles and no links. Rows with a null doc_id are linked with nothing: their
-    component_id is null and they are kept. Repeated rows have equal results. An empty table gives an empty result."""
+def _members(docs: DataFrame, setting: Setting) -> DataFrame:
+    """doc_id, cls, n (shingles) and component_id of every row of ``docs``; component_id is null for rows without words or doc_id."""
     drawn = cut(sketch(docs, setting))
     some = drawn.filter("doc_id is not null and n > 0")
     classes = cut(some.groupBy("cls").agg(F.min(F.struct("doc_id", "n", "bands", "mins")).alias("x")).select("cls", "x.*"))
     linked = _labelled(classes.select("cls", "doc_id"), class_links(docs, classes, setting), "root")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = cut(linked.join(least, "root").select("cls", "component_id"))
-    out = drawn.select("doc_id", "cls", "n").join(of_class, "cls", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    discard(classes)
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id"))
+    return drawn.select("doc_id", "cls", "n").join(of_class, "cls", "left").select("doc_id", "cls", "n", own.alias("component_id"))
+
+
+def link(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (columns doc_id, text; others are ignored).
+
+    component_id is the smallest doc_id that links reach, the own one included; kept: doc_id = component_id. Rows without words
+    (null, empty or blank texts) have no shingles and no links. Rows with a null doc_id are linked with nothing: their
+    component_id is null and they are kept. Repeated rows have equal results. An empty table gives an empty result."""
+    out = _members(docs, setting).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _with_class(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column _row, with _id and cls."""
+    ready(docs.sparkSession)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls = pa.array([_class(t.encode()) for t in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cls], ["_row", "_id", "cls"])
+
+    return packed.mapInArrow(run, with_fields(packed.select("_row", "_id").schema, "cls binary"))
+
+
 def drop_copies(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows with a null doc_id stay. Rows that
-    repeat both doc_id and text become one; which of their other columns stay is open."""
-    gone = cut(link(docs, setting).filter("not kept").select("doc_id").distinct())
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    """One row of each group of near-duplicates: the one with the smallest doc_id (of several texts with that doc_id, one of them).
+    Rows with a null doc_id and rows without words are in no group and stay. A doc_id may stand on several texts: each row is
+    kept or dropped for its own text. Of rows that repeat both doc_id and words one stays; which of their other columns stay is
+    open."""
+    rows = cut(_members(docs, setting).filter("component_id is not null").select("doc_id", "cls", "component_id").distinct())
+    again = cut(_repeated(docs))
+    gone = small(cut(rows.filter("doc_id <> component_id").select("doc_id").distinct().join(again, "doc_id", "left_anti")).withColumnRenamed("doc_id", "_gone"))
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     if again.isEmpty():
         return left
-    again = small(again)
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    again = small(again.withColumnRenamed("doc_id", "_again"))
+    on = F.col("doc_id").cast("long") == F.col("_again")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "cls")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.cls").alias("cls"))
+    several = _with_class(left.join(again, on, "left_semi"))
+    blank = F.col("cls") == F.lit(_class(b""))
+    kept = several.filter(~blank).join(first, ["_id", "cls"], "left_semi").dropDuplicates(["_id", "cls"]).unionByName(several.filter(blank), allowMissingColumns=True)
+    return left.join(again, on, "left_anti").unionByName(kept.select("_row.*"))
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """The doc_ids that stand on more than one row."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna()
+    return ids.groupBy("doc_id").count().filter("count > 1").select("doc_id")

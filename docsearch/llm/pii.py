@@ -3,15 +3,18 @@
 Validated numbers and dates are permuted within their own format by a keyed Feistel network: a payment card becomes another
 number that passes the Luhn check, an IPv4 address another address, a date another date of 1800 to 2199 in the same notation.
 The permutation depends on the key, the kind and the value alone, so equal values stay linked across documents, and different
-values stay different. Letters and digits of an e-mail's local part and of an IBAN are permuted the same way, class by class.
+values stay different. Letters and digits of an e-mail's local part and of an IBAN are permuted the same way, each within its
+alphabet, upper case staying upper case (addresses that differ in case only are linked); domains and country codes stay.
 What looks like such data but fails its check (a wrong Luhn or IBAN digit, the 31st of February) stays as it is.
 
-A text is cut once by one pattern into gaps and matches; only matches are computed on, and texts without a digit or an @
-are not cut at all.
+A text is cut twice. First e-mails, IBANs and runs of digits are matched; in a run every valid card between its separators is
+found, from the left, the longest first, and of an IBAN's match only what its country's length covers is taken. What is left
+between these is cut for dates, IPv4 addresses, social security and phone numbers. Texts without a digit or an @ are not cut.
 """
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,25 +23,49 @@ from pyspark.sql import functions as F
 from docsearch.llm.common import text_or_empty
 
 ROUNDS = 10
-DEFAULT_KEY = "replace this key in production"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_LOCAL = r"[\p{L}0-9._%+-]"
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+_LOCAL = r"[\p{L}\p{M}0-9._%+-]"
+_LABEL = r"[\p{L}0-9](?:[\p{L}\p{M}0-9-]*[\p{L}\p{M}0-9])?"
+#: Stands for what the first cut has replaced; where a text has this character itself, it is put back the same way.
+_HOLE = "\ue000"
 #: kind: (what must not stand before, the pattern, what must not follow). Earlier kinds win at the same place.
-PATTERNS: dict[str, tuple[str, str, str]] = {
-    "email": (_LOCAL, rf"{_LOCAL}++@{_LABEL}(?:\.{_LABEL})+", ""),
+_FIRST: dict[str, tuple[str, str, str]] = {
+    "hole": ("", _HOLE, ""),
+    "email": (_LOCAL, rf"{_LOCAL}++@{_LABEL}(?:\.{_LABEL})++", ""),
     "iban": (r"[\p{L}0-9]", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"[\p{L}0-9]"),
+    "card": (r"[0-9]|[0-9][ -]", r"[0-9](?:[ -]?[0-9]){12,}+", ""),
+}
+_SECOND: dict[str, tuple[str, str, str]] = {
     "date": (r"[0-9/.-]", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})", r"[0-9/-]|\.[0-9]"),
     "ipv4": (r"[0-9.]", rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"[0-9]|\.[0-9]"),
     "ssn": (r"[0-9-]", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]|-[0-9]"),
     "phone": (r"[0-9+]", r"(?:(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})", r"[0-9]"),
-    "card": (r"[0-9]", r"[0-9](?:[ -]?[0-9]){12,18}", r"[0-9]"),
 }
-KINDS = tuple(PATTERNS)
-PATTERN = "|".join(f"(?<!{before}){body}" + (f"(?!{after})" if after else "") for before, body, after in PATTERNS.values())
-
-_LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+KINDS = ("email", "iban", "card", *_SECOND)
+
+
+def _any_of(kinds: dict[str, tuple[str, str, str]]) -> str:
+    return "|".join((f"(?<!{before})" if before else "") + body + (f"(?!{after})" if after else "") for before, body, after in kinds.values())
+
+
+#: Characters of an IBAN by country.
+IBAN_LENGTH = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BI=27, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DJ=27, DK=18, DO=28,
+    EE=20, EG=29, ES=24, FI=18, FK=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27,
+    JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MN=20, MR=27, MT=31, MU=30, NI=28, NL=18,
+    NO=15, OM=23, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, RU=33, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SO=23, ST=25, SV=28,
+    TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
+#: Calling codes of one and two digits; all others have three.
+CALLING_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Alphabets of lower-case or caseless letters: (first code point, letters, distance of one letter to the next).
+ALPHABETS = (
+    (0x61, 26, 1), (0x30, 10, 1), (0xDF, 24, 1), (0xF8, 8, 1), (0x101, 28, 2), (0x13A, 8, 2), (0x14B, 23, 2), (0x17A, 3, 2), (0x3B1, 25, 1), (0x3AC, 4, 1), (0x430, 48, 1),
+    (0x461, 17, 2), (0x561, 38, 1), (0x5D0, 27, 1), (0x621, 26, 1), (0x641, 10, 1), (0x904, 54, 1), (0xE01, 48, 1), (0x10D0, 43, 1), (0x3041, 86, 1), (0x30A1, 90, 1),
+    (0x4E00, 20992, 1), (0xAC00, 11172, 1),
+)
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGITS = "0123456789"
 
 
@@ -105,13 +132,13 @@ def _permute(chars: Column, alphabet: str, step: int, tag: Column, key: str) ->
     return F.array_join(F.transform(pieces, one), "")
 
 
-def _refill(shape: Column, pattern: str, chars: Column) -> Column:
-    """``shape`` with its characters that match ``pattern`` (a class) replaced by ``chars`` in order."""
+def _refill(shape: Column, chars: Column, wanted: str) -> Column:
+    """``shape`` with its characters that match the class ``wanted`` replaced by ``chars`` in order."""
 
     def at(i: Column) -> Column:
         c = F.substring(shape, i, F.lit(1))
-        k = F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), f"[^{pattern}]", ""))
-        return F.when(c.rlike(f"[{pattern}]"), F.substring(chars, k, F.lit(1))).otherwise(c)
+        k = F.length(_only(F.substring(shape, F.lit(1), i), wanted))
+        return F.when(c.rlike(f"[{wanted}]"), F.substring(chars, k, F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), at), "")
 
@@ -139,20 +166,171 @@ def _mod97(chars: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(chars)), F.lit(0), add)
 
 
+# --- the first cut: a match becomes pieces (text, kind, new), kind and new null where nothing is replaced -------------------------
+
+_PIECE = "struct<text:string,kind:string,new:string>"
+_SPAN = "struct<i:int,n:int>"
+
+
+def _piece(text: Column, kind: str | None = None, new: Column | None = None) -> Column:
+    return F.struct(text.alias("text"), F.lit(kind).cast("string").alias("kind"), (F.lit(None).cast("string") if new is None else new).alias("new")).cast(_PIECE)
+
+
 def _card(m: Column, key: str) -> Column:
+    """The pseudonym of a valid card number."""
+
     def of(d: Column) -> Column:
         body = _permute_chunk(F.substring(d, F.lit(2), F.length(d) - 2), _DIGITS, F.lit("card"), key)
         full = _let(F.concat(F.substring(d, 1, 1), body), lambda p: F.concat(p, ((10 - _luhn(p, 0) % 10) % 10).cast("string")))
-        return F.when((_luhn(d, 1) % 10 == 0) & ~d.rlike("^0+$"), _let(full, lambda f: _refill(m, "0-9", f)))
+        return _let(full, lambda f: _refill(m, f, "0-9"))
 
     return _let(_only(m, "0-9"), of)
 
 
+def _valid_card(d: Column) -> Column:
+    return (F.length(d) >= 13) & (F.length(d) <= 19) & ~d.rlike("^0+$") & (_luhn(d, 1) % 10 == 0)
+
+
+def _cards(m: Column, key: str) -> Column:
+    """The pieces of a run of digits. A part is digits with the separator before them."""
+    parts = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+
+    def of(part: Column) -> Column:
+        text = lambda i, n: F.array_join(F.slice(part, i, n), "")
+
+        def longest(i: Column) -> Column:
+            """The number of parts from i on that are a card, 0 if there is none."""
+            most = F.least(F.size(part) - i + 1, F.lit(19))
+            lengths = F.sequence(most, F.lit(1), F.lit(-1))
+            good = F.filter(lengths, lambda n: _let(_only(text(i, n), "0-9"), _valid_card))
+            return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(0))
+
+        def step(s: Column, i: Column) -> Column:
+            plain = F.struct(s["free"].alias("free"), s["found"].alias("found"))
+            taken = lambda n: F.struct((i + n).alias("free"), F.concat(s["found"], F.array(F.struct(i.alias("i"), n.alias("n")).cast(_SPAN))).alias("found"))
+            return F.when(i < s["free"], plain).otherwise(_let(longest(i), lambda n: F.when(n > 0, taken(n)).otherwise(plain)))
+
+        start = F.struct(F.lit(1).alias("free"), F.array().cast(f"array<{_SPAN}>").alias("found"))
+        found = F.aggregate(F.sequence(F.lit(1), F.size(part)), start, step, lambda s: s["found"])
+
+        def pieces(f: Column) -> Column:
+            def one(x: Column, k: Column) -> Column:
+                before = F.when(k == 0, F.lit(1)).otherwise(F.element_at(f, F.greatest(k, F.lit(1)))["i"] + F.element_at(f, F.greatest(k, F.lit(1)))["n"])
+                card = text(x["i"], x["n"])
+                sep = F.regexp_extract(card, "^[ -]?", 0)
+                number = F.regexp_replace(card, "^[ -]", "")
+                return F.array(_piece(F.concat(text(before, x["i"] - before), sep)), _piece(number, "card", _card(number, key)))
+
+            last = F.element_at(f, -1)
+            end = last["i"] + last["n"]
+            whole = F.concat(F.flatten(F.transform(f, one)), F.array(_piece(text(end, F.greatest(F.size(part) - end + 1, F.lit(0))))))
+            return F.when(F.size(f) == 0, F.array(_piece(m))).otherwise(whole)
+
+        return _let(found, pieces)
+
+    return _let(parts, of)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The pieces of an IBAN's match: as many characters as its country has, if they pass the check, and the rest."""
+    length = F.create_map(*(F.lit(x) for pair in IBAN_LENGTH.items() for x in pair))
+
+    def of(c: Column) -> Column:
+        n = F.coalesce(F.element_at(length, F.substring(c, 1, 2)), F.length(c))
+        good = lambda k: (F.length(c) >= k) & (_mod97(F.concat(F.substring(c, F.lit(5), k - 4), F.substring(c, 1, 4))) == 1)
+
+        def split(k: Column) -> Column:
+            """The k characters that count, with the blanks among them, and what follows."""
+            ends = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: F.length(_only(F.substring(m, F.lit(1), i), "A-Z0-9")) == k)
+            return _let(F.element_at(ends, 1), lambda e: F.array(
+                _piece(F.substring(m, F.lit(1), e), "iban", _new_iban(F.substring(m, F.lit(1), e), key)), _piece(F.substring(m, e + 1, F.length(m)))
+            ))
+
+        return _let(n, lambda k: F.when(good(k), split(k)).otherwise(F.array(_piece(m))))
+
+    return _let(_only(m, "A-Z0-9"), of)
+
+
+def _new_iban(m: Column, key: str) -> Column:
+    def of(c: Column) -> Column:
+        land, body = F.substring(c, 1, 2), F.substring(c, F.lit(5), F.length(c))
+        digits = _permute(_only(body, "0-9"), _DIGITS, 16, F.lit("iban"), key)
+        letters = _permute(_only(body, "A-Z"), _UPPER, 12, F.lit("iban"), key)
+        # the letters go in first, as marks of their places: a letter of one alphabet never meets the other
+        new = _let(digits, lambda d: _let(letters, lambda x: _refill(_refill(body, d, "0-9"), x, "A-Z")))
+        check = lambda b: F.concat(land, F.lpad((98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b)
+        return _let(new, lambda b: _let(check(b), lambda f: _refill(m, f, "A-Z0-9")))
+
+    return _let(_only(m, "A-Z0-9"), of)
+
+
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _alphabet(c: Column) -> Column:
+    """Of a lower-case character (lo, n, step, at): its alphabet and its place there; letters of no alphabet in ALPHABETS have the
+    128 code points around them; what is no letter or digit has an alphabet of its own (n = 1)."""
+
+    def of(code: Column) -> Column:
+        entry = lambda lo, n, by: F.struct(lo.cast("long").alias("lo"), n.cast("long").alias("n"), by.cast("long").alias("by"))
+        found = F.when(c.rlike(r"\p{L}"), entry(code - code % 128, F.lit(128), F.lit(1))).otherwise(entry(code, F.lit(1), F.lit(1)))
+        for lo, n, by in reversed(ALPHABETS):
+            inside = (code >= lo) & (code < lo + n * by) & ((code - lo) % by == 0)
+            found = F.when(inside, entry(F.lit(lo), F.lit(n), F.lit(by))).otherwise(found)
+        return _let(found, lambda a: F.struct(a["lo"].alias("lo"), a["n"].alias("n"), a["by"].alias("by"), _div(code - a["lo"], a["by"]).alias("at")))
+
+    return _let(F.ascii(c).cast("long"), of)
+
+
+def _email(m: Column, key: str) -> Column:
+    """The local part as numbers of mixed radix, eight characters at once, permuted within their alphabets."""
+
+    def eight(chars: Column, at: Column) -> Column:
+        def of(a: Column) -> Column:
+            half = F.ceil(F.size(a) / 2).cast("int")
+            left, right = F.slice(a, F.lit(1), half), F.slice(a, half + 1, F.size(a) - half)
+            value = lambda x: F.aggregate(x, _big(0), lambda v, c: v * c["n"] + c["at"])
+            size = lambda x: F.aggregate(x, _big(1), lambda v, c: v * c["n"])
+            shape = F.array_join(F.transform(a, lambda c: c["lo"].cast("string")), ".")
+
+            def back(x: Column, v: Column) -> Column:
+                digit = lambda c, k: _div(v, size(F.slice(x, k + 2, F.size(x)))) % c["n"]
+                return F.transform(x, lambda c, k: _character(c["lo"] + c["by"] * digit(c, k)))
+
+            mixed = feistel(value(left), value(right), size(left), size(right), F.concat_ws("|", F.lit("email"), at.cast("string"), shape), key)
+            return _let(mixed, lambda s: F.array_join(F.concat(back(left, s["a"]), back(right, s["b"])), ""))
+
+        return _let(F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: _alphabet(F.substring(chars, i, F.lit(1)))), of)
+
+    def of(local: Column) -> Column:
+        low = F.lower(local)
+        plain = F.when(F.length(low) == F.length(local), low).otherwise(local)  # a letter whose lower case is two characters
+        parts = F.transform(F.sequence(F.lit(0), F.length(local) - 1, F.lit(8)), lambda k: eight(F.substring(plain, k + 1, F.lit(8)), k))
+
+        def cased(new: Column) -> Column:
+            def one(i: Column) -> Column:
+                old, c = F.substring(local, i, F.lit(1)), F.substring(new, i, F.lit(1))
+                return F.when((old != F.lower(old)) & (F.length(F.upper(c)) == 1), F.upper(c)).otherwise(c)
+
+            return F.when(local == low, new).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), one), ""))
+
+        return _let(F.array_join(parts, ""), cased)
+
+    new = F.concat(_let(F.substring_index(m, "@", 1), of), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.array(_piece(m, "email", new))
+
+
+# --- the second cut: a match becomes its pseudonym, or null ------------------------------------------------------------------------
+
+
 def _phone(m: Column, key: str) -> Column:
+    """A calling code after + stays; the digits behind it are permuted among those of their number."""
+
     def of(d: Column) -> Column:
-        head = F.greatest(F.length(d) - 10, F.when(m.startswith("+"), 1).otherwise(0))
-        tail = _permute_chunk(F.substring(d, head + 1, F.length(d)), _DIGITS, F.lit("phone"), key)
-        return _let(F.concat(F.substring(d, F.lit(1), head), tail), lambda f: _refill(m, "0-9", f))
+        head = F.when(m.startswith("+"), F.length(F.regexp_extract(d, CALLING_CODE, 0))).otherwise(F.greatest(F.length(d) - 10, F.lit(0)))
+        tail = lambda h: _permute_chunk(F.substring(d, h + 1, F.length(d)), _DIGITS, F.lit("phone"), key)
+        return _let(head, lambda h: _let(F.concat(F.substring(d, F.lit(1), h), tail(h)), lambda f: _refill(m, f, "0-9")))
 
     return _let(_only(m, "0-9"), of)
 
@@ -179,8 +357,14 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), _let(mixed, text))
 
 
+#: Month and day of the dates whose day is over 12, the 29th of February left out, and the leap years: five characters each.
+_LATE = "".join(f"{m:02}/{d:02}" for m in range(1, 13) for d in range(13, calendar.monthrange(1801, m)[1] + 1))
+_LEAP = "".join(f"{y} " for y in range(1800, 2200) if calendar.isleap(y))
+
+
 def _date(m: Column, key: str) -> Column:
-    """Dates of the 400 years from 1800 on; with / or . the day comes first unless only the month can."""
+    """Dates of the 400 years from 1800 on. With / the day comes first; where only the month can, the date becomes another one that
+    can be read in no other way, so no two dates have one pseudonym."""
     first = F.lit("1800-01-01").cast("date")
 
     def moved(fmt: str) -> Callable[[Column], Column]:
@@ -192,72 +376,92 @@ def _date(m: Column, key: str) -> Column:
 
         return of
 
+    late, leap = len(_LATE) // 5, len(_LEAP) // 5
+    n = 400 * late + leap  # 9 * 9833
+
+    def month_first(year: Column) -> Column:
+        slot = F.floor((F.instr(F.lit(_LATE), F.substring(m, 1, 5)) - 1) / 5)
+        place = F.floor((F.instr(F.lit(_LEAP), year.cast("string")) - 1) / 5)
+        value = F.when(m.startswith("02/29"), F.lit(400 * late) + place).otherwise((year - 1800) * late + slot).cast("long")
+
+        def text(v: Column) -> Column:
+            usual = F.concat(F.substring(F.lit(_LATE), (v % late * 5 + 1).cast("int"), F.lit(5)), F.lit("/"), (_div(v, _big(late)) + 1800).cast("string"))
+            extra = F.concat(F.lit("02/29/"), F.substring(F.lit(_LEAP), ((v - 400 * late) * 5 + 1).cast("int"), F.lit(4)))
+            return F.when(v < 400 * late, usual).otherwise(extra)
+
+        mixed = _let(value, lambda v: feistel(_div(v, _big(9833)), v % 9833, _big(n // 9833), _big(9833), F.lit("date, month first"), key))
+        return F.when((year >= 1800) & (year < 2200), _let(mixed, lambda s: _let(s["a"] * 9833 + s["b"], text)))
+
     out = F.lit(None).cast("string")
     for fmt, shape in (("dd.MM.yyyy", r"^[0-9]{2}\."), ("MM/dd/yyyy", r"^[0-9]{2}/"), ("dd/MM/yyyy", r"^[0-9]{2}/"), ("yyyy-MM-dd", r"^[0-9]{4}-")):
         day = F.try_to_timestamp(m, F.lit(fmt)).cast("date")
-        out = F.when(m.rlike(shape) & day.isNotNull(), _let(day, moved(fmt))).otherwise(out)
+        new = _let(F.substring(m, 7, 4).cast("int"), month_first) if fmt == "MM/dd/yyyy" else _let(day, moved(fmt))
+        out = F.when(m.rlike(shape) & day.isNotNull(), new).otherwise(out)
     return out
 
 
-def _iban(m: Column, key: str) -> Column:
-    def of(c: Column) -> Column:
-        land, body = F.substring(c, 1, 2), F.substring(c, F.lit(5), F.length(c))
-        low = F.lower(body)
-        digits = _permute(_only(body, "0-9"), _DIGITS, 16, F.lit("iban"), key)
-        letters = _permute(_only(low, "a-z"), _LETTERS[:26], 12, F.lit("iban"), key)
-        new = _let(digits, lambda d: _let(letters, lambda x: F.upper(_refill(_refill(low, "0-9", d), "a-z", x))))
-        check = lambda b: F.concat(land, F.lpad((98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b)
-        whole = _let(new, lambda b: _let(check(b), lambda f: _refill(m, "A-Z0-9", f)))
-        return F.when(_mod97(F.concat(body, F.substring(c, 1, 4))) == 1, whole)
+_PIECES = {"email": _email, "iban": _iban, "card": _cards, "hole": lambda m, key: F.array(_piece(m, None, m))}
+_MAKE = {"date": _date, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone}
 
-    return _let(_only(m, "A-Z0-9"), of)
 
+def _first_cut(text: Column, key: str) -> Column:
+    """``text`` as pieces."""
 
-def _email(m: Column, key: str) -> Column:
-    def of(local: Column) -> Column:
-        digits = _permute(_only(local, "0-9"), _DIGITS, 16, F.lit("email"), key)
-        letters = _permute(_only(local, _LETTERS), _LETTERS, 8, F.lit("email"), key)
-        return _let(digits, lambda d: _let(letters, lambda x: _refill(_refill(local, "0-9", d), _LETTERS, x)))
+    def of(m: Column) -> Column:
+        out = F.array(_piece(m))
+        for k in reversed(_FIRST):
+            out = F.when(m.rlike(f"^(?:{_FIRST[k][1]})$"), _PIECES[k](m, key)).otherwise(out)
+        return out
+
+    pattern = _any_of(_FIRST)
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.array(_piece(g)))
+    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
+    return F.flatten(F.flatten(F.zip_with(gaps, hits, lambda g, h: F.array(g, F.coalesce(h, F.array().cast(f"array<{_PIECE}>"))))))
 
-    return F.concat(_let(F.lower(F.substring_index(m, "@", 1)), of), F.lit("@"), F.substring_index(m, "@", -1))
 
+def _second_cut(text: Column, key: str) -> Column:
+    """``text`` as pieces."""
+
+    def of(m: Column) -> Column:
+        kind, new = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for k in reversed(_SECOND):
+            hit = m.rlike(f"^(?:{_SECOND[k][1]})$")
+            kind = F.when(hit, F.lit(k)).otherwise(kind)
+            new = F.when(hit, _MAKE[k](m, key)).otherwise(new)
+        return F.struct(m.alias("text"), kind.alias("kind"), new.alias("new")).cast(_PIECE)
 
-_MAKE = {"email": _email, "iban": _iban, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone, "card": _card}
+    pattern = _any_of(_SECOND)
+    gaps = F.split(text, pattern, -1)
+    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
+    return F.flatten(F.zip_with(gaps, hits, lambda g, h: F.when(h.isNull(), F.array(_piece(g))).otherwise(F.array(_piece(g), h))))
 
 
-def pseudonyms(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with ``column`` (null counts as empty) pseudonymised, and two more columns, which replace any of that name:
     pii_kinds (array of the kind of each replaced value, in order) and pii_values (array of the pseudonyms).
     One pass without a shuffle; rows keep their other columns; repeated rows have equal results."""
     text = F.col("_text")
-    cut_up = text.rlike("[0-9@]")
-
-    def replaced(m: Column) -> Column:
-        kind = F.lit(None).cast("string")
-        new = F.lit(None).cast("string")
-        for k in reversed(KINDS):
-            hit = m.rlike(f"^(?:{PATTERNS[k][1]})$")
-            kind = F.when(hit, F.lit(k)).otherwise(kind)
-            new = F.when(hit, _MAKE[k](m, key)).otherwise(new)
-        return F.struct(kind.alias("kind"), new.alias("new"), m.alias("old"))
-
-    pattern = F.lit(PATTERN)
-    found = F.when(cut_up, F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), replaced))
+    none = F.array().cast(f"array<{_PIECE}>")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_or_empty(f"`{column}`").alias("_text"))
-    packed = packed.withColumn("_found", found)
-    gaps = F.split(text, PATTERN, -1)
-    filled = F.array_join(F.zip_with(gaps, F.col("_found"), lambda g, f: F.concat(g, F.coalesce(f["new"], f["old"], F.lit("")))), "")
-    good = F.filter(F.coalesce(F.col("_found"), F.array().cast("array<struct<kind:string,new:string,old:string>>")), lambda f: f["new"].isNotNull())
+    packed = packed.withColumn("_first", F.when(text.rlike("[0-9@]"), _first_cut(text, key)))
+    holes = F.filter("_first", lambda x: x["new"].isNotNull())
+    left = F.array_join(F.transform("_first", lambda x: F.when(x["new"].isNotNull(), F.lit(_HOLE)).otherwise(x["text"])), "")
+    packed = packed.select("_row", "_text", holes.alias("_holes"), F.split(left, _HOLE, -1).alias("_left"))
+    between = F.transform("_left", lambda t: F.when(t.rlike("[0-9]"), _second_cut(t, key)).otherwise(F.array(_piece(t))))
+    both = F.zip_with(between, "_holes", lambda b, h: F.when(h.isNull(), b).otherwise(F.concat(b, F.array(h))))
+    packed = packed.select("_row", "_text", F.flatten(both).alias("_pieces"))
+    good = F.filter(F.coalesce(F.col("_pieces"), none), lambda x: x["kind"].isNotNull() & x["new"].isNotNull())
+    filled = F.array_join(F.transform("_pieces", lambda x: F.coalesce(x["new"], x["text"])), "")
     made = {
-        column: F.when(F.coalesce(F.size("_found"), F.lit(0)) > 0, filled).otherwise(text),
-        "pii_kinds": F.transform(good, lambda f: f["kind"]),
-        "pii_values": F.transform(good, lambda f: f["new"]),
+        column: F.when(F.col("_pieces").isNotNull(), filled).otherwise(text),
+        "pii_kinds": F.transform(good, lambda x: x["kind"]),
+        "pii_values": F.transform(good, lambda x: x["new"]),
     }
     old = {c: F.col("_row").getField(c) for c in docs.columns}
     return packed.select(*(value.alias(name) for name, value in (old | made).items()))
 
 
-def mask(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def mask(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (columns of documents, and any others, which stay) with pseudonyms in text and the matching n_chars."""
     hidden = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
     out = pseudonyms(hidden, key)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from docsearch.llm import audio, chat, mixing, neardup, pieces, pii, quality, scans, topk, webtext
 from docsearch.llm.common import table
 
+#: The key of the registered query; a real run has a secret one of its own.
+PII_KEY = "key of the registered query"
 MIX = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
 
 
@@ -49,7 +51,7 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonyms(table(spark, sf_dir, "documents"))
+    out = pii.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
     return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_found"), F.array_join("pii_kinds", ",").alias("kinds"), F.array_join("pii_values", "\n").alias("pseudonyms"))
 
 

@@ -170,6 +170,25 @@ def test_near_duplicate_edges(spark):
     assert neardup.link(documents(spark, [])).count() == 0
 
 
+def test_a_doc_id_on_two_texts_keeps_both(spark):
+    a, b = "the very same text in every one of these rows", "quite another text that stands on a row of its own here"
+    rest = lambda texts, ids: sorted((r.doc_id, r.text) for r in neardup.drop_copies(documents(spark, texts, ids=ids)).collect())
+    assert rest([a, a, b], [3, 7, 7]) == [(3, a), (7, b)]
+    assert rest([a, a, b, b, b, ""], [3, 7, 7, 7, 9, 7]) == [(3, a), (7, ""), (7, b)]
+    assert [len(x) for x in (rest([a, a, "", ""], [5, 5, 5, 5]), rest([b, b], [2, 2]))] == [3, 1]
+
+
+def test_hubs_are_joined_like_other_nodes(spark, monkeypatch):
+    from docsearch.llm import components as c
+
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 399) for i in range(300)] + [(5000, 5001)]
+    links = spark.createDataFrame(edges, "a long, b long")
+    monkeypatch.setattr(c, "BROADCAST_ROWS", 8)
+    monkeypatch.setattr(c, "HUB", 50)
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {n: 0 for e in edges[:-1] for n in e} | {5000: 5000, 5001: 5000}
+
+
 def test_blocks_find_chains(spark):
     # x0 ~ x1 ~ ... each near the next only: no two ends are alike
     chain = [" ".join(f"t{j}" for j in range(i * 6, i * 6 + 100)) for i in range(30)]
@@ -216,7 +235,7 @@ def test_pseudonyms_keep_formats(spark):
         "born 1999-02-28, 31/12/2001, 12/31/2001, 29.02.2000, not 2001-02-29", "iban GB82 WEST 1234 5698 7654 32 or GB82 WEST 1234 5698 7654 33",
         "mail jo.doe+x9@example.co.uk", *EDGES, "card 4111 1111 1111 1111",
     ]
-    out = {r.doc_id: r for r in pii.pseudonyms(documents(spark, texts).withColumn("pii_kinds", F.lit("clash"))).collect()}
+    out = {r.doc_id: r for r in pii.pseudonyms(documents(spark, texts).withColumn("pii_kinds", F.lit("clash")), "k").collect()}
     assert [out[i].pii_kinds for i in range(7)] == [["card"], ["ipv4"], ["phone"], ["ssn"], ["date"] * 4, ["iban"], ["email"]]
     for i, t in enumerate(texts[:7]):
         shape = lambda s: re.sub(r"\d", "0", s)
@@ -240,11 +259,93 @@ def test_feistel_is_the_stated_permutation(spark):
     assert all(tuple(r.m) == feistel(r.a, r.b, 189, 7, "t", "k") for r in mixed[::50])
 
 
+def masked(spark, texts):
+    return {r.doc_id: r for r in pii.pseudonyms(documents(spark, texts).repartition(8), "k").collect()}
+
+
+def test_pseudonyms_against_a_plain_version(spark):
+    """Numbers hidden in runs and between other numbers: a plain scan of the text says what is to be replaced."""
+    rng = random.Random(3)
+
+    def card():
+        d = "".join(rng.choice("0123456789") for _ in range(rng.choice([12, 14, 15, 18])))
+        d = next(d + c for c in "0123456789" if luhn(d + c))
+        return " ".join(d[i : i + 4] for i in range(0, len(d), 4)) if rng.random() < 0.6 else d
+
+    def run():
+        return " ".join(rng.choice([card, lambda: str(rng.randrange(1000)), lambda: f"{rng.randrange(10**13)}"])() for _ in range(rng.randint(1, 5)))
+
+    texts = [f"x {run()} y {run()}." for _ in range(150)]
+
+    def plain(text):
+        out, found, end = "", [], 0
+        for m in re.finditer(r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,}", text):
+            parts = re.findall(r"[ -]?[0-9]+", m.group())
+            out += text[end : m.start()]
+            end, i = m.end(), 0
+            while i < len(parts):
+                fits = [j for j in range(len(parts), i, -1) if 13 <= len(re.sub(r"\D", "", "".join(parts[i:j]))) <= 19 and luhn("".join(parts[i:j])) and re.search("[1-9]", "".join(parts[i:j]))]
+                piece = "".join(parts[i : fits[0]]) if fits else parts[i]
+                if fits:
+                    out += piece[: len(piece) - len(piece.lstrip(" -"))]
+                    digits = re.sub(r"\D", "", piece)
+                    n = len(digits) - 2
+                    low = 10 ** (-(-n // 2))
+                    a, b = divmod(int(digits[1:-1]), low)
+                    a, b = feistel(a, b, 10 ** (n // 2), low, f"card|{n}", "k")
+                    new = digits[0] + str(a * low + b).zfill(n)
+                    new += next(c for c in "0123456789" if luhn(new + c))
+                    it = iter(new)
+                    found.append("".join(next(it) if c.isdigit() else c for c in piece.strip(" -")))
+                    out += found[-1]
+                else:
+                    out += piece
+                i = fits[0] if fits else i + 1
+        return out + text[end:], found
+
+    got = masked(spark, texts)
+    cards = [(got[i].text, [v for v, k in zip(got[i].pii_values, got[i].pii_kinds, strict=True) if k == "card"]) for i in range(len(texts))]
+    assert cards == [plain(t) for t in texts] and sum(len(v) for _, v in cards) > 100
+
+
+def test_values_behind_others(spark):
+    texts = ["4111 1111 1111 1111 123", "12 4111 1111 1111 1111", "2024 01 02 4111 1111 1111 1111 4111-1111-1111-1111", "BE68539007547034 EUR", "BE68 5390 0754 7034 PAID", "123 555-123-4567 9", "a \ue000 4111111111111111 \ue000 b"]
+    got = masked(spark, texts)
+    assert [got[i].pii_kinds for i in range(7)] == [["card"], ["card"], ["card", "card"], ["iban"], ["iban"], ["phone"], ["card"]]
+    assert [got[i].text[-4:] for i in (0, 3, 4)] == [" 123", " EUR", "PAID"] and got[1].text.startswith("12 ") and got[2].text.startswith("2024 01 02 ")
+    assert got[6].text.startswith("a \ue000 ") and got[6].text.endswith(" \ue000 b")
+
+
+def test_letters_of_every_script_and_calling_codes(spark):
+    names = ["иван.петров", "łukasz", "Łukasz.K", "李小龙", "ελένη7", "ÉMILE", "ivan", "Ivan", "ǆabc", "דוד"]
+    got = masked(spark, [f"{n}@exämple.com" for n in names] + ["+49 30 1234567", "+1 (212) 555-1234", "(212) 555-1234", "+380441234567"])
+    for i, n in enumerate(names):
+        new = got[i].text.removesuffix("@exämple.com")
+        assert got[i].pii_kinds == ["email"] and len(new) == len(n)
+        assert [c.isalpha() for c in new] == [c.isalpha() for c in n] and sum(a == b for a, b in zip(new, n, strict=True) if a.isalpha()) <= len(n) // 3
+    assert got[6].text == got[7].text.lower() and got[7].text[0].isupper()  # linked
+    phones = [got[i].text for i in range(len(names), len(names) + 4)]
+    assert phones[0].startswith("+49 ") and phones[1].startswith("+1 ") and phones[1][3:] == phones[2] and phones[3].startswith("+380") and phones[0] != "+49 30 1234567"
+
+
+def test_dates_are_permuted_within_their_notation(spark):
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(n) for n in range(0, 146097, 11)] + [datetime.date(y, 2, 29) for y in range(1804, 2200, 4) if y % 100 or y % 400 == 0]
+    texts = sorted({d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d", "%d.%m.%Y")})
+    got = masked(spark, texts)
+    assert all(got[i].pii_kinds == ["date"] for i in range(len(texts))) and len({got[i].text for i in range(len(texts))}) == len(texts)
+    for i, t in enumerate(texts):
+        if "/" in t and int(t[3:5]) > 12:
+            datetime.datetime.strptime(got[i].text, "%m/%d/%Y")
+            assert int(got[i].text[3:5]) > 12
+        else:
+            datetime.datetime.strptime(got[i].text, "%d/%m/%Y" if "/" in t else "%d.%m.%Y" if "." in t else "%Y-%m-%d")
+
+
 def test_mask_keeps_columns(spark):
     docs = documents(spark, ["a@b.cd", None]).withColumns({"_text": F.lit("x"), "_found": F.lit(1), "pii_kinds": F.lit("y"), "a.b": F.lit(2)})
-    out = pii.mask(docs)
+    out = pii.mask(docs, "k")
     assert out.columns == docs.columns and [(r.n_chars, r._text, r._found) for r in out.orderBy("doc_id").collect()] == [(6, "x", 1), (0, "x", 1)]
-    assert pii.mask(documents(spark, [])).count() == 0
+    assert pii.mask(documents(spark, []), "k").count() == 0
     assert "Python" not in out._jdf.queryExecution().toString() and "Pandas" not in out._jdf.queryExecution().toString()
 
 
