@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import buffer_of, cut, ready, slices, text_or_empty, with_fields
+from docsearch.llm.common import buffer_of, cut, discard, ready, slices, text_or_empty, with_fields
 from docsearch.llm.quality import N_FEATURES, passage_features
 from docsearch.llm.wordbytes import word_hashes, words
 
@@ -88,6 +88,22 @@ def label_domain() -> Column:
     return F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
+def _telling_words(drawn: DataFrame, domains: list[str]) -> np.ndarray:
+    """Hashes of the VOCABULARY words, of those in three documents at least, whose share of documents differs most inside and outside
+    of a domain. ``drawn``: d, h. Words are counted by Spark; only the chosen ones come to the driver."""
+    size = {r["d"]: r["count"] for r in drawn.groupBy("d").count().collect()}  # one row for each domain
+    n = max(1, sum(size.values()))
+    inside = lambda d: F.count(F.when(F.col("d") == d, 1))
+    counted = drawn.select("d", F.explode("h").alias("w")).groupBy("w").agg(F.count("*").alias("all"), *(inside(d).alias(f"in_{k}") for k, d in enumerate(domains)))
+    share = F.col("all") / n
+    gaps = [
+        F.pow(F.col(f"in_{k}") / max(1, size.get(d, 0)) - (F.col("all") - F.col(f"in_{k}")) / max(1, n - size.get(d, 0)), F.lit(2)) / (share * (1 - share) + 1e-3)
+        for k, d in enumerate(domains)
+    ]
+    best = counted.filter(F.col("all") >= 3).select("w", (F.greatest(*gaps) if len(gaps) > 1 else gaps[0]).alias("gap")).orderBy(F.desc("gap"), "w").limit(VOCABULARY)
+    return np.sort(np.array([r["w"] for r in best.collect()], np.int64).view(np.uint64))
+
+
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column | None = None, limit: int = TRAIN_DOCS) -> Classifier | None:
     """Fits on at most ``limit`` documents, as many of each domain, in the order of a hash of doc_id. None without any.
     A document with several labels counts in the domain that is least by name."""
@@ -103,35 +119,28 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offs = buffer_of(b.column(1))
+            buf, offs = buffer_of(b.column(2))
             for i, j in slices(offs):
                 part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 h, first = _letters(part, o)
-                x = _shape(part, o).astype(np.float32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([np.unique(h[p:q]).tobytes() for p, q in zip(first[:-1], first[1:], strict=True)], pa.binary())],
-                    ["d", "x", "h"],
-                )
+                x = pa.array([r.tobytes() for r in _shape(part, o).astype(np.float32)], pa.binary())
+                sets = [np.unique(h[p:q]).view(np.int64) for p, q in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), x, pa.array(sets, pa.list_(pa.int64()))], ["_id", "d", "x", "h"])
 
     rows = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("_t")).join(F.broadcast(sample), "_id")  # at most ``limit`` rows
-    got = rows.select("_d", "_t").mapInArrow(features, "d string, x binary, h binary").toArrow()
+    read = rows.select(F.col("_id").cast("long").alias("_id"), "_d", "_t").mapInArrow(features, "_id long, d string, x binary, h array<long>")
+    drawn = cut(read.groupBy("_id").agg(F.min(F.struct("d", "x", "h")).alias("r")).select("_id", "r.*"))  # of several texts with one doc_id one is taken
+    vocabulary = _telling_words(drawn, domains)
+    known_words = F.array(*(F.lit(w) for w in vocabulary.view(np.int64).tolist())).cast("array<long>")
+    got = drawn.select("d", "x", F.array_intersect("h", known_words).alias("h")).toArrow()  # at most ``limit`` rows of bounded size
+    discard(drawn)
     if not got.num_rows:
         return None
     ordered = sorted(zip(*(got.column(c).to_pylist() for c in ("d", "x", "h")), strict=True))
     y = np.array([domains.index(d) for d, _, _ in ordered])
     x = np.array([np.frombuffer(v, np.float32) for _, v, _ in ordered], float)
-    bags = [np.frombuffer(v, np.uint64) for _, _, v in ordered]
-    seen, inverse, count = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
-    label = np.repeat(y, [len(b) for b in bags])
+    bags = [np.array(v, np.int64).view(np.uint64) for _, _, v in ordered]
     size = np.bincount(y, minlength=len(domains))
-    best = np.zeros(len(seen))
-    for d in range(len(domains)):  # how far the share of documents with the word differs inside and outside of the domain
-        inside = np.bincount(inverse[label == d], minlength=len(seen))
-        p, q = inside / max(1, size[d]), (count - inside) / max(1, len(y) - size[d])
-        share = count / len(y)
-        best = np.maximum(best, (p - q) ** 2 / (share * (1 - share) + 1e-3))
-    keep = np.flatnonzero(count >= 3)
-    vocabulary = np.sort(seen[keep[np.argsort(-best[keep], kind="stable")[:VOCABULARY]]])
     mean, scale = np.zeros(N_FEATURES + len(vocabulary)), np.ones(N_FEATURES + len(vocabulary))
     mean[:N_FEATURES], scale[:N_FEATURES] = x.mean(0), x.std(0) + 1e-3
     full = np.hstack([np.clip((x - mean[:N_FEATURES]) / scale[:N_FEATURES], -6, 6), np.array([np.isin(vocabulary, b) for b in bags], float).reshape(len(y), -1)])

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from docsearch.llm.common import buffer_of, ready, slices, text_or_empty
 
 MARK = "▁"
-#: Words of one generation of a worker's cache; the older of two generations goes when the newer is full.
-CACHE_WORDS = 200_000
+#: One generation of a worker's cache of words: so many words, none longer than CACHE_LETTERS characters, so some 40 MB at most; the
+#: older of two generations goes when the newer is full. Longer words (texts without spaces) are encoded each time.
+CACHE_WORDS, CACHE_LETTERS = 200_000, 48
 CACHE_PAIRS = 400_000
 
 
@@ -102,12 +103,13 @@ class Codec:
         for end, (back, token) in self.finder.iter(text):  # ends ascend: the last token written at a start is the longest
             longest[end - back] = token
         length, shorter, pairs = self.length, self.shorter, self.pairs
-        failed = bytearray(n + 1)
+        failed = bytearray((n >> 3) + 1)  # a bit for each position
         out: list[int] = []
         at, token, last = 0, longest[0], -1
         while at < n:
             while token >= 0:
-                if not failed[at + length[token]]:
+                end = at + length[token]
+                if not failed[end >> 3] >> (end & 7) & 1:
                     good = pairs.get(last << 32 | token)
                     if good or good is None and self.fits(last, token):
                         break
@@ -119,7 +121,7 @@ class Codec:
                 if at < n:
                     token = longest[at]
             else:
-                failed[at] = 1
+                failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()  # the first position never fails: a text of known characters has an encoding
                 at -= length[token]
                 last = out[-1] if out else -1
@@ -148,6 +150,8 @@ class Codec:
 
     def word(self, w: str) -> bytes:
         """Of one word, through the cache; its end is cut off where no token crosses, and the parts go through the cache too."""
+        if len(w) > CACHE_LETTERS:
+            return self.encode_part(w)
         found = self.old.get(w)
         if found is None:
             never, n = self.never, len(w)

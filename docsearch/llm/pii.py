@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import calendar
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -233,7 +234,7 @@ def _cards(m: Column, key: str) -> Column:
 
 def _iban(m: Column, key: str) -> Column:
     """The pieces of an IBAN's match: as many characters as its country has, if they pass the check, and the rest."""
-    length = F.create_map(*(F.lit(x) for pair in IBAN_LENGTH.items() for x in pair))
+    length = F.expr("map(" + ", ".join(f"'{land}', {n}" for land, n in IBAN_LENGTH.items()) + ")")
 
     def of(c: Column) -> Column:
         n = F.coalesce(F.element_at(length, F.substring(c, 1, 2)), F.length(c))
@@ -274,11 +275,10 @@ def _alphabet(c: Column) -> Column:
 
     def of(code: Column) -> Column:
         entry = lambda lo, n, by: F.struct(lo.cast("long").alias("lo"), n.cast("long").alias("n"), by.cast("long").alias("by"))
-        found = F.when(c.rlike(r"\p{L}"), entry(code - code % 128, F.lit(128), F.lit(1))).otherwise(entry(code, F.lit(1), F.lit(1)))
-        for lo, n, by in reversed(ALPHABETS):
-            inside = (code >= lo) & (code < lo + n * by) & ((code - lo) % by == 0)
-            found = F.when(inside, entry(F.lit(lo), F.lit(n), F.lit(by))).otherwise(found)
-        return _let(found, lambda a: F.struct(a["lo"].alias("lo"), a["n"].alias("n"), a["by"].alias("by"), _div(code - a["lo"], a["by"]).alias("at")))
+        other = F.when(c.rlike(r"\p{L}"), entry(code - code % 128, F.lit(128), F.lit(1))).otherwise(entry(code, F.lit(1), F.lit(1)))
+        table = F.expr("array(" + ", ".join(f"named_struct('lo', {lo}L, 'n', {n}L, 'by', {by}L)" for lo, n, by in ALPHABETS) + ")")
+        holds = F.filter(table, lambda a: (code >= a["lo"]) & (code < a["lo"] + a["n"] * a["by"]) & ((code - a["lo"]) % a["by"] == 0))
+        return _let(F.coalesce(F.try_element_at(holds, F.lit(1)), other), lambda a: F.struct(a["lo"].alias("lo"), a["n"].alias("n"), a["by"].alias("by"), _div(code - a["lo"], a["by"]).alias("at")))
 
     return _let(F.ascii(c).cast("long"), of)
 
@@ -436,19 +436,27 @@ def _second_cut(text: Column, key: str) -> Column:
     return F.flatten(F.zip_with(gaps, hits, lambda g, h: F.when(h.isNull(), F.array(_piece(g))).otherwise(F.array(_piece(g), h))))
 
 
+@lru_cache(maxsize=8)
+def _steps(application: str, key: str) -> tuple[Column, Column]:
+    """The two cuts as columns over _text and over _left; built once in an application, which takes some thousand calls to the JVM."""
+    first = F.when(F.col("_text").rlike("[0-9@]"), _first_cut(F.col("_text"), key))
+    second = F.transform("_left", lambda t: F.when(t.rlike("[0-9]"), _second_cut(t, key)).otherwise(F.array(_piece(t))))
+    return first, second
+
+
 def pseudonyms(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with ``column`` (null counts as empty) pseudonymised, and two more columns, which replace any of that name:
     pii_kinds (array of the kind of each replaced value, in order) and pii_values (array of the pseudonyms).
     One pass without a shuffle; rows keep their other columns; repeated rows have equal results."""
     text = F.col("_text")
     none = F.array().cast(f"array<{_PIECE}>")
+    first, second = _steps(docs.sparkSession.sparkContext.applicationId, key)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_or_empty(f"`{column}`").alias("_text"))
-    packed = packed.withColumn("_first", F.when(text.rlike("[0-9@]"), _first_cut(text, key)))
+    packed = packed.withColumn("_first", first)
     holes = F.filter("_first", lambda x: x["new"].isNotNull())
     left = F.array_join(F.transform("_first", lambda x: F.when(x["new"].isNotNull(), F.lit(_HOLE)).otherwise(x["text"])), "")
     packed = packed.select("_row", "_text", holes.alias("_holes"), F.split(left, _HOLE, -1).alias("_left"))
-    between = F.transform("_left", lambda t: F.when(t.rlike("[0-9]"), _second_cut(t, key)).otherwise(F.array(_piece(t))))
-    both = F.zip_with(between, "_holes", lambda b, h: F.when(h.isNull(), b).otherwise(F.concat(b, F.array(h))))
+    both = F.zip_with(second, "_holes", lambda b, h: F.when(h.isNull(), b).otherwise(F.concat(b, F.array(h))))
     packed = packed.select("_row", "_text", F.flatten(both).alias("_pieces"))
     good = F.filter(F.coalesce(F.col("_pieces"), none), lambda x: x["kind"].isNotNull() & x["new"].isNotNull())
     filled = F.array_join(F.transform("_pieces", lambda x: F.coalesce(x["new"], x["text"])), "")
