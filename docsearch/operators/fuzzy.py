@@ -31,13 +31,11 @@ def fuzzy_term(content: Column, term: str, case_sensitive: bool = False, whole_w
     return F.exists(F.array_distinct(words(text)), lambda w: close(w, t, ratio))
 
 
-def fuzzy_indexes(content: Column, term: str, case_sensitive: bool = False) -> Column:
-    """The word indexes of close words; none for terms under three characters."""
-    text, t = (content, term) if case_sensitive else (F.lower(content), term.lower())
-    if len(t) < LEAST:
+def fuzzy_indexes(listed: Column, term: str) -> Column:
+    """The indexes of close words in an array of words; none for terms under three characters."""
+    if len(term) < LEAST:
         return F.array().cast("array<int>")
-    marked = F.transform(words(text), lambda w, i: F.when(close(w, t), i))
-    return F.filter(marked, lambda i: i.isNotNull())
+    return F.filter(F.transform(listed, lambda w, i: F.when(close(w, term), i)), lambda i: i.isNotNull())
 
 
 def fuzzy_score(content: Column, term: str) -> Column:

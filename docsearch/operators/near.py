@@ -6,67 +6,82 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docsearch.functions.arrays import let
 from docsearch.functions.patterns import parse_literal
 from docsearch.operators.fuzzy import LEAST, fuzzy_indexes
 from docsearch.operators.positions import positions, regex_positions
-from docsearch.operators.tokens import WORD_CHARS, words
+from docsearch.operators.tokens import placed_words, words
 
 #: Shorter contents have no NEAR matches.
 LEAST_CONTENT = 10
 
 
-def word_index(content: Column, at: Column) -> Column:
-    """The index of the word that holds a position; a position outside of words, or in a word of one character, belongs to the
-    word before it; -1 before the first."""
-    before = F.substring(content, F.lit(1), at)
-    around = F.substring(content, at + 1, F.lit(2))
-    inside = around.rlike(f"^[{WORD_CHARS}]") & (before.rlike(f"[{WORD_CHARS}]$") | around.rlike(f"^[{WORD_CHARS}]{{2}}"))
-    # two letters after the text before the position stand for the rest of its word
-    return F.size(words(F.when(inside, F.concat(before, F.lit("xx"))).otherwise(before))) - 1
+def word_indexes(starts: Column, places: Column) -> Column:
+    """For each of ``places`` (ascending) the index of the word that holds it, by the ascending ``starts`` of the words; a place
+    outside of words belongs to the word before it, -1 before the first. Both arrays are sorted into one: a place has as many
+    starts before it as its rank is above its rank among the places."""
+    both = F.array_sort(F.concat(F.transform(starts, lambda s: s * 2), F.transform(places, lambda p: p * 2 + 1)))
+    ranks = F.filter(F.transform(both, lambda x, i: F.when(x % 2 == 1, i)), lambda i: i.isNotNull())
+    return F.transform(ranks, lambda i, k: i - k - 1)
 
 
-def term_indexes(content: Column, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
-    """The word indexes of the hits of a term (one word, several words, or a /regex/)."""
+def _plain(term: str) -> bool:
+    """Whether the term stands inside one word."""
+    return parse_literal(term) is None and len(term) > 1 and term.isascii() and term.replace("_", "a").isalnum()
+
+
+def term_indexes(content: Column, listed: Column, starts: Column | None, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
+    """The word indexes of the hits of a term (one word, several words, or a /regex/). ``listed``: the words, in lower case unless
+    ``case_sensitive``; ``starts``: where they begin, which only several words and patterns need."""
     literal = parse_literal(term)
-    if literal is None and len(term) > 1 and term.isascii() and term.replace("_", "a").isalnum():
-        text, t = (content, term) if case_sensitive else (F.lower(content), term.lower())
+    if _plain(term):
+        t = term if case_sensitive else term.lower()
         test = (lambda w: w == t) if whole_word else (lambda w: w.contains(t))
-        return F.filter(F.transform(words(text), lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
+        return F.filter(F.transform(listed, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
     places = regex_positions(content, literal.java) if literal else positions(content, term, case_sensitive, whole_word)
-    return F.array_distinct(F.filter(F.transform(places, lambda p: word_index(content, p)), lambda i: i >= 0))
+    return F.array_distinct(F.filter(word_indexes(starts, places), lambda i: i >= 0))
 
 
 def near(content: Column, one: str, two: str, distance: int | str, case_sensitive: bool = False, whole_word: bool = False, fuzzy: bool = True) -> Column:
     """Hits of both terms at most ``distance`` words apart, in either order. A distance that is no number or is negative, an
     empty term, and contents under ten characters give false. ``fuzzy``: a term of three characters or more without a hit may
-    be met by close words."""
+    be met by close words. A text is cut into words once, and each step is linear or a sort."""
     try:
         limit = int(float(distance))
     except (TypeError, ValueError):
         return F.lit(False)
     if limit < 0 or not one or not two:
         return F.lit(False)
+    text = content if case_sensitive else F.lower(content)
 
-    def hits(term: str) -> Column:
-        exact = term_indexes(content, term, case_sensitive, whole_word)
+    def hits(listed: Column, starts: Column | None, term: str) -> Column:
+        exact = term_indexes(content, listed, starts, term, case_sensitive, whole_word)
         if not fuzzy or parse_literal(term) or len(term) < LEAST:
             return exact
-        return F.when(F.size(exact) > 0, exact).otherwise(fuzzy_indexes(content, term, case_sensitive))
+        close = fuzzy_indexes(listed, term if case_sensitive else term.lower())
+        return let(exact, lambda e: F.when(F.size(e) > 0, e).otherwise(close))
 
     # even numbers: hits of the first term; odd: of the second. One fold over the sorted hits finds the nearest pair.
-    tagged = F.array_sort(F.concat(F.transform(hits(one), lambda i: i * 2), F.transform(hits(two), lambda i: i * 2 + 1)))
     far = -(1 << 29)
-    start = F.struct(F.lit(far).alias("a"), F.lit(far).alias("b"), F.lit(False).alias("hit"))
 
     def step(s: Column, x: Column) -> Column:
         i, second = F.floor(x / 2).cast("int"), x % 2 == 1
         a, b = F.when(second, s["a"]).otherwise(i), F.when(second, i).otherwise(s["b"])
         return F.struct(a.alias("a"), b.alias("b"), (s["hit"] | (F.abs(a - b) <= limit)).alias("hit"))
 
-    test = F.aggregate(tagged, start, step, lambda s: s["hit"])
+    def test(listed: Column, starts: Column | None = None) -> Column:
+        tagged = F.array_sort(F.concat(F.transform(hits(listed, starts, one), lambda i: i * 2), F.transform(hits(listed, starts, two), lambda i: i * 2 + 1)))
+        start = F.struct(F.lit(far).alias("a"), F.lit(far).alias("b"), F.lit(False).alias("hit"))
+        return F.aggregate(tagged, start, step, lambda s: s["hit"])
+
+    if _plain(one) and _plain(two):
+        found = let(words(text), test)
+    else:
+        base = content if parse_literal(one) or parse_literal(two) else text  # a pattern's places are those in the text as it is
+        listed = lambda p: p["word"] if case_sensitive else F.transform(p["word"], F.lower)
+        found = let(placed_words(base), lambda p: let(listed(p), lambda w: let(p["start"], lambda s: test(w, s))))
     possible = F.length(content) >= LEAST_CONTENT
     if not fuzzy and not parse_literal(one) and not parse_literal(two):
-        text = content if case_sensitive else F.lower(content)
         for t in (one, two):
             possible = possible & text.contains(t if case_sensitive else t.lower())
-    return F.when(possible, test).otherwise(F.lit(False))
+    return F.when(possible, found).otherwise(F.lit(False))

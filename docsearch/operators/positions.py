@@ -5,37 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsearch.functions.arrays import let, running_sums
 from docsearch.functions.patterns import AFTER_WORD, BEFORE_WORD, QueryError, quote
 
 
-def _running(lengths: Column, first: Column | int = 0) -> Column:
-    """The sums before each element of an array of lengths."""
-    zero = F.array(F.lit(first).cast("int") if isinstance(first, int) else first.cast("int"))
-    return F.slice(F.aggregate(lengths, zero, lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n))), 1, F.size(lengths))
+def _before(content: Column, term: str, case_sensitive: bool, whole_word: bool) -> tuple[Column, str]:
+    """The text to search, and a pattern of the empty places before the term."""
+    text, t = (content, term) if case_sensitive else (F.lower(content), term.lower())
+    return text, f"{BEFORE_WORD if whole_word else ''}(?=\\Q{t}\\E{AFTER_WORD if whole_word else ''})"
 
 
 def positions(content: Column, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
     """Starts of the term, overlapping ones too (aba in abababa: 0, 2, 4). Cutting the text before each occurrence leaves
     segments; those that begin with the term begin at its places."""
-    text, t = (content, term) if case_sensitive else (F.lower(content), term.lower())
-    look = f"(?=\\Q{t}\\E)" if not whole_word else f"{BEFORE_WORD}(?=\\Q{t}\\E{AFTER_WORD})"
-    parts = F.split(text, look, -1)
-    # The first segment may begin with the term by itself; every later one does, as the text was cut there.
-    starts = _running(F.transform(parts, lambda p: F.length(p)))
-    at_start = text.rlike("^" + look)
-    kept = F.filter(starts, lambda s, i: (i > 0) | at_start)
-    return F.when(content.isNull() | F.lit(not term), F.array().cast("array<int>")).otherwise(kept)
+    text, look = _before(content, term, case_sensitive, whole_word)
+
+    def places(parts: Column) -> Column:
+        # The first segment may begin with the term by itself; every later one does, as the text was cut there.
+        starts = F.slice(running_sums(F.transform(parts, lambda p: F.length(p))), 1, F.size(parts))
+        return F.filter(starts.cast("array<int>"), lambda s, i: (i > 0) | text.rlike("^" + look))
+
+    found = F.when(text.rlike(look), let(F.split(text, look, -1), places))
+    return F.when(content.isNull() | F.lit(not term) | found.isNull(), F.array().cast("array<int>")).otherwise(found)
 
 
 def regex_positions(content: Column, pattern: str) -> Column:
     """Starts of successive matches: gaps and matches alternate, so a match begins after all before it. Patterns that match
     the empty string are refused by ``check_positions``."""
-    hits = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(content, pattern, -1), 1, F.size(hits))
-    steps = F.zip_with(gaps, hits, lambda g, m: F.length(g) + F.length(m))
-    before = _running(steps)
-    starts = F.zip_with(before, gaps, lambda b, g: b + F.length(g))
-    return F.when(content.rlike(pattern), starts).otherwise(F.array().cast("array<int>"))
+
+    def places(hits: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(content, pattern, -1), 1, F.size(hits)), lambda g: F.length(g))
+
+        def starts(g: Column) -> Column:
+            before = running_sums(F.zip_with(g, hits, lambda n, m: n + F.length(m)))
+            return F.zip_with(F.slice(before, 1, F.size(g)), g, lambda b, n: (b + n).cast("int"))
+
+        return let(gaps, starts)
+
+    return F.when(content.rlike(pattern), let(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), places)).otherwise(F.array().cast("array<int>"))
 
 
 def check_positions(spark, pattern: str) -> None:
@@ -44,25 +51,30 @@ def check_positions(spark, pattern: str) -> None:
 
 
 def match_count(content: Column, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
-    return F.size(positions(content, term, case_sensitive, whole_word))
+    """The number of ``positions``, without the places themselves."""
+    text, look = _before(content, term, case_sensitive, whole_word)
+    return F.when(content.isNull() | F.lit(not term), 0).otherwise(F.regexp_count(text, F.lit(look)))
+
+
+def _placed_lines(content: Column) -> Column:
+    """line_no (from 0), line and start of every line."""
+
+    def placed(parts: Column) -> Column:
+        offsets = running_sums(F.transform(parts, lambda p: F.length(p) + 1))
+        return let(offsets, lambda o: F.transform(parts, lambda p, i: F.struct(i.alias("line_no"), p.alias("line"), F.get(o, i).cast("int").alias("start"))))
+
+    return let(F.split(content, "\n"), placed)
 
 
 def lines(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """key, line_no (from 0), line, start of every line."""
-    parts = F.split(F.col(content), "\n")
-    offsets = _running(F.transform(parts, lambda p: F.length(p) + 1))
-    both = F.arrays_zip(parts.alias("line"), offsets.alias("start"))
-    return docs.filter(F.col(content).isNotNull()).select(key, F.posexplode(both).alias("line_no", "l")).select(key, "line_no", "l.line", "l.start")
+    return docs.filter(F.col(content).isNotNull()).select(key, F.explode(_placed_lines(F.col(content))).alias("l")).select(key, "l.line_no", "l.line", "l.start")
 
 
 def matched_lines(docs: DataFrame, predicate, key: str = "doc_id", content: str = "content", most: int = 10_000) -> DataFrame:
     """The first ``most`` lines of each document that ``predicate`` (Column -> Column) accepts. The limit is a feature of the
     operator; lines are numbered inside the document's own array, so no document is shuffled."""
-    parts = F.split(F.col(content), "\n")
-    offsets = _running(F.transform(parts, lambda p: F.length(p) + 1))
-    numbered = F.zip_with(parts, offsets, lambda p, o: F.struct(p.alias("line"), o.alias("start")))
-    placed = F.transform(numbered, lambda x, i: F.struct(i.alias("line_no"), x["line"].alias("line"), x["start"].alias("start")))
-    good = F.slice(F.filter(placed, lambda x: F.coalesce(predicate(x["line"]), F.lit(False))), 1, most)
+    good = F.slice(F.filter(_placed_lines(F.col(content)), lambda x: F.coalesce(predicate(x["line"]), F.lit(False))), 1, most)
     return docs.filter(F.col(content).isNotNull()).select(key, F.explode(good).alias("l")).select(key, "l.line_no", "l.line", "l.start")
 
 
@@ -83,9 +95,23 @@ def highlight_spans(content: Column, terms: list[str], case_sensitive: bool = Fa
     return F.zip_with(regex_positions(content, pattern), hits, lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("term")))
 
 
+#: Comments, declarations, scripts and styles with what they hold, and tags; a > in a quoted attribute doesn't end a tag.
+_MARKUP = r"""<!--[\s\S]*?-->|<[!?][^>]*>|<(?i:script)[\s>][\s\S]*?</(?i:script)[^>]*>|<(?i:style)[\s>][\s\S]*?</(?i:style)[^>]*>|</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*+>"""
+
+
 def highlight_html(html: Column, terms: list[str], case_sensitive: bool = False) -> Column:
-    """As ``highlight``, in text only: a match that a > follows before the next < stands in a tag."""
-    return F.regexp_replace(html, ("" if case_sensitive else "(?i)") + _alternation(terms) + "(?![^<>]*>)", "<mark>$1</mark>")
+    """Marks in text nodes only, never in tags, comments, scripts or styles. In each text node the first of ``terms`` that it holds is
+    marked, wherever it stands, and the others are not."""
+    way = "" if case_sensitive else "(?i)"
+
+    def node(text: Column) -> Column:
+        out = text
+        for t in reversed([t for t in terms if t]):
+            out = F.when(text.rlike(way + quote(t)), F.regexp_replace(text, f"{way}({quote(t)})", "<mark>$1</mark>")).otherwise(out)
+        return out
+
+    tags = F.regexp_extract_all(html, F.lit(_MARKUP), F.lit(0))
+    return F.array_join(F.zip_with(F.split(html, _MARKUP, -1), tags, lambda text, tag: F.concat(node(text), F.coalesce(tag, F.lit("")))), "")
 
 
 def chunks(docs: DataFrame, size: int = 64 << 10, overlap: int = 1 << 10, key: str = "doc_id", content: str = "content") -> DataFrame:
@@ -97,11 +123,25 @@ def chunks(docs: DataFrame, size: int = 64 << 10, overlap: int = 1 << 10, key: s
     return each.select(key, "chunk_no", "start", F.substring(F.col(content), F.col("start") + 1, F.lit(size)).alias("chunk"))
 
 
-def line_safe_chunks(docs: DataFrame, size: int = 64 << 10, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """key, chunk_no, chunk: whole lines; a line belongs to the piece in which it begins. Grouped by document and piece."""
-    placed = lines(docs, key, content).withColumn("chunk_no", F.floor(F.col("start") / size).cast("int"))
-    parts = placed.groupBy(key, "chunk_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return parts.select(key, "chunk_no", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("chunk"))
+def line_safe_chunks(docs: DataFrame, size: int = 64 << 10, radius: int = 1000, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """key, chunk_no, start, chunk: pieces of about ``size`` characters. Each multiple of ``size`` is moved to the nearest begin of a
+    line at most ``radius`` characters away, to the earlier of two as near; where there is none, the line is cut. So no piece is
+    longer than size + 2 * radius."""
+    if not 0 <= 2 * radius < size:
+        raise ValueError("twice the radius is smaller than the size")
+    c = F.col(content)
+
+    def moved(ideal: Column) -> Column:
+        back = F.instr(F.reverse(F.substring(c, ideal - radius + 1, F.lit(radius))), "\n") - 1
+        ahead = F.instr(F.substring(c, ideal + 1, F.lit(radius)), "\n")
+        return F.when((back >= 0) & ((ahead == 0) | (back <= ahead)), ideal - back).when(ahead > 0, ideal + ahead).otherwise(ideal)
+
+    inner = F.when(F.length(c) > size, F.transform(F.sequence(F.lit(size), F.length(c) - 1, F.lit(size)), moved)).otherwise(F.array().cast("array<int>"))
+    starts = F.concat(F.array(F.lit(0)), F.filter(inner, lambda b: b < F.length(c)))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.length(c)))
+    spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    each = docs.filter(F.length(c) > 0).select(key, content, F.posexplode(spans).alias("chunk_no", "s"))
+    return each.select(key, "chunk_no", "s.start", F.substring(c, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk"))
 
 
 def whole_word_at(content: Column, at: Column, length: int) -> Column:

@@ -129,7 +129,8 @@ def level(ratio: Column) -> Column:
 
 
 def level_changes(points: DataFrame) -> DataFrame:
-    """key, ts, id, ratio, level of the points whose level differs from that of the point before (the first one counts).
+    """key, ts, id, ratio, level, and what other columns there are, of the points whose level differs from that of the point before
+    (the first one counts).
     A series is cut into days, so a key with most of the points is many window groups; the last level of each day, a small table,
     leads over to the next."""
     rows = points.withColumns({"level": level(F.col("ratio")), "_day": F.to_date("ts")})
@@ -137,4 +138,4 @@ def level_changes(points: DataFrame) -> DataFrame:
     before = last.select("key", "_day", F.lag("_end").over(W.partitionBy("key").orderBy("_day")).alias("_before"))
     inside = F.lag("level").over(W.partitionBy("key", "_day").orderBy("ts", "id"))
     joined = rows.withColumn("_last", inside).join(before, ["key", "_day"]).withColumn("_last", F.coalesce("_last", "_before"))
-    return joined.filter(F.col("_last").isNull() | (F.col("_last") != F.col("level"))).select("key", "ts", "id", "ratio", "level")
+    return joined.filter(F.col("_last").isNull() | (F.col("_last") != F.col("level"))).select("key", "ts", "id", "ratio", "level", *(n for n in points.columns if n not in ("key", "ts", "id", "ratio", "level")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docsearch.functions.arrays import let, running_sums
+
 WORD_CHARS = "A-Za-z0-9_À-ÿ"
 _RUN = f"[{WORD_CHARS}]+"
 
@@ -15,29 +17,22 @@ def words(content: Column) -> Column:
     return F.filter(F.regexp_extract_all(content, F.lit(_RUN), F.lit(0)), lambda w: F.length(w) > 1)
 
 
+def placed_words(content: Column) -> Column:
+    """word, start and end (of the last character) of every word, in order. Gaps and runs alternate, so a run begins after all
+    before it."""
+
+    def placed(runs: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(content, _RUN, -1), 1, F.size(runs)), lambda g: F.length(g))
+        after = let(gaps, lambda g: F.slice(running_sums(F.zip_with(g, runs, lambda n, w: n + F.length(w))), 2, F.size(runs)))
+        return F.zip_with(runs, after, lambda w, e: F.struct(w.alias("word"), (e - F.length(w)).cast("int").alias("start"), (e - 1).cast("int").alias("end")))
+
+    return F.filter(let(F.regexp_extract_all(content, F.lit(_RUN), F.lit(0)), placed), lambda x: F.length(x["word"]) > 1)
+
+
 def tokens(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """key, word_idx, word, start, end (of the last character) of every word."""
-    runs = F.regexp_extract_all(F.col(content), F.lit(_RUN), F.lit(0))
-    gaps = F.split(F.col(content), _RUN, -1)
-    return _starts(docs.select(key, runs.alias("_runs"), gaps.alias("_gaps")), key)
-
-
-def _starts(cut: DataFrame, key: str) -> DataFrame:
-    """Explodes gap and run together and adds up lengths in document order. A row number for each document row keeps repeated
-    documents apart; the window's groups are documents, which are bounded."""
-    rows = cut.filter(F.size("_runs") > 0).withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select(key, "_row", F.posexplode(F.arrays_zip(F.slice("_gaps", 1, F.size("_runs")).alias("gap"), F.col("_runs").alias("word"))).alias("_i", "p"))
-    w = W.partitionBy("_row").orderBy("_i")
-    upto = F.sum(F.length("p.gap") + F.length("p.word")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    placed = each.select(key, "_row", "_i", F.col("p.word").alias("word"), upto.alias("after"))
-    long = placed.filter(F.length("word") > 1)
-    return long.select(
-        key,
-        (F.row_number().over(W.partitionBy("_row").orderBy("_i")) - 1).alias("word_idx"),
-        "word",
-        (F.col("after") - F.length("word")).cast("int").alias("start"),
-        (F.col("after") - 1).cast("int").alias("end"),
-    )
+    """key, word_idx, word, start, end (of the last character) of every word. Words are placed inside their document's row, so
+    nothing is shuffled."""
+    return docs.select(key, F.posexplode(placed_words(F.col(content))).alias("word_idx", "w")).select(key, "word_idx", "w.word", "w.start", "w.end")
 
 
 def word_index_at(places: DataFrame, token_table: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -13,7 +13,8 @@ from docsearch.plans.query import Near, Not, Regex, Settings, Term, all_of, any_
 from docsearch.plans.query import regex as regex_test
 from docsearch.plans.query import term as term_test
 from docsearch.sources import export
-from docsearch.sources.corpus import corpus, fetch_content, limit_content, read_table, union_scans, with_read_status
+from docsearch.sources.corpus import MAX_BYTES, corpus, fetch_content, limit_content, read_table, scan, union_scans, with_read_status
+from docsearch.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,7 +180,6 @@ def near_query(name: str, test: Callable[[], Column], sql: str | None) -> None:
 
 near_query("c18_near", lambda: near.near(c, "estion", "the", 3, fuzzy=False), _near_sql("contains(w, 'estion')", "contains(w, 'the')", 3))
 near_query("c19_near_text_distance", lambda: near.near(c, "estion", "the", "2", fuzzy=False), _near_sql("contains(w, 'estion')", "contains(w, 'the')", 2))
-near_query("c20_near_regex", lambda: near.near(c, "/[A-Z]{4,}/", "the", 4, fuzzy=False), None)
 near_query("c21_near_whole_word", lambda: near.near(c, "for", "and", 2, whole_word=True, fuzzy=False), _near_sql("w = 'for'", "w = 'and'", 2))
 near_query(
     "c22_near_fuzzy",
@@ -190,7 +190,6 @@ near_query(
       FROM (SELECT doc_id, {WORDS.format('lower(content)')} AS ws FROM corpus WHERE length(content) >= 10)))
       WHERE len(list_filter(a, lambda i: len(list_filter(b, lambda j: abs(i - j) <= 4)) > 0)) > 0""",
 )
-near_query("c23_near_phrase", lambda: near.near(c, "of the", "and", 3, fuzzy=False), None)
 near_query(
     "c10_not_near",
     lambda: compile_query(all_of(Term("estion"), Not(Near("estion", "the", 3))), settings=STRICT),
@@ -255,6 +254,19 @@ def on_tokens(name: str, sql: str | None) -> Callable[[Callable[[DataFrame, Data
     return keep
 
 
+def _near_places_sql(places: str, word: str, d: int) -> str:
+    """Documents in which a word with ``word`` is at most d words from one that holds one of the places (a query: doc_id, pos)."""
+    return f""", hits AS ({places}), a AS (SELECT DISTINCT h.doc_id, max(t.word_idx) AS i FROM hits h JOIN toks t ON t.doc_id = h.doc_id AND t.start <= h.pos GROUP BY h.doc_id, h.pos)
+      SELECT DISTINCT a.doc_id FROM a JOIN toks b ON a.doc_id = b.doc_id AND contains(lower(b.word), '{word}') AND abs(a.i - b.word_idx) <= {d} JOIN corpus ON corpus.doc_id = a.doc_id WHERE length(content) >= 10"""
+
+
+_UPPER = "'[A-Z]{4,}'"
+_UPPER_PLACES = f"""SELECT doc_id, unnest(list_transform(generate_series(1, len(regexp_extract_all(content, {_UPPER}))), lambda i:
+  CAST(list_sum(list_transform(string_split_regex(content, {_UPPER})[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(content, {_UPPER})[1:i - 1], lambda x: length(x))), 0) AS BIGINT))) AS pos FROM corpus"""
+on_tokens("c20_near_regex", _near_places_sql(_UPPER_PLACES, "the", 4))(lambda d, _: d.filter(near.near(c, "/[A-Z]{4,}/", "the", 4, fuzzy=False)).select("doc_id"))
+on_tokens("c23_near_phrase", _near_places_sql(f"SELECT doc_id, unnest({_places('of the')}) AS pos FROM {_CHARS}", "and", 3))(lambda d, _: d.filter(near.near(c, "of the", "and", 3, fuzzy=False)).select("doc_id"))
+
+
 @on_tokens("d5_fuzzy_positions", f"SELECT doc_id, word, start FROM toks WHERE {_close_sql('lower(word)', 'threoa')}")
 def _d5(d: DataFrame, t: DataFrame) -> DataFrame:
     return fuzzy.fuzzy_positions(t, "threoa").select("doc_id", "word", "start")
@@ -309,10 +321,23 @@ computed("d14_truncate", lambda: text.truncate(c, 80), "CASE WHEN length(content
 computed("d14_preview", lambda: text.preview(c, 80), "CASE WHEN length(content) <= 80 THEN content ELSE substr(content, 1, 80) || '...' END")
 computed("d14_first_lines", lambda: text.first_lines(c, 3), "array_to_string(string_split(content, chr(10))[1:3], chr(10))")
 computed("d15_highlight", lambda: positions.highlight(c, ["estion", "the"]), r"regexp_replace(content, '(?i)(estion|the)', '<mark>\1</mark>', 'g')")
-on_corpus("d15_highlight_spans", None)(lambda d: d.select("doc_id", F.explode(positions.highlight_spans(c, ["estion", "ortion"])).alias("s")).select("doc_id", "s.start", "s.end", "s.term"))
+_SPAN_PLACES = "list_filter(generate_series(1, len(ch) - 5), lambda i: {0})".format(" OR ".join("(" + " AND ".join(f"ch[i + {k}] = '{x}'" for k, x in enumerate(t)) + ")" for t in ("estion", "ortion")))
+#: The two terms have one length and can't overlap, so every place is a span.
+on_corpus("d15_highlight_spans", f"SELECT doc_id, CAST(s - 1 AS INTEGER) AS start, CAST(s + 5 AS INTEGER) AS \"end\", substr(content, s, 6) AS term FROM (SELECT doc_id, content, unnest({_SPAN_PLACES}) AS s FROM {_CHARS})")(lambda d: d.select("doc_id", F.explode(positions.highlight_spans(c, ["estion", "ortion"])).alias("s")).select("doc_id", "s.start", "s.end", "s.term"))
+
+
+#: Text nodes and tags alternate; the first term that a node holds is marked in it.
+_TAGS = r"""'<!--[\s\S]*?-->|<[!?][^>]*>|<(?i:script)[\s>][\s\S]*?</(?i:script)[^>]*>|<(?i:style)[\s>][\s\S]*?</(?i:style)[^>]*>|</?[A-Za-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>'"""
+_MARKED = r"CASE WHEN contains(lower(t), 'the') THEN regexp_replace(t, '(?i)(the)', '<mark>\1</mark>', 'g') WHEN contains(lower(t), 'tion') THEN regexp_replace(t, '(?i)(tion)', '<mark>\1</mark>', 'g') ELSE t END"
 
 
-@query("d16_highlight_html")
+@query(
+    "d16_highlight_html",
+    f"""WITH n AS (SELECT page_id, string_split_regex(html, {_TAGS}) AS texts, regexp_extract_all(html, {_TAGS}) AS tags FROM pages),
+    each AS (SELECT page_id, i, texts[i] AS t, coalesce(tags[i], '') AS tag FROM (SELECT *, unnest(generate_series(1, len(texts))) AS i FROM n))
+    SELECT page_id, string_agg({_MARKED} || tag, '' ORDER BY i) AS html FROM each GROUP BY page_id""",
+    with_corpus=False,
+)
 def _d16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", positions.highlight_html(F.col("html"), ["the", "tion"]).alias("html"))
 
@@ -321,7 +346,16 @@ on_corpus(
     "d17_chunks",
     "SELECT doc_id, CAST(s // 900 AS INTEGER) AS chunk_no, CAST(s AS INTEGER) AS start, substr(content, s + 1, 1000) AS chunk FROM (SELECT doc_id, content, unnest(generate_series(0, length(content) - 1, 900)) AS s FROM corpus WHERE length(content) > 0)",
 )(lambda d: positions.chunks(d, 1000, 100))
-on_corpus("d18_line_safe_chunks", f"SELECT doc_id, CAST(start // 1000 AS INTEGER) AS chunk_no, string_agg(line, chr(10) ORDER BY line_no) AS chunk FROM {_LINES} GROUP BY ALL")(lambda d: positions.line_safe_chunks(d, 1000))
+_BACK = "instr(reverse(substr(content, i * 1000 - 199, 200)), chr(10)) - 1"
+_AHEAD = "instr(substr(content, i * 1000 + 1, 200), chr(10))"
+on_corpus(
+    "d18_line_safe_chunks",
+    f"""SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_no, CAST(s AS INTEGER) AS start, substr(content, s + 1, e - s) AS chunk FROM (
+      SELECT doc_id, content, unnest(b) AS s, unnest(list_append(b[2:], length(content))) AS e, unnest(generate_series(1, len(b))) AS k FROM (
+        SELECT doc_id, content, list_prepend(0, list_filter(list_transform(generate_series(1, (length(content) - 1) // 1000), lambda i:
+          CASE WHEN {_BACK} >= 0 AND ({_AHEAD} = 0 OR {_BACK} <= {_AHEAD}) THEN i * 1000 - ({_BACK}) WHEN {_AHEAD} > 0 THEN i * 1000 + {_AHEAD} ELSE i * 1000 END), lambda x: x < length(content))) AS b
+        FROM corpus WHERE length(content) > 0))""",
+)(lambda d: positions.line_safe_chunks(d, 1000, 200))
 
 
 @on_tokens("d19_boundaries", 'SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, start AS pos FROM toks UNION ALL SELECT doc_id, "end" + 1 FROM toks)')
@@ -377,29 +411,39 @@ def _x8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- sources, exports, result sets ---------------------------------------------------------------------------------------------
-_SEARCHED = """, searched AS (SELECT doc_id, file_path, mtime, size, lang, content AS whole, CASE WHEN size > 8000 THEN NULL ELSE content END AS content,
-  CASE WHEN size > 8000 THEN 'fileTooLarge:' || size END AS read_error, coalesce(size <= 8000 AND contains(lower(content), 'estion'), false) AS matched FROM corpus)"""
+def _searched_sql(most: int) -> str:
+    return f""", searched AS (SELECT doc_id, file_path, mtime, size, lang, content AS whole, CASE WHEN size > {most} THEN NULL ELSE content END AS content,
+  CASE WHEN size > {most} THEN 'fileTooLarge:' || size END AS read_error, coalesce(size <= {most} AND contains(lower(content), 'estion'), false) AS matched FROM corpus)"""
 
 
-def on_results(name: str, sql: str | None) -> Callable[[Callable[[DataFrame, DataFrame], DataFrame]], Query]:
-    """Registers a query over the corpus and the result of a search in it, files over 8,000 bytes being read errors."""
+def on_results(name: str, sql: str | None, most: int = MAX_BYTES) -> Callable[[Callable[[DataFrame, DataFrame], DataFrame]], Query]:
+    """Registers a query over the corpus and the result of a search in it, files over ``most`` bytes being read errors."""
 
     def keep(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            d = with_read_status(corpus(spark, sf_dir), 8000)
+            d = with_read_status(corpus(spark, sf_dir), most)
             return f(d, search(d, Term("estion"), STRICT))
 
-        return query(name, f"{_SEARCHED} {sql}" if sql else None)(run)
+        return query(name, f"{_searched_sql(most)} {sql}" if sql else None)(run)
 
     return keep
 
 
+@query("s1_scan_files", "SELECT 'lang=' || lang || '/source=' || source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY 1", with_corpus=False)
+def _s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as text files in folders, and found again by a scan of these files."""
+    path = new_path(spark)
+    read_table(spark, sf_dir, "documents").filter("text is not null").select("lang", "source", "text").write.partitionBy("lang", "source").text(path)
+    found = scan(spark, path, ["txt"])
+    return found.groupBy(F.regexp_extract("file_path", "(lang=[^/]*/source=[^/]*)/[^/]*$", 1).alias("folder")).agg(F.sum(F.octet_length("content")).alias("bytes"))
+
+
 @on_corpus("s2_scan_many", "SELECT file_path, size FROM corpus WHERE lang IN ('en', 'de') OR size > 3000")
 def _s2(d: DataFrame) -> DataFrame:
     return union_scans([d.filter("lang = 'en'"), d.filter("lang = 'de'"), d.filter("size > 3000")]).select("file_path", "size")
 
 
-@on_results("s3_read_status", "SELECT file_path, matched, read_error FROM searched")
+@on_results("s3_read_status", "SELECT file_path, matched, read_error FROM searched", most=8000)
 def _s3(d: DataFrame, r: DataFrame) -> DataFrame:
     return r.select("file_path", "matched", "read_error")
 
@@ -579,19 +623,17 @@ def _w8(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = 8) -> DataFrame:
     from docsearch.streaming import search as streaming
 
     # a pattern that matches the table alone: a stream's source takes patterns, but no single file
-    return streaming.read_documents(spark, f"{sf_dir}/[{name[0]}]{name[1:]}.parquet", read_table(spark, sf_dir, name).schema)
+    return streaming.read_documents(spark, f"{sf_dir}/[{name[0]}]{name[1:]}.parquet", read_table(spark, sf_dir, name).schema, files_per_batch=files_per_batch)
 
 
 def _to_end(stream: DataFrame, mode: str) -> DataFrame:
-    import uuid
-
     from docsearch.streaming import search as streaming
 
-    return streaming.run_to_end(stream, f"stream_{uuid.uuid4().hex}", mode)
+    return streaming.run_to_table(stream, mode)
 
 
 @query("r1_stream_search", f"WITH {CORPUS} SELECT doc_id FROM corpus WHERE contains(lower(content), 'estion') AND doc_id IN ({_near_sql(*ESTION_THE, 3)})", with_corpus=False)
@@ -613,8 +655,8 @@ def _r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsearch.streaming import search as streaming
 
-    points = _stream(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("value") / 100).alias("ratio"))
-    return _to_end(streaming.stream_level_changes(points).select("key", "id", "level"), "append")
+    points = _stream(spark, sf_dir, "events", None).select(F.col("event_type").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("value") / 100).alias("ratio"))
+    return streaming.run_level_changes(points).select("key", "id", "level")
 
 
 @query("r4_stream_op_stats", "SELECT event_type AS name, count(*) AS calls, round(sum(value), 4) AS total, min(value) AS minimum, max(value) AS maximum FROM events GROUP BY 1", with_corpus=False)

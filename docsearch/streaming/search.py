@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docsearch.operators.telemetry import level_changes
 from docsearch.plans.query import Node, Settings, check, compile_query
+from docsearch.sources.scratch import new_path
 
 
-def read_documents(spark: SparkSession, folder: str, schema, file_format: str = "parquet", files_per_batch: int = 8) -> DataFrame:
-    """A stream of the files that arrive in a folder."""
-    return spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
+def read_documents(spark: SparkSession, folder: str, schema, file_format: str = "parquet", files_per_batch: int | None = 8) -> DataFrame:
+    """A stream of the files that arrive in a folder; ``files_per_batch`` None: all that are there in one batch."""
+    reader = spark.readStream.format(file_format).schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(folder)
 
 
 def stream_search(stream: DataFrame, tree: Node | dict | None, settings: Settings = Settings(), content: str = "content") -> DataFrame:
@@ -56,21 +55,27 @@ class ProgressListener(StreamingQueryListener):
         self.status = "failed" if event.exception else "completed"
 
 
-def stream_level_changes(points: DataFrame) -> DataFrame:
-    """key, ts, ratio, level of the points whose level differs from the key's last one. State: one level for each key. Points of
-    one batch are taken in the order of ts; a batch later than a point's own counts as after it."""
+def run_level_changes(points: DataFrame) -> DataFrame:
+    """Runs what is there of a stream of points (key, ts, id, ratio) to its end: key, ts, id, ratio, level of the points whose level
+    differs from that of the key's point before, in a table in the shared folder.
+
+    Each batch is a batch query (``telemetry.level_changes``, which cuts a key into days) over its points and the last point of
+    each key so far, the only state. Points of one batch are taken in the order of ts. A point that arrives in a later batch than
+    one with a later ts has those of its own batch before it only."""
+    spark = points.sparkSession
+    path = new_path(spark)
+    kept = ["key", "ts", "id", "ratio"]
 
-    def changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"], kind="stable")
-        named = rows.ratio.map(lambda r: "high" if r >= 0.85 else "medium" if r >= 0.70 else "low")
-        before = named.shift(1)
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        state.update((named.iloc[-1],))
-        out = rows.assign(key=key[0], level=named)[(before != named).to_numpy()]
-        yield out[["key", "ts", "id", "ratio", "level"]]
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*kept, F.lit(False).alias("_old"))
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{path}-state/{number - 1}").withColumn("_old", F.lit(True)))
+        level_changes(rows).filter(~F.col("_old")).drop("_old").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = rows.groupBy("key").agg(F.max_by(F.struct("ts", "id", "ratio"), F.struct("ts", "id")).alias("p"))
+        last.select("key", "p.*").write.mode("overwrite").parquet(f"{path}-state/{number}")
 
-    return points.groupBy("key").applyInPandasWithState(changes, "key string, ts timestamp, id long, ratio double, level string", "level string", "append", GroupStateTimeout.NoTimeout)
+    points.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string, ts timestamp, id long, ratio double, level string").parquet(f"{path}/batch=*")
 
 
 def stream_op_stats(ops: DataFrame) -> DataFrame:
@@ -86,9 +91,16 @@ def windowed_op_stats(ops: DataFrame, width: str = "1 hour", late: str = "10 min
     return by.agg(F.count("*").alias("calls"), F.sum(d).alias("total"), F.min(d).alias("minimum"), F.max(d).alias("maximum")).select(F.col("w.start").alias("start"), "name", "calls", "total", "minimum", "maximum")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs what is there through the stream into a table in memory and returns it (for tests and small reports)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs what is there through the stream into a table in the shared folder, and reads it. Rows that a stream adds go to the
+    Parquet sink, with a checkpoint beside the table; of a result that is rewritten with every batch (complete mode) the last
+    batch is the table. No row comes to the driver."""
+    spark = stream.sparkSession
+    path = new_path(spark)
+    writer = stream.writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path).outputMode(mode)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).outputMode(mode)
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

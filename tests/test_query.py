@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,8 @@ def test_more_positions(spark):
     assert run(spark, "test1 test2 test3", positions.regex_positions(c, r"test\d(?=\s)")) == [0, 6]
     assert [tuple(x) for x in run(spark, "Foo bar foo", positions.highlight_spans(c, ["foo", "o b"]))] == [(0, 3, "Foo"), (8, 11, "foo")]
     assert run(spark, '<a title="foo">foo</a>', positions.highlight_html(c, ["foo"])) == '<a title="foo"><mark>foo</mark></a>'
+    page = '<p title="a > foo">foo bar<!-- foo --><b>bar</b><script>foo</script> a < foo'
+    assert run(spark, page, positions.highlight_html(c, ["bar", "foo"])) == '<p title="a > foo">foo <mark>bar</mark><!-- foo --><b><mark>bar</mark></b><script>foo</script> a < <mark>foo</mark>'
     assert run(spark, "x y\tzz w", tokens.nearest_words(c, "x", "w")) == 3
     assert run(spark, "x", tokens.nearest_words(c, "x", "w")) == -1
 
@@ -134,16 +138,33 @@ def test_tokens_and_word_index(spark):
     got = {r.pos: r.word_idx for r in tokens.word_index_at(places, tokens.tokens(one)).collect()}
     assert got == {0: 0, 4: 0, 5: 0, 8: 1, 13: 1, 17: 2}
     c = F.col("content")
-    assert [run(spark, "Élan a vital, b2 x", near.word_index(c, F.lit(p))) for p in (0, 4, 5, 8, 13, 17)] == [0, 0, 0, 1, 1, 2]
+    assert run(spark, "Élan a vital, b2 x", near.word_indexes(tokens.placed_words(c)["start"], F.array(*map(F.lit, (0, 4, 5, 8, 13, 17))))) == [0, 0, 0, 1, 1, 2]
 
 
 def test_chunks_and_lines(spark):
     docs = spark.createDataFrame([(1, "ab\ncd\n\nef"), (2, None), (3, "")], "doc_id long, content string")
     assert [tuple(r) for r in positions.chunks(docs, 4, 1).orderBy("start").collect()] == [(1, 0, 0, "ab\nc"), (1, 1, 3, "cd\n\n"), (1, 2, 6, "\nef")]
-    assert [tuple(r) for r in positions.line_safe_chunks(docs, 5).orderBy("doc_id", "chunk_no").collect()] == [(1, 0, "ab\ncd"), (1, 1, "\nef"), (3, 0, "")]
+    assert [tuple(r) for r in positions.line_safe_chunks(docs, 5, 2).orderBy("doc_id", "chunk_no").collect()] == [(1, 0, 0, "ab\ncd\n"), (1, 1, 6, "\nef")]
+    wide = spark.createDataFrame([(1, "x" * 25), (2, "x" * 9 + "\n" + "y" * 11 + "\nz")], "doc_id long, content string")
+    assert [(r.start, r.chunk) for r in positions.line_safe_chunks(wide, 10, 2).orderBy("doc_id", "chunk_no").collect()] == [(0, "x" * 10), (10, "x" * 10), (20, "x" * 5), (0, "x" * 9 + "\n"), (10, "y" * 11 + "\n"), (22, "z")]
     assert [tuple(r) for r in positions.matched_lines(docs, lambda x: x.rlike("[ce]")).orderBy("line_no").collect()] == [(1, 1, "cd", 3), (1, 3, "ef", 7)]
 
 
 def test_search_keeps_rows(spark):
     docs = spark.createDataFrame([(1, "a test"), (1, "a test"), (2, None)], "doc_id long, content string")
     assert sorted((r.doc_id, r.matched) for r in search(docs, Term("test")).collect()) == [(1, True), (1, True), (2, False)]
+
+
+def test_places_take_linear_time(spark):
+    """A text with very many hits and lines: a step that copies what is there for every hit takes minutes here."""
+    long = "the quick fox\n" * 200_000
+    docs = spark.createDataFrame([(1, long)], "doc_id long, content string")
+    c = F.col("content")
+    begun = time.monotonic()
+    row = docs.select(
+        F.size(positions.positions(c, "fox")).alias("a"), F.size(positions.regex_positions(c, "q[a-z]+")).alias("b"), positions.match_count(c, "the").alias("d"),
+        near.near(c, "quick fox", "/t.e/", 3, fuzzy=False).alias("e"), F.element_at(positions.positions(c, "quick"), -1).alias("f"),
+    ).first()
+    assert tuple(row) == (200_000, 200_000, 200_000, True, 14 * 199_999 + 4)
+    assert positions.lines(docs).count() == 200_001 and tokens.tokens(docs).count() == 600_000
+    assert time.monotonic() - begun < 120

@@ -17,19 +17,19 @@ def test_stream_equals_batch(spark, tmp_path):
     df, folder = written(spark, tmp_path)
     tree = all_of(Term("delta"), Near("alpha", "gamma", 2))
     stream = streaming.stream_search(streaming.read_documents(spark, folder, df.schema, files_per_batch=1), tree)
-    got = streaming.run_to_end(stream.filter("matched").select("doc_id"), "t_search")
+    got = streaming.run_to_table(stream.filter("matched").select("doc_id"))
     assert {r[0] for r in got.collect()} == {r.doc_id for r in search(df, tree).filter("matched").collect()} != set()
 
 
 def test_progress_and_listener(spark, tmp_path):
     df, folder = written(spark, tmp_path)
     stream = streaming.stream_search(streaming.read_documents(spark, folder, df.schema), Term("delta"))
-    counts = {r.matched: r.documents for r in streaming.run_to_end(streaming.progress(stream), "t_progress", "complete").collect()}
+    counts = {r.matched: r.documents for r in streaming.run_to_table(streaming.progress(stream), "complete").collect()}
     assert counts == {True: sum(i % 3 > 0 for i in range(40)), False: sum(i % 3 == 0 for i in range(40))}
     listener = streaming.ProgressListener()
     spark.streams.addListener(listener)
     try:
-        streaming.run_to_end(streaming.observed(stream).select("doc_id"), "t_observed")
+        streaming.run_to_table(streaming.observed(stream).select("doc_id"))
         for _ in range(50):
             if listener.status == "completed":
                 break
@@ -46,9 +46,9 @@ def test_levels_and_stats(spark, tmp_path):
     ops.repartition(1).write.parquet(str(tmp_path / "ops"))
     source = lambda: streaming.read_documents(spark, str(tmp_path / "ops"), ops.schema)
     points = lambda df: df.select(F.col("name").alias("key"), "ts", "id", (F.col("duration") / 100).alias("ratio"))
-    got = streaming.run_to_end(streaming.stream_level_changes(points(source())), "t_levels")
+    got = streaming.run_level_changes(points(source()))
     assert {(r.key, r.id, r.level) for r in got.collect()} == {(r.key, r.id, r.level) for r in telemetry.level_changes(points(ops)).collect()}
-    stats = streaming.run_to_end(streaming.stream_op_stats(source()), "t_stats", "complete")
+    stats = streaming.run_to_table(streaming.stream_op_stats(source()), "complete")
     assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, telemetry.op_stats(ops).collect()))
-    windows = streaming.run_to_end(streaming.windowed_op_stats(source()), "t_windows", "append")
+    windows = streaming.run_to_table(streaming.windowed_op_stats(source()), "append")
     assert windows.count() > 0
