@@ -99,7 +99,7 @@ class Codec:
     def backtrack(self, text: str) -> list[int]:
         """The tokens of a text of known characters."""
         n = len(text)
-        longest = [-1] * n
+        longest = [-1] * n if n < 4096 else array("i", [-1]) * n
         for end, (back, token) in self.finder.iter(text):  # ends ascend: the last token written at a start is the longest
             longest[end - back] = token
         length, shorter, pairs = self.length, self.shorter, self.pairs

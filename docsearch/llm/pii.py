@@ -21,6 +21,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsearch.functions.arrays import let
 from docsearch.llm.common import text_or_empty
 
 ROUNDS = 10
@@ -70,11 +71,6 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGITS = "0123456789"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _big(v: Column | int) -> Column:
     return (F.lit(v) if isinstance(v, int) else v).cast("long")
 
@@ -115,19 +111,19 @@ def _permute_chunk(chars: Column, alphabet: str, tag: Column, key: str) -> Colum
             F.sequence(F.lit(1), n), _big(0), lambda v, i: v * base + F.instr(F.lit(alphabet), F.substring(chars, i, F.lit(1))).cast("long") - 1
         )
         low = _power(base, F.ceil(n / 2))
-        mixed = _let(value, lambda v: feistel(_div(v, low), v % low, _power(base, F.floor(n / 2)), low, F.concat_ws("|", tag, n.cast("string")), key))
+        mixed = let(value, lambda v: feistel(_div(v, low), v % low, _power(base, F.floor(n / 2)), low, F.concat_ws("|", tag, n.cast("string")), key))
         digit = lambda v: F.transform(
             F.sequence(F.lit(1), n), lambda i: F.substring(F.lit(alphabet), (_div(v, _power(base, n - i)) % base + 1).cast("int"), F.lit(1))
         )
-        return F.array_join(_let(mixed, lambda s: _let(s["a"] * low + s["b"], digit)), "")
+        return F.array_join(let(mixed, lambda s: let(s["a"] * low + s["b"], digit)), "")
 
-    return F.when(F.length(chars) == 0, F.lit("")).otherwise(_let(F.length(chars), of_length))
+    return F.when(F.length(chars) == 0, F.lit("")).otherwise(let(F.length(chars), of_length))
 
 
 def _permute(chars: Column, alphabet: str, step: int, tag: Column, key: str) -> Column:
     """As ``_permute_chunk``, for any length: pieces of ``step`` characters, each with its place in the tag."""
     pieces = F.sequence(F.lit(0), F.greatest(F.length(chars) - 1, F.lit(0)).cast("int"), F.lit(step))
-    one = lambda at: _let(
+    one = lambda at: let(
         F.substring(chars, at + 1, F.lit(step)), lambda c: _permute_chunk(c, alphabet, F.concat_ws("|", tag, at.cast("string")), key)
     )
     return F.array_join(F.transform(pieces, one), "")
@@ -182,10 +178,10 @@ def _card(m: Column, key: str) -> Column:
 
     def of(d: Column) -> Column:
         body = _permute_chunk(F.substring(d, F.lit(2), F.length(d) - 2), _DIGITS, F.lit("card"), key)
-        full = _let(F.concat(F.substring(d, 1, 1), body), lambda p: F.concat(p, ((10 - _luhn(p, 0) % 10) % 10).cast("string")))
-        return _let(full, lambda f: _refill(m, f, "0-9"))
+        full = let(F.concat(F.substring(d, 1, 1), body), lambda p: F.concat(p, ((10 - _luhn(p, 0) % 10) % 10).cast("string")))
+        return let(full, lambda f: _refill(m, f, "0-9"))
 
-    return _let(_only(m, "0-9"), of)
+    return let(_only(m, "0-9"), of)
 
 
 def _valid_card(d: Column) -> Column:
@@ -203,13 +199,13 @@ def _cards(m: Column, key: str) -> Column:
             """The number of parts from i on that are a card, 0 if there is none."""
             most = F.least(F.size(part) - i + 1, F.lit(19))
             lengths = F.sequence(most, F.lit(1), F.lit(-1))
-            good = F.filter(lengths, lambda n: _let(_only(text(i, n), "0-9"), _valid_card))
+            good = F.filter(lengths, lambda n: let(_only(text(i, n), "0-9"), _valid_card))
             return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(0))
 
         def step(s: Column, i: Column) -> Column:
             plain = F.struct(s["free"].alias("free"), s["found"].alias("found"))
             taken = lambda n: F.struct((i + n).alias("free"), F.concat(s["found"], F.array(F.struct(i.alias("i"), n.alias("n")).cast(_SPAN))).alias("found"))
-            return F.when(i < s["free"], plain).otherwise(_let(longest(i), lambda n: F.when(n > 0, taken(n)).otherwise(plain)))
+            return F.when(i < s["free"], plain).otherwise(let(longest(i), lambda n: F.when(n > 0, taken(n)).otherwise(plain)))
 
         start = F.struct(F.lit(1).alias("free"), F.array().cast(f"array<{_SPAN}>").alias("found"))
         found = F.aggregate(F.sequence(F.lit(1), F.size(part)), start, step, lambda s: s["found"])
@@ -227,9 +223,9 @@ def _cards(m: Column, key: str) -> Column:
             whole = F.concat(F.flatten(F.transform(f, one)), F.array(_piece(text(end, F.greatest(F.size(part) - end + 1, F.lit(0))))))
             return F.when(F.size(f) == 0, F.array(_piece(m))).otherwise(whole)
 
-        return _let(found, pieces)
+        return let(found, pieces)
 
-    return _let(parts, of)
+    return let(parts, of)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -243,13 +239,13 @@ def _iban(m: Column, key: str) -> Column:
         def split(k: Column) -> Column:
             """The k characters that count, with the blanks among them, and what follows."""
             ends = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: F.length(_only(F.substring(m, F.lit(1), i), "A-Z0-9")) == k)
-            return _let(F.element_at(ends, 1), lambda e: F.array(
+            return let(F.element_at(ends, 1), lambda e: F.array(
                 _piece(F.substring(m, F.lit(1), e), "iban", _new_iban(F.substring(m, F.lit(1), e), key)), _piece(F.substring(m, e + 1, F.length(m)))
             ))
 
-        return _let(n, lambda k: F.when(good(k), split(k)).otherwise(F.array(_piece(m))))
+        return let(n, lambda k: F.when(good(k), split(k)).otherwise(F.array(_piece(m))))
 
-    return _let(_only(m, "A-Z0-9"), of)
+    return let(_only(m, "A-Z0-9"), of)
 
 
 def _new_iban(m: Column, key: str) -> Column:
@@ -258,11 +254,11 @@ def _new_iban(m: Column, key: str) -> Column:
         digits = _permute(_only(body, "0-9"), _DIGITS, 16, F.lit("iban"), key)
         letters = _permute(_only(body, "A-Z"), _UPPER, 12, F.lit("iban"), key)
         # the letters go in first, as marks of their places: a letter of one alphabet never meets the other
-        new = _let(digits, lambda d: _let(letters, lambda x: _refill(_refill(body, d, "0-9"), x, "A-Z")))
+        new = let(digits, lambda d: let(letters, lambda x: _refill(_refill(body, d, "0-9"), x, "A-Z")))
         check = lambda b: F.concat(land, F.lpad((98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b)
-        return _let(new, lambda b: _let(check(b), lambda f: _refill(m, f, "A-Z0-9")))
+        return let(new, lambda b: let(check(b), lambda f: _refill(m, f, "A-Z0-9")))
 
-    return _let(_only(m, "A-Z0-9"), of)
+    return let(_only(m, "A-Z0-9"), of)
 
 
 def _character(code: Column) -> Column:
@@ -278,9 +274,9 @@ def _alphabet(c: Column) -> Column:
         other = F.when(c.rlike(r"\p{L}"), entry(code - code % 128, F.lit(128), F.lit(1))).otherwise(entry(code, F.lit(1), F.lit(1)))
         table = F.expr("array(" + ", ".join(f"named_struct('lo', {lo}L, 'n', {n}L, 'by', {by}L)" for lo, n, by in ALPHABETS) + ")")
         holds = F.filter(table, lambda a: (code >= a["lo"]) & (code < a["lo"] + a["n"] * a["by"]) & ((code - a["lo"]) % a["by"] == 0))
-        return _let(F.coalesce(F.try_element_at(holds, F.lit(1)), other), lambda a: F.struct(a["lo"].alias("lo"), a["n"].alias("n"), a["by"].alias("by"), _div(code - a["lo"], a["by"]).alias("at")))
+        return let(F.coalesce(F.try_element_at(holds, F.lit(1)), other), lambda a: F.struct(a["lo"].alias("lo"), a["n"].alias("n"), a["by"].alias("by"), _div(code - a["lo"], a["by"]).alias("at")))
 
-    return _let(F.ascii(c).cast("long"), of)
+    return let(F.ascii(c).cast("long"), of)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -299,9 +295,9 @@ def _email(m: Column, key: str) -> Column:
                 return F.transform(x, lambda c, k: _character(c["lo"] + c["by"] * digit(c, k)))
 
             mixed = feistel(value(left), value(right), size(left), size(right), F.concat_ws("|", F.lit("email"), at.cast("string"), shape), key)
-            return _let(mixed, lambda s: F.array_join(F.concat(back(left, s["a"]), back(right, s["b"])), ""))
+            return let(mixed, lambda s: F.array_join(F.concat(back(left, s["a"]), back(right, s["b"])), ""))
 
-        return _let(F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: _alphabet(F.substring(chars, i, F.lit(1)))), of)
+        return let(F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: _alphabet(F.substring(chars, i, F.lit(1)))), of)
 
     def of(local: Column) -> Column:
         low = F.lower(local)
@@ -315,9 +311,9 @@ def _email(m: Column, key: str) -> Column:
 
             return F.when(local == low, new).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), one), ""))
 
-        return _let(F.array_join(parts, ""), cased)
+        return let(F.array_join(parts, ""), cased)
 
-    new = F.concat(_let(F.substring_index(m, "@", 1), of), F.lit("@"), F.substring_index(m, "@", -1))
+    new = F.concat(let(F.substring_index(m, "@", 1), of), F.lit("@"), F.substring_index(m, "@", -1))
     return F.array(_piece(m, "email", new))
 
 
@@ -330,18 +326,18 @@ def _phone(m: Column, key: str) -> Column:
     def of(d: Column) -> Column:
         head = F.when(m.startswith("+"), F.length(F.regexp_extract(d, CALLING_CODE, 0))).otherwise(F.greatest(F.length(d) - 10, F.lit(0)))
         tail = lambda h: _permute_chunk(F.substring(d, h + 1, F.length(d)), _DIGITS, F.lit("phone"), key)
-        return _let(head, lambda h: _let(F.concat(F.substring(d, F.lit(1), h), tail(h)), lambda f: _refill(m, f, "0-9")))
+        return let(head, lambda h: let(F.concat(F.substring(d, F.lit(1), h), tail(h)), lambda f: _refill(m, f, "0-9")))
 
-    return _let(_only(m, "0-9"), of)
+    return let(_only(m, "0-9"), of)
 
 
 def _ipv4(m: Column, key: str) -> Column:
     def of(o: Column) -> Column:
         half = lambda i: o[i].cast("long") * 256 + o[i + 1].cast("long")
         mixed = feistel(half(0), half(2), _big(65536), _big(65536), F.lit("ipv4"), key)
-        return _let(mixed, lambda s: F.concat_ws(".", *(f.cast("string") for h in (s["a"], s["b"]) for f in (_div(h, _big(256)), h % 256))))
+        return let(mixed, lambda s: F.concat_ws(".", *(f.cast("string") for h in (s["a"], s["b"]) for f in (_div(h, _big(256)), h % 256))))
 
-    return _let(F.split(m, r"\."), of)
+    return let(F.split(m, r"\."), of)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -354,7 +350,7 @@ def _ssn(m: Column, key: str) -> Column:
         F.lpad((_div(s["b"], _big(9999)) + 1).cast("string"), 2, "0"),
         F.lpad((s["b"] % 9999 + 1).cast("string"), 4, "0"),
     )
-    return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), _let(mixed, text))
+    return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), let(mixed, text))
 
 
 #: Month and day of the dates whose day is over 12, the 29th of February left out, and the leap years: five characters each.
@@ -371,7 +367,7 @@ def _date(m: Column, key: str) -> Column:
         def of(day: Column) -> Column:
             v = F.datediff(day, first).cast("long")
             mixed = feistel(_div(v, _big(773)), v % 773, _big(189), _big(773), F.lit("date"), key)
-            new = _let(mixed, lambda s: F.date_format(F.date_add(first, (s["a"] * 773 + s["b"]).cast("int")), fmt))
+            new = let(mixed, lambda s: F.date_format(F.date_add(first, (s["a"] * 773 + s["b"]).cast("int")), fmt))
             return F.when((v >= 0) & (v < 146097), new)
 
         return of
@@ -389,13 +385,13 @@ def _date(m: Column, key: str) -> Column:
             extra = F.concat(F.lit("02/29/"), F.substring(F.lit(_LEAP), ((v - 400 * late) * 5 + 1).cast("int"), F.lit(4)))
             return F.when(v < 400 * late, usual).otherwise(extra)
 
-        mixed = _let(value, lambda v: feistel(_div(v, _big(9833)), v % 9833, _big(n // 9833), _big(9833), F.lit("date, month first"), key))
-        return F.when((year >= 1800) & (year < 2200), _let(mixed, lambda s: _let(s["a"] * 9833 + s["b"], text)))
+        mixed = let(value, lambda v: feistel(_div(v, _big(9833)), v % 9833, _big(n // 9833), _big(9833), F.lit("date, month first"), key))
+        return F.when((year >= 1800) & (year < 2200), let(mixed, lambda s: let(s["a"] * 9833 + s["b"], text)))
 
     out = F.lit(None).cast("string")
     for fmt, shape in (("dd.MM.yyyy", r"^[0-9]{2}\."), ("MM/dd/yyyy", r"^[0-9]{2}/"), ("dd/MM/yyyy", r"^[0-9]{2}/"), ("yyyy-MM-dd", r"^[0-9]{4}-")):
         day = F.try_to_timestamp(m, F.lit(fmt)).cast("date")
-        new = _let(F.substring(m, 7, 4).cast("int"), month_first) if fmt == "MM/dd/yyyy" else _let(day, moved(fmt))
+        new = let(F.substring(m, 7, 4).cast("int"), month_first) if fmt == "MM/dd/yyyy" else let(day, moved(fmt))
         out = F.when(m.rlike(shape) & day.isNotNull(), new).otherwise(out)
     return out
 

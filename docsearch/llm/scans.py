@@ -1,7 +1,7 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger holds the (blob, rule, rule version) triples
-that were scanned before; a run scans only the blobs that lack one of the present rules, each blob once however many paths and
+that were scanned before; a run scans a blob for the rules that the ledger lacks for it, each blob once however many paths and
 versions have it, and joins findings (old and new) back to all of them by the blob's address.
 
 A rule has a pattern and a least length; matches are the leftmost non-overlapping ones, those too short are dropped. Places are
@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import cut, text_or_empty
+from docsearch.functions.arrays import let, running_sums
+from docsearch.llm.common import cut, discard, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -50,14 +51,13 @@ def spans(text: Column, rule: Rule) -> Column:
     gaps = F.split(text, rule.pattern, -1)
     rows = F.zip_with(hits, sized, lambda m, g: F.struct(F.length(m).alias("n"), F.length(g).alias("size")))
     rows = F.zip_with(F.slice(gaps, 1, F.size(hits)), rows, lambda gap, r: F.struct(F.length(gap).alias("gap"), r["n"].alias("n"), r["size"].alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        begin = s["at"] + r["gap"]
-        here = F.array(F.struct(begin.alias("start"), (begin + r["n"]).alias("end"))).cast(SPAN)
-        return F.struct((begin + r["n"]).alias("at"), F.when(r["size"] >= rule.least, F.concat(s["out"], here)).otherwise(s["out"]).alias("out"))
+    def placed(r: Column) -> Column:
+        before = running_sums(F.transform(r, lambda x: x["gap"] + x["n"]))
+        with_end = lambda b: F.transform(r, lambda x, i: F.struct((F.get(b, i) + x["gap"]).alias("start"), F.get(b, i + 1).alias("end"), x["size"].alias("size")))
+        return F.transform(F.filter(let(before, with_end), lambda x: x["size"] >= rule.least), lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
 
-    return F.when(text.rlike(rule.probe or rule.pattern), F.aggregate(rows, start, step, lambda s: s["out"]))
+    return F.when(text.rlike(rule.probe or rule.pattern), let(rows, placed))
 
 
 def blobs_of(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -65,34 +65,42 @@ def blobs_of(versions: DataFrame, text: str = "text") -> DataFrame:
     return versions.withColumn("blob", F.sha2(text_or_empty(text), 256))
 
 
+def _key(rule: Rule) -> str:
+    return f"{rule.name}:{rule.version}"
+
+
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """Scans distinct blobs (blob, text): (blob, rule, rule_version, spans), one row for each rule, found or not."""
-    found = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), spans(F.col("text"), r).alias("spans")) for r in rules))
-    return blobs.select("blob", F.explode(found).alias("f")).select("blob", "f.*")
+    """Scans distinct blobs (blob, text, missing: the rules to scan for, as name:version): (blob, rule, rule_version, spans), one row
+    for each, found or not."""
+    found = F.array(
+        *(F.when(F.array_contains("missing", _key(r)), F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), spans(F.col("text"), r).alias("spans"))) for r in rules)
+    )
+    return blobs.select("blob", F.explode(found).alias("f")).filter("f is not null").select("blob", "f.*")
+
+
+def current(ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """The rows of ``ledger`` of present rule versions."""
+    return ledger.select("blob", "rule", "rule_version", "spans").filter(F.concat_ws(":", "rule", F.col("rule_version").cast("string")).isin([_key(r) for r in rules]))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """(blob, text), one row for each blob that the ledger lacks for some present rule version. ``versions``: blob, text."""
+    """(blob, text, missing), one row for each blob for which the ledger lacks some present rule version. ``versions``: blob, text.
+    The ledger is joined on the partitioning by which repeated blobs are dropped."""
+    every = F.array(*(F.lit(_key(r)) for r in rules))
     todo = versions.select("blob", text_or_empty().alias("text")).dropDuplicates(["blob"])
     if ledger is None:
-        return todo
-    current = ledger.select("blob", "rule", "rule_version").filter(
-        F.concat_ws(":", "rule", F.col("rule_version").cast("string")).isin([f"{r.name}:{r.version}" for r in rules])
-    )
-    done = current.distinct().groupBy("blob").agg(F.count("*").alias("n")).filter(F.col("n") == len(rules)).select("blob")
-    return todo.join(done, "blob", "left_anti")
+        return todo.withColumn("missing", every)
+    key = F.concat_ws(":", "rule", F.col("rule_version").cast("string"))
+    done = current(ledger, rules).groupBy("blob").agg(F.collect_set(key).alias("_done"))  # at most one entry a rule
+    missing = F.array_except(every, F.coalesce("_done", F.array().cast("array<string>")))
+    return todo.join(done, "blob", "left").select("blob", "text", missing.alias("missing")).filter(F.size("missing") > 0)
 
 
 def update(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """The ledger after scanning what is new in ``versions`` (columns text and any others): (blob, rule, rule_version, spans).
-    Rows of older rule versions are left out of the result; unseen pairs are scanned, all others are taken over. A blob seen
-    under some rules only is scanned once for the missing ones, and what is there stays."""
+    Rows of older rule versions are left out of the result; unseen pairs are scanned, all others are taken over."""
     fresh = scan(unseen(blobs_of(versions), ledger, rules), rules)
-    if ledger is None:
-        return fresh
-    versioned = F.concat_ws(":", "rule", F.col("rule_version").cast("string"))
-    kept = ledger.select("blob", "rule", "rule_version", "spans").filter(versioned.isin([f"{r.name}:{r.version}" for r in rules]))
-    return kept.unionByName(fresh.join(kept, ["blob", "rule", "rule_version"], "left_anti"))
+    return fresh if ledger is None else current(ledger, rules).unionByName(fresh)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
@@ -115,10 +123,18 @@ def _tagged(rule: Rule, k: int) -> Column:
     return F.transform(f"{rule.name}_spans", lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), F.lit(rule.name).alias("name")))
 
 
-def report(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+def report(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES, loads: int = 2) -> DataFrame:
     """doc_id, n_{rule} for each rule, base_sha256 and spans of every row of ``documents`` (doc_id, text; others are ignored).
-    The base rules are all rules here, so base_sha256 is the digest of spans."""
+
+    The documents come in as ``loads`` loads, by a hash of doc_id: each is scanned against the ledger that the ones before it have
+    stored, so a blob that an earlier load has seen is not scanned again. The base rules are all rules here, so base_sha256 is the
+    digest of spans."""
     versions = documents.select("doc_id", "text")
-    out = findings(versions, cut(update(versions, ledger, rules)), rules)
+    for k in range(loads):
+        load = versions.filter(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(loads)) == k)
+        before, ledger = ledger, cut(update(load, ledger, rules))
+        if k:
+            discard(before)
+    out = findings(versions, ledger, rules)
     counts = [F.size(f"{r.name}_spans").cast("long").alias(f"n_{r.name}") for r in rules]
     return out.select("doc_id", *counts, listed(rules).alias("spans")).withColumn("base_sha256", F.sha2("spans", 256))

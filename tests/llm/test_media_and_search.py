@@ -1,7 +1,9 @@
 """HTML, chat, top-k, tokens, audio: edge cases, round trips and brute force on small tables."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -97,7 +99,7 @@ def test_quotes_are_linked(spark):
     assert got[(1, 2)] == ("Really?", 1, 0, 2, 2)
     assert got[(1, 3)] == ("ok", None, 3, 0, 1)
     assert got[(1, 4)] == ("Yes, really", 2, 0, 3, 1)
-    assert got[(2, 0)][1:4] == (None, 0, 0) and got[(2, 1)][0] == "" and got[(None, 0)][:2] == ("", None)
+    assert got[(2, 0)][1:4] == (None, 0, 0) and all(r.thread_conv == r.conv_id for r in out) and got[(2, 1)][0] == "" and got[(None, 0)][:2] == ("", None)
     assert [(r.conv_id, r.turn) for r in out if r.conv_id == 1] == [(1, 0), (1, 1), (1, 2), (1, 4), (1, 4), (1, 3)]
     assert chat.threads(df.filter("false")).count() == 0
 
@@ -108,6 +110,58 @@ def test_long_reply_chains(spark):
     assert {r.turn: (r.thread_root, r.depth) for r in out} == {i: (0, i) for i in range(40)}
 
 
+def plain_threads(rows):
+    """(own text, parent, root, depth) of each message, from dictionaries."""
+    flat = lambda t: " ".join(t.lower().split())
+    passages = lambda t: {p for p in map(flat, [t, *re.split(r"\n\s*\n", t), *t.split("\n")]) if p}
+    said, parsed, parent = {}, {}, {}
+    for conv, turn, _, text in rows:
+        lines = []
+        for raw in re.split(r"\r?\n", text or ""):
+            head = re.match(r"^[ \t]*>(?:[ \t]*>)*[ \t]?", raw)
+            lines.append((head[0].count(">"), raw[head.end() :]) if head else (0, raw))
+        own = "\n".join(b for k, (n, b) in enumerate(lines) if n == 0 and not (k + 1 < len(lines) and lines[k + 1][0] > 0 and b.rstrip().endswith("wrote:"))).strip()
+        runs = [(n, "\n".join(b for _, b in g)) for n, g in itertools.groupby(lines, lambda x: x[0]) if n]
+        parsed[conv, turn] = (own, runs)
+        for p in passages(own):
+            said.setdefault(p, []).append((conv, turn))
+    for me, (_, runs) in parsed.items():
+        found = []
+        for level, body in runs:
+            for p in passages(body):
+                inside = [x for x in said.get(p, []) if x[0] == me[0]]
+                origin = min(inside) if inside and min(inside) < me else min(said.get(p, [me]))
+                if origin < me:
+                    found.append((level, -len(p), origin))
+        if found:
+            best = min(found)[:2]
+            parent[me] = max(o for *b, o in found if tuple(b) == best)
+    out = {}
+    for me, (own, _) in parsed.items():
+        root, depth = me, 0
+        while root in parent:
+            root, depth = parent[root], depth + 1
+        out[me] = (own, parent.get(me), root, depth)
+    return out
+
+
+def test_threads_equal_a_plain_version(spark):
+    rng = random.Random(6)
+    lines = [f"line number {i} of all" for i in range(40)]
+    rows = []
+    for conv in range(12):
+        for turn in range(rng.randint(1, 9)):
+            text = [rng.choice(lines) for _ in range(rng.randint(1, 3))]
+            if rows and rng.random() < 0.7:
+                quoted = rng.choice(rows)[3].split("\n")
+                text = ["On Monday they wrote:"] * (rng.random() < 0.3) + ["> " + q for q in quoted] + text + [">> " + rng.choice(lines)] * (rng.random() < 0.3)
+            rows.append((conv, turn, "user", "\n".join(text) + rng.choice(["", "\n", " \n\t"])))
+    rows.append((20, 0, "user", "\n".join(f"> {rng.choice(lines)}\n{'>' * (k % 3)} text {k}" for k in range(5000))))
+    got = {(r.conv_id, r.turn): (r.text, (r.parent_conv, r.parent_turn) if r.parent_turn is not None else None, (r.thread_conv, r.thread_root), r.depth) for r in chat.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    expected = plain_threads(rows)
+    assert got == expected and sum(p is not None and p[0] != me[0] for me, (_, p, *_) in expected.items()) > 5
+
+
 # --- top-k ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -119,12 +173,15 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     data += [(200 + i, data[0][1]) for i in range(30)]  # ties
     data += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 20), (420, [float("inf")] * 20), (None, [1.0] * 20), (440, []), (460, [0.5] * 5), (60, data[60][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "v": F.lit("clash")})
-    fine = {i: np.pad(np.floor(64 * np.array(v, np.float32).astype(float)), (0, 20 - len(v))).astype(int) for i, v in data if i is not None and i not in (400, 401, 402, 420)}
-    expected = set()
-    for q in (i for i in fine if i % 20 == 0):
-        best = sorted((-int(fine[q] @ fine[x]), x) for x in fine if x != q)[:20]
-        expected |= {(q, r, x, -s) for r, (s, x) in enumerate(best, 1)}
-    assert {tuple(r) for r in topk.top_k(df).collect()} == expected
+    fine = [(i, np.pad(np.floor(64 * np.array(v, np.float32).astype(float)), (0, 20 - len(v))).astype(int)) for i, v in data if i is not None and i not in (400, 401, 402, 420)]
+    expected = []
+    for a, (q, v) in enumerate(fine):
+        if q % 20 == 0:
+            best = sorted((-int(v @ w), x) for b, (x, w) in enumerate(fine) if a != b)[:20]
+            expected += [(q, r, x, -s) for r, (s, x) in enumerate(best, 1)]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(expected)
+    same = spark.createDataFrame([(20, [1.0]), (20, [0.5]), (21, [1.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(same).collect())) == [(20, 1, 20, 2048), (20, 1, 21, 4096), (20, 2, 20, 2048), (20, 2, 21, 2048)]
     assert topk.top_k(df.filter("false")).count() == 0
     assert topk.top_k(df.filter("vec_id = 0")).count() == 0
 
@@ -158,6 +215,15 @@ def test_cache_bounds(model, monkeypatch):
     assert len(c.young) <= 9 and len(c.pairs) <= 12
 
 
+def test_texts_without_spaces_stay_out_of_the_cache(model):
+    c = pieces.Codec(model)
+    rng = random.Random(4)
+    for k in range(40):
+        text = "".join(rng.choice("日本語abcdef0123456789+/") for _ in range(3000 if k else 40_000))
+        assert np.frombuffer(c.encode(text), np.int32).tolist() == c.model.encode(text)
+    assert sum(len(w) + len(v) for part in (c.young, c.old) for w, v in part.items()) < 10_000
+
+
 def test_token_digests(spark, model):
     import sentencepiece
 

@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -441,5 +442,14 @@ def test_ledger_scans_only_what_is_new(spark):
     assert got == {(100 + i, plain_spans(t)[1]) for i, t in enumerate(SECRETS[2:])}
     newer = (*scans.BASE_RULES[:2], scans.Rule("hex", 2, r"[0-9a-f]{4,}", 4))
     again = scans.unseen(scans.blobs_of(first), ledger, newer)
-    assert again.count() == 4  # another rule version has to see all blobs
+    assert [r.missing for r in again.collect()] == [["hex:2"]] * 4  # another rule version has to see all blobs, the other rules none
     assert scans.update(first, ledger, newer).filter("rule = 'hex'").select("rule_version").distinct().collect()[0][0] == 2
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "deadbeefdeadbeef " * 100_000
+    begun = time.monotonic()
+    row = scans.report(documents(spark, [text])).select("n_hex", "base_sha256").first()
+    listed = ",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(100_000))
+    assert (row.n_hex, row.base_sha256) == (100_000, hashlib.sha256(listed.encode()).hexdigest())
+    assert time.monotonic() - begun < 60
