@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -39,12 +40,73 @@ def test_marked_pages(spark):
     assert webtext.extract(pages(spark, [])).count() == 0
 
 
+def kept_blocks(page):
+    return [(b.article, b.text) for b in webtext.read_blocks(page) if b.kept]
+
+
 def test_unclosed_markup():
-    assert webtext.read_blocks('<div class="ad">buy<p>text') == [(False, "buy"), (False, "text")]
-    assert webtext.read_blocks("<div><nav>menu</div><p>text</p>") == [(False, "text")]
-    assert webtext.read_blocks('<div class="with-sidebar"><nav>menu</nav><main>text</main></div>') == [(True, "text")]
-    assert webtext.read_blocks('<main>text</main><div class="comments"><article>me</article></div>') == [(True, "text")]
-    assert webtext.read_blocks("<p>a < b and c<!-- open") == [(False, "a < b and c")]
+    assert kept_blocks('<div class="ad">buy<p>text') == [(False, "buy"), (False, "text")]
+    assert kept_blocks("<div><nav>menu</div><p>text</p>") == [(False, "text")]
+    assert kept_blocks('<div class="with-sidebar"><nav>menu</nav><main>text</main></div>') == [(True, "text")]
+    assert kept_blocks('<main>text</main><div class="comments"><article>me</article></div>') == [(True, "text")]
+    assert kept_blocks("<p>a < b and c<!-- open") == [(False, "a < b and c")]
+    assert kept_blocks("<nav>" * 3000 + "<p>text behind") == [(False, "text behind")]
+    assert kept_blocks("<p>" + "<b><i><u><em>" * 3 + "one<p>two</p>") == [(False, "one"), (False, "two")]
+    assert kept_blocks('<main>a<span class="ad">x</span>b</main>') == [(True, "a"), (True, "b")]
+
+
+def test_deep_and_long_pages_take_linear_time():
+    begun = time.monotonic()
+    assert len(kept_blocks('<div class="x"><p>t' * 40_000)) == 40_000
+    assert kept_blocks("<div>" * 40_000 + "</span>" * 40_000 + "end") == [(False, "end")]
+    assert kept_blocks("<main>" + "<i>" * 40_000 + "<p>end</main>") == [(True, "end")]
+    assert time.monotonic() - begun < 30
+
+
+def test_hints_are_confirmed_by_the_array_or_by_links(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    share = "share this page with all of your friends and their friends"
+    rows = [
+        (
+            "http://a.example/%d" % k,
+            f'<main><div class="article-header"><h1>{words(k, 9)}</h1></div><p>{words(k + 50, 12)}</p><div class="share">{share}</div><div class="status">{words(k + 90, 10)}</div><div class="related"><a href="x">{words(k + 70, 4)}</a></div></main><p>out</p>',
+        )
+        for k in range(3)
+    ]
+    rows.append(("http://b.example/", rows[0][1]))
+    got = {r.page_id: r.text for r in webtext.extract(pages(spark, rows)).collect()}
+    assert [got[k] for k in range(3)] == [f"{words(k, 9)} {words(k + 50, 12)} {words(k + 90, 10)}" for k in range(3)]
+    assert share in got[3]  # no other page of this host has it
+
+
+def test_blocks_of_most_articles_go_and_copies_stay(spark):
+    rng = random.Random(7)
+    notice = "read our terms of use before you read on please"
+    passage = "a passage that some articles of this host have in common with others"
+    body = lambda: " ".join(f"t{rng.randrange(10**6)}" for _ in range(20))
+    texts = [(body(), body()) for _ in range(12)]
+    page = lambda k, extra: f"<nav>menu {rng.randrange(99)}</nav><article><p>{texts[k][0]}</p><p>{extra}</p><p>{texts[k][1]}</p></article>"
+    rows = [("http://a.example/%d" % k, page(k, passage if k % 3 == 0 else notice)) for k in range(12)]
+    rows += [("http://a.example/copy%d" % k, page(0, passage)) for k in range(40)]
+    got = {r.page_id: r.text for r in webtext.extract(pages(spark, rows)).collect()}
+    for k in range(len(rows)):
+        one, two = texts[k if k < 12 else 0]
+        assert got[k] == (f"{one} {passage} {two}" if k >= 12 or k % 3 == 0 else f"{one} {two}")
+
+
+def test_sparse_suffixes_cover_what_is_repeated():
+    rng = random.Random(11)
+    token = lambda: f"t{rng.randrange(10**6)}"
+    for _ in range(20):
+        shared = " ".join(token() for _ in range(rng.randint(15, 60)))
+        both = [webtext.Streams([f"<main><p>{' '.join(token() for _ in range(rng.randint(0, 30)))} {shared} {' '.join(token() for _ in range(rng.randint(0, 30)))}</p></main>"], [3]) for _ in range(2)]
+        sets = []
+        for s in both:
+            g, at = s.groups()
+            sets.append(dict(zip(g[s.taken(g, at)].tolist(), np.flatnonzero(s.taken(g, at)).tolist(), strict=True)))
+        places = sorted(sets[0][g] for g in set(sets[0]) & set(sets[1]))
+        assert places and all(b - a <= webtext.LONG for a, b in zip(places[:-1], places[1:], strict=True))
+        assert places[-1] + webtext.LONG - places[0] >= len(shared.split()) - 2 * (webtext.WINDOW - 1)
 
 
 def plain_unique_runs(streams, k):
