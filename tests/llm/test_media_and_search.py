@@ -351,3 +351,46 @@ def test_tensors_and_segments():
     assert stored.column("start").to_pylist()[:2] == [0.0, audio.TENSOR_FRAMES * audio.HOP / audio.RATE]
     e = np.array([0, 0, 2, 0.5, -0.5, -2, 0, 0.5, 2, 2, 0, 0, 0], float)
     assert audio.segments(e).tolist() == [[2, 5], [8, 13]]
+
+
+def test_log_mel_and_feature_equal_plain_sums():
+    """Frame by frame and filter by filter, as the formulas say."""
+    data = bytes(np.random.default_rng(5).integers(0, 256, 576, np.uint8))
+    x = audio.resample((np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128, 2, 3)
+    mel, energy = audio.log_mel(x)
+    n = len(mel)
+    assert n == max(1, 1 + -(-(len(x) - audio.FRAME) // audio.HOP)) == len(energy)
+    padded = np.concatenate([x.astype(float), np.zeros(n * audio.HOP + audio.FRAME)])
+    to_hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top = 2595 * np.log10(1 + audio.RATE / 2 / 700)
+    edges = [to_hz(top * k / (audio.MELS + 1)) for k in range(audio.MELS + 2)]
+    t = np.arange(audio.FRAME)
+    for k in range(n):
+        f = padded[k * audio.HOP : k * audio.HOP + audio.FRAME]
+        f = f - f.mean()
+        assert abs(energy[k] - 10 * np.log10((f * f).mean() + 1e-10)) < 1e-3
+        shaped = f * (0.5 - 0.5 * np.cos(2 * np.pi * t / audio.FRAME))
+        power = [abs((shaped * np.exp(-2j * np.pi * b * t / audio.FFT)).sum()) ** 2 for b in range(audio.FFT // 2 + 1)]
+        for j in range(audio.MELS):
+            lo, mid, hi = edges[j : j + 3]
+            total = sum(p * max(0.0, min((hz - lo) / (mid - lo), (hi - hz) / (hi - mid))) for b, p in enumerate(power) if (hz := b * audio.RATE / audio.FFT) is not None)
+            assert abs(mel[k, j] - np.log10(max(total, 10.0**audio.FLOOR))) < 1e-2
+    *_, spans, feature = audio.analyse(audio.wav(data))
+    on = sum(round((s["end"] - s["start"]) * audio.RATE - audio.FRAME) // audio.HOP + 1 for s in spans)
+    means = " ".join(f"{v:.1f}" for v in mel.mean(0, dtype=np.float64))
+    assert feature == f"frames={n};segments={len(spans)};active={on};energy={energy.mean(dtype=np.float64):.1f};mel={means}"
+
+
+def test_segments_equal_a_state_machine():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        e = rng.normal(0, 2, 60).astype(np.float32)
+        mid, on, expected = np.median(e), False, []
+        for k, v in enumerate(e):
+            if not on and v > mid + audio.ENTER_DB:
+                on = True
+                expected.append([k, len(e)])
+            elif on and v < mid + audio.LEAVE_DB:
+                on = False
+                expected[-1][1] = k
+        assert audio.segments(e).tolist() == expected

@@ -87,3 +87,15 @@ def test_empty_tables(spark):
         assert out.count() == 0
         docs = docs if "ids_sha256" in out.columns else out
         assert "ids_sha256" in out.columns or out.columns[-1] == "extra"
+
+
+def test_null_repeated_and_very_long_rows(spark):
+    docs = table(spark, SF, "documents").limit(40)
+    long = " ".join(f"word{i % 997} and the stone by the river" for i in range(30_000))
+    odd = [(None, None, None, None, None), (None, "text without an id that says something", "en", "s", 1), (9001, None, "en", "s", None), (9001, "", None, "s", 0), (9002, long, "en", "s", len(long)), (9002, long, "en", "s", len(long)), (9003, long, "en", "s", len(long))]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, SF))
+    rows = docs.collect()
+    assert len({r.doc_id for r in rows if r.doc_id is not None}) == sum(r.doc_id is not None for r in rows)
+    assert not {9003} & {r.doc_id for r in rows}

@@ -107,6 +107,43 @@ def test_attention_gradient():
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no test tables")
+def test_quality_sample_is_of_whole_present_documents(spark, monkeypatch):
+    long = " ".join(f"word{i % 50}" for i in range(64 * 30))
+    texts = [f"{i} {long}" if i % 5 == 0 else f"short text number {i}" for i in range(60)]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append((np.diff(bags.at).tolist(), y.tolist(), int(bags.n.sum()))))
+    absent = [(1000 + i, i % 2, 0) for i in range(500)]
+    quality.train(documents(spark, texts), labels(spark, [(i, i % 2, 0) for i in range(60)] + absent), limit=20)
+    quality.train(documents(spark, texts), labels(spark, [(i, i % 2, 0) for i in range(60)] + absent), limit=60, most=80)
+    (n, y, n_words), (few, _, _) = seen
+    assert len(n) == 20 and sorted(y) == [0.0] * 10 + [1.0] * 10  # labels of absent documents take no place
+    assert set(n) <= {1, 31} and n_words == sum(64 * 30 + 1 if k > 1 else 4 for k in n)  # whole documents
+    assert sum(few) <= 80 and len(few) > 2
+
+
+def test_quality_scores_equal_a_plain_version(spark):
+    """Scores of the pass over the table against the formulas, document by document and word by word."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["sun", "Tree", "x,", "###", "stone."]) for _ in range(rng.randint(0, 200))) for _ in range(12)]
+    parameters = np.random.default_rng(3)
+    d, k, h, g = quality.N_FEATURES, 8, 5, 4
+    p = {n: parameters.normal(0, 0.3, size) for n, size in {"E": (quality.BUCKETS, k), "W": (d + k, h), "b": (h,), "V": (h, g), "U": (h, g), "w": (g,), "c": (h,), "d": (1,)}.items()}
+    model = quality.Model(np.zeros(d), np.ones(d), p)
+    got = {r.doc_id: r.score for r in quality.score(documents(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        x, _, n, buckets = quality.passages(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert len(x) == max(1, -(-len(t.split()) // quality.PASSAGE)) and n.tolist() == [len(t.split()[j : j + 64]) for j in range(0, len(t.split()) or 1, 64)]
+        encoded, first = [], 0
+        for row, m in zip(x, n, strict=True):
+            word = sum((p["E"][b] for b in buckets[first : first + m]), np.zeros(k)) / max(1, m)
+            first += m
+            encoded.append(np.tanh(np.concatenate([np.clip(row, -6, 6), word]) @ p["W"] + p["b"]))
+        weight = np.exp([np.tanh(e @ p["V"]) * (1 / (1 + np.exp(-(e @ p["U"])))) @ p["w"] for e in encoded])
+        z = sum(a * e for a, e in zip(weight / weight.sum(), encoded, strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))) < 1e-4
+
+
 def test_quality_held_out(spark):
     out = quality.classify(table(spark, SF, "documents"), table(spark, SF, "labels")).join(table(spark, SF, "labels"), "doc_id")
     right = out.filter("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
