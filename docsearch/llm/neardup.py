@@ -43,7 +43,7 @@ class Setting:
     words: int = 5
     percent: int = 80
     width: int = 3
-    recall: float = 0.998
+    recall: float = 0.9995
 
     @property
     def groups(self) -> int:
