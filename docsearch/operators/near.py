@@ -80,8 +80,12 @@ def near(content: Column, one: str, two: str, distance: int | str, case_sensitiv
         base = content if parse_literal(one) or parse_literal(two) else text  # a pattern's places are those in the text as it is
         listed = lambda p: p["word"] if case_sensitive else F.transform(p["word"], F.lower)
         found = let(placed_words(base), lambda p: let(listed(p), lambda w: let(p["start"], lambda s: test(w, s))))
+    # cheap tests first: a pattern, and without close words a term, must stand in the text at all
     possible = F.length(content) >= LEAST_CONTENT
-    if not fuzzy and not parse_literal(one) and not parse_literal(two):
-        for t in (one, two):
+    for t in (one, two):
+        literal = parse_literal(t)
+        if literal:
+            possible = possible & content.rlike(literal.java)
+        elif not fuzzy or len(t) < LEAST:
             possible = possible & text.contains(t if case_sensitive else t.lower())
     return F.when(possible, found).otherwise(F.lit(False))
