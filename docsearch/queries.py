@@ -380,8 +380,22 @@ on_corpus(
     regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir, substr(file_path, 9) AS rel, lower(regexp_extract(file_path, '\.([^./]+)$', 1)) = 'md' AS is_md FROM corpus""",
 )(lambda d: d.select("doc_id", paths.extension(p).alias("ext"), paths.base_name(p).alias("base"), paths.stem(p).alias("stem"), paths.directory(p).alias("dir"), paths.relative(p, "/corpus").alias("rel"), paths.has_extension(p, ".MD").alias("is_md")))
 _EXT = "(['txt','md','log','json'])[doc_id % 4 + 1]"
-computed("x3_language", lambda: paths.language(p), f"CASE {_EXT} WHEN 'txt' THEN 'txt' WHEN 'md' THEN 'markdown' WHEN 'log' THEN 'log' ELSE 'json' END")
-on_corpus("x4_category", f"SELECT doc_id, CASE WHEN {_EXT} IN ('txt', 'md') THEN 'document' WHEN {_EXT} = 'log' THEN 'log' ELSE 'data' END AS category FROM corpus")(lambda d: paths.categories(d).select("doc_id", "category"))
+#: Every extension of the two fixed tables, and one of neither: the documents are named by these in turn.
+_ALL_EXT = sorted({e for kinds in (paths.LANGUAGES, paths.CATEGORIES) for exts in kinds.values() for e in exts.split()} | {"zzz"})
+_NAMED = f"(SELECT doc_id, {_ALL_EXT}[doc_id % {len(_ALL_EXT)} + 1] AS ext FROM corpus)"
+
+
+def _named(d: DataFrame) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, _ALL_EXT)), (F.col("doc_id") % len(_ALL_EXT) + 1).cast("int"))
+    return d.select("doc_id", F.concat(F.lit("/x/f"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("file_path"))
+
+
+def _kind_sql(kinds: dict[str, str], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN ext IN ({', '.join(map(repr, exts.split()))}) THEN '{kind}'" for kind, exts in kinds.items()) + f" ELSE '{other}' END"
+
+
+on_corpus("x3_language", f"SELECT doc_id, {_kind_sql(paths.LANGUAGES, 'plaintext')} AS value FROM {_NAMED}")(lambda d: _named(d).select("doc_id", paths.language(p).alias("value")))
+on_corpus("x4_category", f"SELECT doc_id, {_kind_sql(paths.CATEGORIES, 'other')} AS category FROM {_NAMED}")(lambda d: paths.categories(_named(d)).select("doc_id", "category"))
 computed(
     "x5_format_file_size",
     lambda: text.format_file_size(F.col("size")),
