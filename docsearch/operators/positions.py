@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +11,29 @@ from docsearch.functions.arrays import let, running_sums
 from docsearch.functions.patterns import AFTER_WORD, BEFORE_WORD, QueryError, quote
 
 
-def _before(content: Column, term: str, case_sensitive: bool, whole_word: bool) -> tuple[Column, str]:
-    """The text to search, and a pattern of the empty places before the term."""
+def _in_text(content: Column, term: str, case_sensitive: bool, whole_word: bool, found: Callable[[Column, str], Column], nothing: Column) -> Column:
+    """``found(text, look)`` where the text that is searched, made once, holds the term at all, else ``nothing``. look: a pattern of
+    the empty places before the term."""
     text, t = (content, term) if case_sensitive else (F.lower(content), term.lower())
-    return text, f"{BEFORE_WORD if whole_word else ''}(?=\\Q{t}\\E{AFTER_WORD if whole_word else ''})"
+    look = f"{BEFORE_WORD if whole_word else ''}(?=\\Q{t}\\E{AFTER_WORD if whole_word else ''})"
+    if not term:
+        return nothing
+    return F.coalesce(let(text, lambda x: F.when(x.contains(t), found(x, look))), nothing)
 
 
 def positions(content: Column, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
     """Starts of the term, overlapping ones too (aba in abababa: 0, 2, 4). Cutting the text before each occurrence leaves
     segments; those that begin with the term begin at its places."""
-    text, look = _before(content, term, case_sensitive, whole_word)
 
-    def places(parts: Column) -> Column:
-        # The first segment may begin with the term by itself; every later one does, as the text was cut there.
-        starts = F.slice(running_sums(F.transform(parts, lambda p: F.length(p))), 1, F.size(parts))
-        return F.filter(starts.cast("array<int>"), lambda s, i: (i > 0) | text.rlike("^" + look))
+    def found(text: Column, look: str) -> Column:
+        def places(parts: Column) -> Column:
+            # The first segment may begin with the term by itself; every later one does, as the text was cut there.
+            starts = F.slice(running_sums(F.transform(parts, lambda p: F.length(p))), 1, F.size(parts))
+            return F.filter(starts.cast("array<int>"), lambda s, i: (i > 0) | text.rlike("^" + look))
+
+        return let(F.split(text, look, -1), places)
 
-    found = F.when(text.rlike(look), let(F.split(text, look, -1), places))
-    return F.when(content.isNull() | F.lit(not term) | found.isNull(), F.array().cast("array<int>")).otherwise(found)
+    return _in_text(content, term, case_sensitive, whole_word, found, F.array().cast("array<int>"))
 
 
 def regex_positions(content: Column, pattern: str) -> Column:
@@ -52,8 +59,7 @@ def check_positions(spark, pattern: str) -> None:
 
 def match_count(content: Column, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
     """The number of ``positions``, without the places themselves."""
-    text, look = _before(content, term, case_sensitive, whole_word)
-    return F.when(content.isNull() | F.lit(not term), 0).otherwise(F.regexp_count(text, F.lit(look)))
+    return _in_text(content, term, case_sensitive, whole_word, lambda text, look: F.regexp_count(text, F.lit(look)), F.lit(0))
 
 
 def _placed_lines(content: Column) -> Column:
