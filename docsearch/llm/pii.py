@@ -7,8 +7,8 @@ values stay different. Letters and digits of an e-mail's local part and of an IB
 alphabet, upper case staying upper case (addresses that differ in case only are linked); domains and country codes stay.
 What looks like such data but fails its check (a wrong Luhn or IBAN digit, the 31st of February) stays as it is.
 
-A text is cut twice. First e-mails, IBANs and runs of digits are matched; in a run every valid card between its separators is
-found, from the left, the longest first, and of an IBAN's match only what its country's length covers is taken. What is left
+A text is cut twice. First e-mails, IBANs and runs of digits are matched; in a run every valid card between its separators that is
+grouped as cards are is found, from the left, the longest first, and of an IBAN's match only what its country's length covers is taken. What is left
 between these is cut for dates, IPv4 addresses, social security and phone numbers. Texts without a digit or an @ are not cut.
 """
 
@@ -59,6 +59,8 @@ IBAN_LENGTH = dict(
     NO=15, OM=23, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, RU=33, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SO=23, ST=25, SV=28,
     TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
 )
+#: Groups of digits in which cards are written; lists of dates and phone numbers have others.
+CARD_GROUPS = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,4}){1,2}|3[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5})$"
 #: Calling codes of one and two digits; all others have three.
 CALLING_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Alphabets of lower-case or caseless letters: (first code point, letters, distance of one letter to the next).
@@ -199,7 +201,9 @@ def _cards(m: Column, key: str) -> Column:
             """The number of parts from i on that are a card, 0 if there is none."""
             most = F.least(F.size(part) - i + 1, F.lit(19))
             lengths = F.sequence(most, F.lit(1), F.lit(-1))
-            good = F.filter(lengths, lambda n: let(_only(text(i, n), "0-9"), _valid_card))
+            alone = (i == 1) & ~m.rlike(_any_of(_SECOND))  # the whole run, if it holds no date or phone number, may be grouped in any way
+            usual = lambda n: F.regexp_replace(text(i, n), "^[ -]", "").rlike(CARD_GROUPS) | (alone & (n == F.size(part)))
+            good = F.filter(lengths, lambda n: usual(n) & let(_only(text(i, n), "0-9"), _valid_card))
             return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(0))
 
         def step(s: Column, i: Column) -> Column:
