@@ -120,34 +120,59 @@ def highlight_html(html: Column, terms: list[str], case_sensitive: bool = False)
     return F.array_join(F.zip_with(F.split(html, _MARKUP, -1), tags, lambda text, tag: F.concat(node(text), F.coalesce(tag, F.lit("")))), "")
 
 
+def _pieces(content: Column, size: int) -> Column:
+    """The text cut into pieces of ``size`` characters, in one pass."""
+    return F.regexp_extract_all(content, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def chunks(docs: DataFrame, size: int = 64 << 10, overlap: int = 1 << 10, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """key, chunk_no, start, chunk: pieces of ``size`` characters of which each shares ``overlap`` with the next."""
+    """key, chunk_no, start, chunk: pieces of ``size`` characters of which each shares ``overlap`` with the next. The text is cut once; a
+    chunk is a piece and what it shares of those behind it."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap is smaller than the size")
-    starts = F.sequence(F.lit(0), F.greatest(F.length(content) - 1, F.lit(0)), F.lit(size - overlap))
-    each = docs.filter(F.length(content) > 0).select(key, content, F.posexplode(starts).alias("chunk_no", "start"))
-    return each.select(key, "chunk_no", "start", F.substring(F.col(content), F.col("start") + 1, F.lit(size)).alias("chunk"))
+    step = size - overlap
+    more = 1 + -(-overlap // step)
+    whole = lambda p: F.transform(p, lambda _, i: F.substring(F.array_join(F.slice(p, i + 1, F.lit(more)), ""), 1, size))
+    each = docs.filter(F.length(content) > 0).select(key, F.posexplode(let(_pieces(F.col(content), step), whole)).alias("chunk_no", "chunk"))
+    return each.select(key, "chunk_no", (F.col("chunk_no") * step).alias("start"), "chunk")
+
+
+def chunk_flags(docs: DataFrame, predicate: Callable[[Column], Column], size: int = 64 << 10, overlap: int = 1 << 10, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """``chunks`` with matched in place of the text: whether ``predicate`` accepts the chunk by itself. A term no longer than the overlap
+    is in some chunk exactly if it is in the text."""
+    return chunks(docs, size, overlap, key, content).select(key, "chunk_no", "start", predicate(F.col("chunk")).alias("matched"))
 
 
 def line_safe_chunks(docs: DataFrame, size: int = 64 << 10, radius: int = 1000, key: str = "doc_id", content: str = "content") -> DataFrame:
     """key, chunk_no, start, chunk: pieces of about ``size`` characters. Each multiple of ``size`` is moved to the nearest begin of a
     line at most ``radius`` characters away, to the earlier of two as near; where there is none, the line is cut. So no piece is
-    longer than size + 2 * radius."""
+    longer than size + 2 * radius. The text is cut once, at the multiples; what a border moves by goes over to the neighbour."""
     if not 0 <= 2 * radius < size:
         raise ValueError("twice the radius is smaller than the size")
-    c = F.col(content)
-
-    def moved(ideal: Column) -> Column:
-        back = F.instr(F.reverse(F.substring(c, ideal - radius + 1, F.lit(radius))), "\n") - 1
-        ahead = F.instr(F.substring(c, ideal + 1, F.lit(radius)), "\n")
-        return F.when((back >= 0) & ((ahead == 0) | (back <= ahead)), ideal - back).when(ahead > 0, ideal + ahead).otherwise(ideal)
-
-    inner = F.when(F.length(c) > size, F.transform(F.sequence(F.lit(size), F.length(c) - 1, F.lit(size)), moved)).otherwise(F.array().cast("array<int>"))
-    starts = F.concat(F.array(F.lit(0)), F.filter(inner, lambda b: b < F.length(c)))
-    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.length(c)))
-    spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    each = docs.filter(F.length(c) > 0).select(key, content, F.posexplode(spans).alias("chunk_no", "s"))
-    return each.select(key, "chunk_no", "s.start", F.substring(c, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk"))
+
+    def moves(pieces: Column) -> Column:
+        def move(piece: Column, k: Column) -> Column:
+            back = F.instr(F.reverse(F.right(F.get(pieces, k - 1), F.lit(radius))), "\n") - 1
+            ahead = F.instr(F.left(piece, F.lit(radius)), "\n")
+            return F.when(k == 0, 0).when((back >= 0) & ((ahead == 0) | (back <= ahead)), -back).when(ahead > 0, ahead).otherwise(0)
+
+        return F.transform(pieces, move)
+
+    def spans(pieces: Column) -> Column:
+        def of(by: Column) -> Column:
+            def span(piece: Column, k: Column) -> Column:
+                here, there = F.get(by, k), F.coalesce(F.get(by, k + 1), F.lit(0))
+                own = F.substring(piece, F.greatest(here, F.lit(0)) + 1, F.length(piece) + F.least(there, F.lit(0)) - F.greatest(here, F.lit(0)))
+                before = F.when(here < 0, F.right(F.get(pieces, k - 1), -here)).otherwise("")
+                after = F.when(there > 0, F.left(F.get(pieces, k + 1), there)).otherwise("")
+                return F.struct((k * size + here).alias("start"), F.concat(before, own, after).alias("chunk"))
+
+            return F.filter(F.transform(pieces, span), lambda s: s["chunk"] != "")  # a border that moved to the end of the text is none
+
+        return let(moves(pieces), of)
+
+    each = docs.filter(F.length(content) > 0).select(key, F.posexplode(let(_pieces(F.col(content), size), spans)).alias("chunk_no", "s"))
+    return each.select(key, "chunk_no", "s.start", "s.chunk")
 
 
 def whole_word_at(content: Column, at: Column, length: int) -> Column:

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from docsearch.functions import paths
 
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 
 def line_metrics(docs: DataFrame) -> DataFrame:
     """doc_id, file_path, total, blank, comment and code lines. Comment lines begin, after white space, with //, /*, * or #."""
     lines = F.split(F.col("content"), "\n")
-    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    trimmed = F.transform(lines, lambda x: F.trim(x, F.lit(WHITE_SPACE)))
     blank = F.size(F.filter(trimmed, lambda x: x == ""))
     comment = F.size(F.filter(trimmed, lambda x: x.rlike(r"^(//|/\*|\*|#)")))
     out = docs.select("doc_id", "file_path", F.size(lines).cast("long").alias("total"), blank.cast("long").alias("blank"), comment.cast("long").alias("comment"))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch.functions import paths, patterns, text
-from docsearch.operators import filters, fuzzy, history, near, positions, results, telemetry, tokens
+from docsearch.operators import duplicates, filters, fuzzy, history, near, positions, results, telemetry, tokens
 from docsearch.plans.query import Near, Not, Regex, Settings, Term, all_of, any_of, compile_query, query_terms, search
 from docsearch.plans.query import regex as regex_test
 from docsearch.plans.query import term as term_test
-from docsearch.sources import export
+from docsearch.sources import document, export, folders, ranges
 from docsearch.sources.corpus import MAX_BYTES, corpus, fetch_content, limit_content, read_table, scan, union_scans, with_read_status
 from docsearch.sources.scratch import new_path
 
@@ -26,6 +27,10 @@ WORDS = "list_filter(regexp_extract_all({0}, '[A-Za-z0-9_À-ÿ]+'), lambda w: le
 STRICT = Settings(fuzzy_terms=False, fuzzy_near=False)
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def query(name: str, sql: str | None = None, with_corpus: bool = True) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +100,11 @@ def _f12(d: DataFrame) -> DataFrame:
 
 @on_corpus(
     "f13_relevant_errors",
-    """SELECT file_path, code FROM (SELECT '/corpus' AS root, file_path, CASE WHEN doc_id % 3 = 0 THEN 'EPERM' ELSE 'ENOENT' END AS code FROM corpus WHERE size > 4000)
+    """SELECT file_path, code FROM (SELECT '/corpus' AS root, file_path, CASE WHEN doc_id % 3 = 0 THEN 'EPERM' ELSE 'ENOENT' END AS code FROM corpus)
     WHERE NOT (code = 'EPERM' AND file_path <> root AND len(list_filter(string_split(lower(file_path), '/'), lambda s: contains(s, 'src0'))) > 0)""",
 )
 def _f13(d: DataFrame) -> DataFrame:
-    errors = d.filter("size > 4000").select(F.lit("/corpus").alias("search_path"), p.alias("error_path"), F.lit("cannot read").alias("message"), F.when(F.col("doc_id") % 3 == 0, "EPERM").otherwise("ENOENT").alias("code"))
+    errors = d.select(F.lit("/corpus").alias("search_path"), p.alias("error_path"), F.lit("cannot read").alias("message"), F.when(F.col("doc_id") % 3 == 0, "EPERM").otherwise("ENOENT").alias("code"))
     return filters.relevant_errors(errors, ["src0"]).select(F.col("error_path").alias("file_path"), "code")
 
 
@@ -123,9 +128,12 @@ def _fuzzy_sql(t: str, column: str = "content") -> str:
     return f"len(list_filter({WORDS.format(f'lower({column})')}, lambda w: {_close_sql('w', t)})) > 0"
 
 
-@on_corpus("f15_fuzzy_filter", f"SELECT file_path FROM corpus WHERE contains(lower(file_path), 'corpsu') OR {_fuzzy_sql('corpsu', 'file_path')}")
+@on_corpus("f15_fuzzy_filter", f"""SELECT file_path, read_error, term FROM (SELECT file_path, CASE WHEN size > 3000 THEN 'fileTooLarge:' || size END AS read_error FROM corpus), (VALUES ('filetoolrage'), ('src1x')) t(term)
+  WHERE contains(lower(file_path), term) OR contains(lower(coalesce(read_error, '')), term) OR (term = 'src1x' AND {_fuzzy_sql('src1x', 'file_path')}) OR (term = 'filetoolrage' AND coalesce({_fuzzy_sql('filetoolrage', 'read_error')}, false))""")
 def _f15(d: DataFrame) -> DataFrame:
-    return fuzzy.fuzzy_filter(with_read_status(d), "corpsu").select("file_path")
+    """A term close to words of paths, and one close to words of read errors."""
+    rows = with_read_status(d, 3000).select("file_path", "read_error")
+    return union_all([fuzzy.fuzzy_filter(rows, t).withColumn("term", F.lit(t)) for t in ("filetoolrage", "src1x")])
 
 
 filtered("f16_size_units", lambda: filters.size_between(F.col("size"), text.size_to_bytes(1, "KB"), text.size_to_bytes(0.0025, "MB")), "size BETWEEN 1024 AND 2621")
@@ -309,8 +317,9 @@ _AT = "(instr(lower(content), 'estion') - 1)"
 
 
 def at_first(name: str, value: Callable[[Column], Column], sql: str) -> None:
-    on_corpus(name, f"SELECT doc_id, {sql.replace('@', _AT)} AS value FROM corpus WHERE contains(lower(content), 'estion')")(
-        lambda d: d.filter(F.lower("content").contains("estion")).select("doc_id", value(F.instr(F.lower("content"), "estion") - 1).alias("value"))
+    """Of the first hit in every document; null where there is none."""
+    on_corpus(name, f"SELECT doc_id, CASE WHEN contains(lower(content), 'estion') THEN {sql.replace('@', _AT)} END AS value FROM corpus")(
+        lambda d: d.select("doc_id", F.when(F.lower("content").contains("estion"), value(F.instr(F.lower("content"), "estion") - 1)).alias("value"))
     )
 
 
@@ -358,6 +367,50 @@ on_corpus(
 )(lambda d: positions.line_safe_chunks(d, 1000, 200))
 
 
+on_corpus(
+    "d17_chunk_flags",
+    "SELECT doc_id, CAST(s // 900 AS INTEGER) AS chunk_no, CAST(s AS INTEGER) AS start, contains(lower(substr(content, s + 1, 1000)), 'estion') AND NOT contains(lower(substr(content, s + 1, 1000)), 'ortion') AS matched FROM (SELECT doc_id, content, unnest(generate_series(0, length(content) - 1, 900)) AS s FROM corpus WHERE length(content) > 0)",
+)(lambda d: positions.chunk_flags(d, lambda x: compile_query(all_of(Term("estion"), Not(Term("ortion"))), x, STRICT), 1000, 100))
+
+
+def _one_file(spark: SparkSession, sf_dir: str) -> str:
+    """All texts as the lines of one file, by doc_id."""
+    path = new_path(spark)
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ").alias("value"))
+    document.write(rows, f"{path}/all.txt", ["doc_id"])
+    return f"{path}/all.txt"
+
+
+_ONE = "one AS (SELECT string_agg(replace(coalesce(text, ''), chr(10), ' '), chr(10) ORDER BY doc_id) AS t FROM documents)"
+
+
+@query("d17_positions_of_one_file", f"WITH {_ONE}, g AS (SELECT string_split(lower(t), 'estion') AS g FROM one), s AS (SELECT unnest(g) AS g, unnest(generate_series(1, len(g))) AS i, len(g) AS n FROM g) SELECT pos FROM (SELECT CAST(sum(length(g)) OVER (ORDER BY i) + 6 * (i - 1) AS BIGINT) AS pos, i, n FROM s) WHERE i < n", with_corpus=False)
+def _d17_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus as one file, searched in ranges of 10,000 bytes by many tasks."""
+    rows = ranges.ranges(spark, _one_file(spark, sf_dir), size=10_000, overlap=100, task_bytes=200_000)
+    return ranges.places(rows, "estion", 100).select("pos")
+
+
+@query("d17_flags_of_one_file", f"WITH {_ONE} SELECT contains(lower(t), 'estion') AS whole, CAST(strlen(t) AS BIGINT) AS bytes, CAST(length(t) AS BIGINT) AS chars FROM one", with_corpus=False)
+def _d17_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranges.flags(ranges.ranges(spark, _one_file(spark, sf_dir), size=10_000, overlap=100, task_bytes=200_000), Term("estion"), STRICT)
+    own = F.substring("chunk", F.lit(1), F.col("own_chars"))
+    return rows.agg(F.bool_or("matched").alias("whole"), F.sum(F.octet_length(own).cast("long")).alias("bytes"), F.sum("own_chars").alias("chars"))
+
+
+_TWISTED = "CASE WHEN doc_id % 4 = 0 AND length(content) > 2400 THEN substr(content, 1, 600) || '#' || substr(content, 602) ELSE content END"
+
+
+@on_corpus("d21_duplicate_groups", f"""SELECT id, grp AS "group", copies FROM (SELECT id, min(id) OVER (PARTITION BY content) AS grp, count(*) OVER (PARTITION BY content) AS copies
+  FROM (SELECT doc_id AS id, content FROM corpus UNION ALL SELECT doc_id + 10000000, {_TWISTED} FROM corpus WHERE doc_id % 2 = 0)) WHERE copies > 1""")
+def _d21_groups(d: DataFrame) -> DataFrame:
+    """The corpus with copies of every other document, of which half differ in a place that no sample sees."""
+    n = F.length("content")
+    twisted = F.when((F.col("doc_id") % 4 == 0) & (n > 2400), F.concat(F.substring("content", 1, 600), F.lit("#"), F.substring("content", F.lit(602), n))).otherwise(F.col("content"))
+    copies = d.filter("doc_id % 2 = 0").select((F.col("doc_id") + 10_000_000).alias("id"), twisted.alias("content"))
+    return duplicates.duplicate_groups(d.select(F.col("doc_id").alias("id"), "content").unionByName(copies), "id")
+
+
 @on_tokens("d19_boundaries", 'SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, start AS pos FROM toks UNION ALL SELECT doc_id, "end" + 1 FROM toks)')
 def _d19(d: DataFrame, t: DataFrame) -> DataFrame:
     return tokens.boundary_positions(t)
@@ -452,6 +505,59 @@ def _s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.regexp_extract("file_path", "(lang=[^/]*/source=[^/]*)/[^/]*$", 1).alias("folder")).agg(F.sum(F.octet_length("content")).alias("bytes"))
 
 
+#: Documents as files: hidden, with an underscore, empty, in upper case; by rule from doc_id.
+_NAME_SQL = """lang || '/' || CASE doc_id % 5 WHEN 0 THEN '.hidden_' WHEN 1 THEN '_under_' ELSE 'doc_' END || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.TXT' WHEN doc_id % 3 = 1 THEN '.md' ELSE '' END"""
+_KEPT_SQL = "CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END"
+
+
+def _as_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the documents written as files under these names."""
+    ending = F.when(F.col("doc_id") % 3 == 0, ".TXT").when(F.col("doc_id") % 3 == 1, ".md").otherwise("")
+    begin = F.when(F.col("doc_id") % 5 == 0, ".hidden_").when(F.col("doc_id") % 5 == 1, "_under_").otherwise("doc_")
+    name = F.concat("lang", F.lit("/"), begin, F.col("doc_id").cast("string"), ending)
+    rows = read_table(spark, sf_dir, "documents").filter("text is not null").select(name.alias("name"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("content"))
+    folder = new_path(spark)
+    export.write_files(rows, folder)
+    return folder
+
+
+@query("s1_hidden_and_empty_files", f"SELECT name, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS md5, name LIKE '%.TXT' AS txt FROM (SELECT {_NAME_SQL} AS name, {_KEPT_SQL} AS content FROM documents WHERE text IS NOT NULL)", with_corpus=False)
+def _s1_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of its own; the scan finds hidden and empty ones, with their sizes."""
+    found = folders.files(spark, _as_files(spark, sf_dir)).filter("mtime > timestamp '2000-01-01'")
+    return found.select(F.regexp_extract("file_path", "([^/]+/[^/]+)$", 1).alias("name"), "size", F.md5("content").alias("md5"), (F.col("ext") == "txt").alias("txt"))
+
+
+@query("s1_pushed_filters", f"SELECT name, CAST(strlen(content) AS BIGINT) AS size FROM (SELECT {_NAME_SQL} AS name, {_KEPT_SQL} AS content FROM documents WHERE text IS NOT NULL) WHERE name LIKE '%.TXT' AND strlen(content) BETWEEN 500 AND 5000", with_corpus=False)
+def _s1_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same folder by extension and size: answered by the listing."""
+    found = folders.files(spark, _as_files(spark, sf_dir), content=False).filter((F.col("ext") == "txt") & (F.col("size") >= 500) & (F.col("size") <= 5000) & (F.col("depth") == 2))
+    return found.select(F.regexp_extract("file_path", "([^/]+/[^/]+)$", 1).alias("name"), "size")
+
+
+@query("s4_causes", f"""SELECT name, CASE doc_id % 4 WHEN 0 THEN 'fileNotFoundDuringRead' WHEN 1 THEN 'pathIsDir' END AS error, CASE WHEN doc_id % 4 > 1 THEN md5(content) END AS md5
+  FROM (SELECT doc_id, {_NAME_SQL} AS name, {_KEPT_SQL} AS content FROM documents WHERE text IS NOT NULL)""", with_corpus=False)
+def _s4_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's file is asked for, a quarter by a path that is gone, a quarter by the path of its folder."""
+    folder = _as_files(spark, sf_dir)
+    id_ = F.regexp_extract("file_path", "_([0-9]+)[^/]*$", 1).cast("long")
+    wanted = folders.files(spark, folder, content=False).select(F.regexp_extract("file_path", "([^/]+/[^/]+)$", 1).alias("name"), "file_path", id_.alias("id"))
+    asked = F.when(F.col("id") % 4 == 0, F.concat("file_path", F.lit(".gone"))).when(F.col("id") % 4 == 1, F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)).otherwise(F.col("file_path"))
+    named = wanted.select("name", asked.alias("file_path"))
+    got = folders.fetch(spark, named.select("file_path").distinct())
+    return named.join(got, "file_path").select("name", "error", F.md5("content").alias("md5"))
+
+
+@query("f13_errors_of_reads", """SELECT lang || '/' || doc_id || '.gone' AS name, 'ENOENT' AS code FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL""", with_corpus=False)
+def _f13_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error table of roots that aren't there, one for every other document, filtered as errors of a search are."""
+    folder = new_path(spark)
+    gone = F.concat(F.lit(f"{folder}/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".gone"))
+    wanted = read_table(spark, sf_dir, "documents").filter("doc_id % 2 = 0 and text is not null").select(gone.alias("file_path"))
+    errors = folders.fetch(spark, wanted).filter("error = 'fileNotFoundDuringRead'").select(F.lit(folder).alias("search_path"), F.col("file_path").alias("error_path"), F.col("error").alias("message"), F.lit("ENOENT").alias("code"))
+    return filters.relevant_errors(errors, ["en"]).select(F.regexp_extract("error_path", "([^/]+/[^/]+)$", 1).alias("name"), "code")
+
+
 @on_corpus("s2_scan_many", "SELECT file_path, size FROM corpus WHERE lang IN ('en', 'de') OR size > 3000")
 def _s2(d: DataFrame) -> DataFrame:
     return union_scans([d.filter("lang = 'en'"), d.filter("lang = 'de'"), d.filter("size > 3000")]).select("file_path", "size")
@@ -464,10 +570,10 @@ def _s3(d: DataFrame, r: DataFrame) -> DataFrame:
 
 @on_corpus(
     "s4_fetch_content",
-    "SELECT w.file_path, c.content, CASE WHEN c.file_path IS NULL THEN 'fileNotFoundDuringRead' END AS error FROM (SELECT file_path || CASE WHEN size % 5 = 0 THEN '.gone' ELSE '' END AS file_path FROM corpus WHERE size > 3000) w LEFT JOIN corpus c USING (file_path)",
+    "SELECT w.file_path, c.content, CASE WHEN c.file_path IS NULL THEN 'fileNotFoundDuringRead' END AS error FROM (SELECT file_path || CASE WHEN size % 5 = 0 THEN '.gone' ELSE '' END AS file_path FROM corpus) w LEFT JOIN corpus c USING (file_path)",
 )
 def _s4(d: DataFrame) -> DataFrame:
-    wanted = d.filter("size > 3000").select(F.concat(p, F.when(F.col("size") % 5 == 0, ".gone").otherwise("")).alias("file_path"))
+    wanted = d.select(F.concat(p, F.when(F.col("size") % 5 == 0, ".gone").otherwise("")).alias("file_path"))
     return fetch_content(wanted, d)
 
 
@@ -481,6 +587,49 @@ on_results("s7_json", f"{_EXPORTED} SELECT CAST(to_json({{'filePath': file_path,
 on_results("s8_markdown", f"{_EXPORTED} SELECT '## ' || file_path || ' (Status: ' || status || ')' || chr(10) || chr(10) || '```' || chr(10) || {_SHOWN} || chr(10) || '```' || chr(10) AS value FROM exported")(lambda d, r: export.markdown_rows(export.export_rows(r, d)))
 on_results("s9_txt", f"{_EXPORTED} SELECT file_path || ' (Status: ' || status || ')' || chr(10) || {_SHOWN} || chr(10) AS value FROM exported")(lambda d, r: export.text_rows(export.export_rows(r, d)))
 on_results("s10_path_list", "SELECT file_path FROM searched WHERE matched")(lambda d, r: export.path_list(r, r.filter("matched")))
+_ENTRY = """CASE WHEN {0} IS NULL THEN 'null' ELSE CAST(to_json({0}) AS VARCHAR) END"""
+_DOCUMENTS = {
+    "csv": ("'FilePath,Status,Details' || chr(10)", f"{_FIELD.format('file_path')} || ',' || {_FIELD.format('status')} || ',' || {_FIELD.format('details')}", "chr(10)", "''"),
+    "json": ("'[' || chr(10)", "'  {' || chr(10) || '    \"filePath\": ' || " + f"{_ENTRY.format('file_path')} || ',' || chr(10) || '    \"status\": ' || {_ENTRY.format('status')} || ',' || chr(10) || '    \"details\": ' || {_ENTRY.format('details')} || chr(10) || '  }}'", "',' || chr(10)", "chr(10) || ']'"),
+    "markdown": ("''", f"'## ' || file_path || ' (Status: ' || status || ')' || chr(10) || chr(10) || '```' || chr(10) || {_SHOWN} || chr(10) || '```' || chr(10)", "chr(10) || '---' || chr(10) || chr(10)", "''"),
+    "txt": ("''", f"file_path || ' (Status: ' || status || ')' || chr(10) || {_SHOWN} || chr(10)", "chr(10) || repeat('-', 40) || chr(10) || chr(10)", "''"),
+}
+_DOCUMENTS_SQL = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, entries, CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS sha256 FROM (SELECT count(*) AS entries, {head} || string_agg({entry}, {between} ORDER BY file_path) || {tail} AS t FROM exported)"
+    for kind, (head, entry, between, tail) in _DOCUMENTS.items()
+)
+
+
+@on_results("s6_to_s9_documents", f"{_EXPORTED} {_DOCUMENTS_SQL}", most=8000)
+def _s6_to_s9(d: DataFrame, r: DataFrame) -> DataFrame:
+    """Each format's one file, in order, by its number of entries, bytes and digest."""
+    path, exported, out = new_path(d.sparkSession), export.export_rows(r, d), None
+    for kind in _DOCUMENTS:
+        export.write_document(exported, kind, f"{path}/export.{kind}")
+        row = document.described(d, f"{path}/export.{kind}").select(F.lit(kind).alias("kind"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_COPIES = """, one AS (SELECT regexp_extract(file_path, '[^/]*$') AS name, min(file_path) AS first, max(file_path) AS last FROM searched WHERE matched GROUP BY 1)"""
+
+
+@on_results("s11_materialise", f"""{_COPIES}, old AS (SELECT name FROM one WHERE CAST(regexp_extract(name, '[0-9]+') AS BIGINT) % 3 = 0)
+  SELECT 'first' AS load, 'copied' AS outcome, count(*) AS names FROM old UNION ALL
+  SELECT 'skip', CASE WHEN name IN (FROM old) THEN 'skipped' ELSE 'copied' END, count(*) FROM one GROUP BY 2 UNION ALL
+  SELECT 'replace', 'replaced', count(*) FROM one UNION ALL
+  SELECT 'found', 'bytes', CAST(sum(strlen(content)) AS BIGINT) FROM one JOIN searched ON file_path = last UNION ALL SELECT 'found', 'files', count(*) FROM one""")
+def _s11(d: DataFrame, r: DataFrame) -> DataFrame:
+    """A third of the names is copied first; then all with skip, then all with replace; then what the folder holds is read."""
+    folder = new_path(d.sparkSession)
+    old = F.regexp_extract(paths.base_name(p), "[0-9]+", 0).cast("long") % 3 == 0
+    loads = [("first", r.filter(old), "skip"), ("skip", r, "skip"), ("replace", r, "replace")]
+    parts = [export.materialise(some, d, folder, how).groupBy("outcome").agg(F.count("*").alias("names")).select(F.lit(load).alias("load"), "outcome", "names") for load, some, how in loads]
+    there = folders.files(d.sparkSession, folder)
+    parts += [there.select(F.lit("found").alias("load"), F.lit("bytes").alias("outcome"), F.sum(F.octet_length("content").cast("long")).alias("names")), there.select(F.lit("found").alias("load"), F.lit("files").alias("outcome"), F.count("*").alias("names"))]
+    return union_all(parts)
+
+
 on_results(
     "s11_named_copies",
     "SELECT regexp_extract(file_path, '[^/]*$') AS name, min(file_path) AS file_path FROM searched WHERE matched GROUP BY 1",
@@ -669,10 +818,21 @@ def _r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsearch.streaming import search as streaming
 
-    points = _stream(spark, sf_dir, "events", None).select(F.col("event_type").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("value") / 100).alias("ratio"))
+    folder, events = new_path(spark), read_table(spark, sf_dir, "events")
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(folder)  # files in no order of time: most points come late
+    points = streaming.read_documents(spark, folder, events.schema, files_per_batch=3)
+    points = points.select(F.col("event_type").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("value") / 100).alias("ratio"))
     return streaming.run_level_changes(points).select("key", "id", "level")
 
 
+@query("r4_windowed_op_stats", "SELECT date_trunc('hour', ts) AS start, event_type AS name, count(*) AS calls, round(sum(value), 4) AS total, min(value) AS minimum, max(value) AS maximum FROM events GROUP BY ALL", with_corpus=False)
+def _r4_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsearch.streaming import search as streaming
+
+    ops = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), F.col("value").alias("duration"))
+    return _rounded(_to_end(streaming.windowed_op_stats(ops), "complete"), "total").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("r4_stream_op_stats", "SELECT event_type AS name, count(*) AS calls, round(sum(value), 4) AS total, min(value) AS minimum, max(value) AS maximum FROM events GROUP BY 1", with_corpus=False)
 def _r4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsearch.streaming import search as streaming

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from docsearch.operators.telemetry import level_changes
+from docsearch.operators.telemetry import level
 from docsearch.plans.query import Node, Settings, check, compile_query
 from docsearch.sources.scratch import new_path
 
@@ -55,27 +56,60 @@ class ProgressListener(StreamingQueryListener):
         self.status = "failed" if event.exception else "completed"
 
 
-def run_level_changes(points: DataFrame) -> DataFrame:
-    """Runs what is there of a stream of points (key, ts, id, ratio) to its end: key, ts, id, ratio, level of the points whose level
-    differs from that of the key's point before, in a table in the shared folder.
-
-    Each batch is a batch query (``telemetry.level_changes``, which cuts a key into days) over its points and the last point of
-    each key so far, the only state. Points of one batch are taken in the order of ts. A point that arrives in a later batch than
-    one with a later ts has those of its own batch before it only."""
+class LevelChanges:
+    """Level changes of a stream of points (key, ts, id, ratio) that may come in any order, kept as tables below ``path``.
+
+    Points are stored by day of ts. A batch works out the days anew that it has points of, whole days, however late: of each key in
+    the day the points whose level differs from the one before (but for the day's first point, which depends on earlier days), and
+    the day's edges (first point, last level). Of a day only the newest batch's rows count, so a batch that runs again after a loss
+    writes over its own folder and changes nothing else. ``read`` puts the days together: a day's first point is a change if the last level
+    of the key's day before differs; that is one window over the edges, a row for each key and day."""
+
+    POINTS = "key string, ts timestamp, id long, ratio double"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _table(self, name: str, columns: str) -> DataFrame:
+        """A table of all batches; empty before the first."""
+        schema = f"{columns}, batch long, day date"
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}/batch=*")
+
+    def _put(self, rows: DataFrame, name: str, number: int) -> None:
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/{name}/batch={number}")
+
+    def step(self, batch: DataFrame, number: int) -> None:
+        """Takes in a batch; for ``foreachBatch``. A batch without points writes empty tables."""
+        self._put(batch.select("key", F.col("ts").cast("timestamp").alias("ts"), "id", "ratio", F.to_date("ts").alias("day")).filter("ts is not null"), "points", number)
+        points = self._table("points", self.POINTS)
+        days = points.filter(F.col("batch") == number).select("day").distinct()
+        rows = points.filter(F.col("batch") <= number).join(F.broadcast(days), "day", "left_semi").withColumn("level", level(F.col("ratio")))
+        in_day = W.partitionBy("key", "day").orderBy("ts", "id")
+        rows = rows.withColumns({"_before": F.lag("level").over(in_day), "_n": F.row_number().over(in_day)})
+        self._put(rows.filter((F.col("_n") > 1) & (F.col("_before") != F.col("level"))).select("key", "ts", "id", "ratio", "level", "day"), "inner", number)
+        first = F.min_by(F.struct("ts", "id", "ratio", "level"), F.struct("ts", "id"))
+        self._put(rows.groupBy("key", "day").agg(first.alias("first"), F.max_by("level", F.struct("ts", "id")).alias("last")), "edges", number)
+
+    def read(self) -> DataFrame:
+        """key, ts, id, ratio, level of all changes so far; a key's first point is one."""
+        edges = self._table("edges", f"key string, first struct<{self.POINTS.removeprefix('key string, ').replace(' ', ':').replace(',:', ',')},level:string>, last string")
+        newest = edges.groupBy("day").agg(F.max("batch").alias("batch"))
+        edges = edges.join(F.broadcast(newest), ["day", "batch"])
+        before = F.lag("last").over(W.partitionBy("key").orderBy("day"))
+        begun = edges.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col("first.level"))).select("key", "first.*")
+        inner = self._table("inner", f"{self.POINTS}, level string").join(F.broadcast(newest), ["day", "batch"])
+        return begun.unionByName(inner.select("key", "ts", "id", "ratio", "level"))
+
+
+def run_level_changes(points: DataFrame, path: str | None = None) -> DataFrame:
+    """Runs what is there of a stream of points (key, ts, id, ratio) through ``LevelChanges`` to its end: key, ts, id, ratio, level of the
+    points whose level differs from that of the key's point before by (ts, id), whatever order they came in and in however many batches.
+    With ``path`` the tables stay there, and a later run goes on from them."""
     spark = points.sparkSession
-    path = new_path(spark)
-    kept = ["key", "ts", "id", "ratio"]
-
-    def step(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*kept, F.lit(False).alias("_old"))
-        if number:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{path}-state/{number - 1}").withColumn("_old", F.lit(True)))
-        level_changes(rows).filter(~F.col("_old")).drop("_old").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        last = rows.groupBy("key").agg(F.max_by(F.struct("ts", "id", "ratio"), F.struct("ts", "id")).alias("p"))
-        last.select("key", "p.*").write.mode("overwrite").parquet(f"{path}-state/{number}")
-
-    points.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("key string, ts timestamp, id long, ratio double, level string").parquet(f"{path}/batch=*")
+    path = path or new_path(spark)
+    changes = LevelChanges(spark, path)
+    points.writeStream.foreachBatch(changes.step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return changes.read()
 
 
 def stream_op_stats(ops: DataFrame) -> DataFrame:

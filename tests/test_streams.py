@@ -52,3 +52,25 @@ def test_levels_and_stats(spark, tmp_path):
     assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, telemetry.op_stats(ops).collect()))
     windows = streaming.run_to_table(streaming.windowed_op_stats(source()), "append")
     assert windows.count() > 0
+
+
+def test_levels_of_late_points(spark, tmp_path):
+    """The same changes for one file, eight and forty, in any order, one file at a time; and after a batch that is run again."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"k{rng.randint(0, 2)}", i, rng.choice([0.1, 0.75, 0.9]), rng.randint(0, 20) * 20_000) for i in range(400)]
+    points = spark.createDataFrame(rows, "key string, id long, ratio double, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    want = {(r.key, r.id, r.level) for r in telemetry.level_changes(points).collect()}
+    assert 50 < len(want) < 400
+    for parts in (1, 8, 40):
+        folder = str(tmp_path / f"in{parts}")
+        points.repartition(parts, F.rand(parts)).write.parquet(folder)
+        stream = streaming.read_documents(spark, folder, points.schema, files_per_batch=1 if parts < 40 else 9)
+        got = streaming.run_level_changes(stream, f"file://{tmp_path}/out{parts}")
+        assert {(r.key, r.id, r.level) for r in got.collect()} == want
+    changes = streaming.LevelChanges(spark, f"file://{tmp_path}/again")
+    halves = [points.filter("id % 2 = 0"), points.filter("id % 2 = 1")]
+    for number, half in ((0, halves[0]), (1, halves[1]), (1, halves[1]), (2, points.limit(0))):
+        changes.step(half, number)
+    assert {(r.key, r.id, r.level) for r in changes.read().collect()} == want
