@@ -17,7 +17,8 @@ from docsearch.llm.common import cut, table
 #: Target shares of tokens by domain of the mixing stage: low-quality documents have gone in the first stage; of what is left, text of
 #: the toxic domain may make up one token in two hundred.
 TARGETS = {"clean": 0.995, "toxic": 0.005}
-#: The session setting that names the secret key of the pseudonyms, and the key where it is unset (tests).
+#: The session setting that names the secret key of the pseudonyms, and the key where it is unset (local masters only: whoever has the
+#: key can turn pseudonyms back).
 KEY_SETTING, TEST_KEY = "spark.docsearch.pii.key", "key of test runs"
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -30,8 +31,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return neardup.drop_copies(docs, neardup.Setting())
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key of the session. A cluster needs one of its own."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {KEY_SETTING} to a secret key: with a known one the pseudonyms hide nothing")
+    return key or TEST_KEY
+
+
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.mask(docs, spark.conf.get(KEY_SETTING, TEST_KEY))
+    return pii.mask(docs, secret_key(spark))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
