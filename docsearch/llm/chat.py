@@ -20,6 +20,8 @@ from docsearch.llm.common import cut, discard, small, text_or_empty
 
 _QUOTE = r"^[ \t]*>(?:[ \t]*>)*[ \t]?"
 _ATTRIBUTION = r"(?i)^.{0,200}\b(?:wrote|schrieb|escribi[oó]|a [eé]crit)\s*:\s*$"
+#: White space, as in the patterns.
+SPACE = " \t\n\x0b\f\r"
 _LINES = "array<struct<level:int,body:string>>"
 
 
@@ -47,7 +49,7 @@ def own_text(lines: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACE))
 
 
 def quoted_runs(lines: Column) -> Column:

@@ -19,7 +19,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsearch.llm.common import buffer_of, cut, discard, ready, slices, text_or_empty, with_fields
@@ -146,6 +145,23 @@ class Model:
         return self.forward(bags)["s"]
 
 
+def gradient(model: Model, bags: Bags, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss, by parameter."""
+    p, width = model.params, bags.x.shape[1]
+    q = model.forward(bags)
+    many, each = np.diff(bags.at), np.repeat(np.arange(len(y)), np.diff(bags.at))
+    ds = (q["s"] - y) / len(y)
+    dz = ds[:, None] * p["c"]
+    da = (q["h"] * dz[each]).sum(1)
+    de = q["a"] * (da - np.repeat(np.add.reduceat(q["a"] * da, bags.at[:-1]), many))
+    dt, dg = de[:, None] * p["w"] * q["g"] * (1 - q["t"] ** 2), de[:, None] * p["w"] * q["t"] * q["g"] * (1 - q["g"])
+    dh = (dz[each] * q["a"][:, None] + dt @ p["V"].T + dg @ p["U"].T) * (1 - q["h"] ** 2)
+    dx = (dh @ p["W"][width:].T) / np.maximum(1, bags.n)[:, None]
+    owner = np.repeat(np.arange(len(bags.n)), bags.n)
+    de_w = np.stack([np.bincount(bags.words, dx[owner, j], BUCKETS) for j in range(p["E"].shape[1])], 1)
+    return {"E": de_w, "W": q["f"].T @ dh, "b": dh.sum(0), "V": q["h"].T @ dt, "U": q["h"].T @ dg, "w": (q["t"] * q["g"]).T @ de, "c": q["z"].T @ ds, "d": ds.sum(keepdims=True)}
+
+
 def fit(bags: Bags, y: np.ndarray, epochs: int = 24, hidden: int = 24, gate: int = 12, per_word: int = 8, batch: int = 64, seed: int = 7) -> Model:
     """Minimises log loss by Adam. y: one label a document; with one label only, the scores lean to that label."""
     rng = np.random.default_rng(seed)
@@ -160,18 +176,7 @@ def fit(bags: Bags, y: np.ndarray, epochs: int = 24, hidden: int = 24, gate: int
         for k in range(0, len(order), batch):
             docs = order[k : k + batch]
             own = bags.of(docs, first)
-            q = model.forward(own)
-            many, each = np.diff(own.at), np.repeat(np.arange(len(docs)), np.diff(own.at))
-            ds = (q["s"] - y[docs]) / len(docs)
-            dz = ds[:, None] * p["c"]
-            da = (q["h"] * dz[each]).sum(1)
-            de = q["a"] * (da - np.repeat(np.add.reduceat(q["a"] * da, own.at[:-1]), many))
-            dt, dg = de[:, None] * p["w"] * q["g"] * (1 - q["t"] ** 2), de[:, None] * p["w"] * q["t"] * q["g"] * (1 - q["g"])
-            dh = (dz[each] * q["a"][:, None] + dt @ p["V"].T + dg @ p["U"].T) * (1 - q["h"] ** 2)
-            dx = (dh @ p["W"][width:].T) / np.maximum(1, own.n)[:, None]
-            owner = np.repeat(np.arange(len(own.n)), own.n)
-            de_w = np.stack([np.bincount(own.words, dx[owner, j], BUCKETS) for j in range(per_word)], 1)
-            grads = {"E": de_w, "W": q["f"].T @ dh, "b": dh.sum(0), "V": q["h"].T @ dt, "U": q["h"].T @ dg, "w": (q["t"] * q["g"]).T @ de, "c": q["z"].T @ ds, "d": ds.sum(keepdims=True)}
+            grads = gradient(model, own, y[docs])
             step += 1
             rate = 0.01 * (0.1 if epoch > 0.7 * epochs else 1)
             for key, g in grads.items():
@@ -201,8 +206,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, most: int = TRAIN_PASSAGES) -> Model | None:
     """Fits on at most ``limit`` labelled documents outside the held-out third that ``docs`` has, and on at most ``most`` passages:
-    documents are taken in the order of a hash of doc_id as long as their passages are within ``most`` together (one that alone
-    has over half of it is left out). None if there is no such document; a warning says so. Null labels and ids are left out; a
+    of each label documents are taken in the order of a hash of doc_id; one that doesn't fit into what is left of half of ``most`` is left
+    out, and the next is tried. None if there is no such document; a warning says so. Null labels and ids are left out; a
     document labelled more than once counts as 1 if most of its labels do; of several texts with one doc_id one is taken."""
     ready(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_q")).dropna()
@@ -212,9 +217,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, most: int
     sample = F.broadcast(half[0].unionByName(half[1]))  # at most ``limit`` rows
     rows = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("_t")).join(sample, "_id").select(F.col("_id").cast("long").alias("_id"), "y", "_t")
     drawn = cut(rows.mapInArrow(_features, "_id long, y int, passages long, x binary, n binary, w binary").groupBy("_id").agg(F.min(F.struct("y", "passages", "x", "n", "w")).alias("r")).select("_id", "r.*"))
-    upto = W.partitionBy("y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(W.unboundedPreceding, 0)
-    fits = drawn.select("_id", "y", "passages").filter(F.col("passages") <= most // 2).withColumn("sum", F.sum("passages").over(upto)).filter(F.col("sum") <= most // 2)
-    got = drawn.join(F.broadcast(fits.select("_id")), "_id").select("y", "x", "n", "w").toArrow()
+    each = most // 2
+    sizes = drawn.filter(F.col("passages") <= each).groupBy("y").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("_id").alias("h"), "_id", "passages"))).alias("all"))  # at most ``limit`` in all
+    taken = F.aggregate(
+        "all",
+        F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("ids")),
+        lambda acc, r: F.when(acc["sum"] + r["passages"] > each, acc).otherwise(F.struct((acc["sum"] + r["passages"]).alias("sum"), F.array_append(acc["ids"], r["_id"]).alias("ids"))),
+    )
+    fits = sizes.select(F.explode(taken["ids"]).alias("_id"))
+    got = drawn.join(F.broadcast(fits), "_id").select("y", "x", "n", "w").toArrow()
     discard(drawn)
     if not got.num_rows:
         warnings.warn("quality: no labelled document to learn from; every score is 0.5", stacklevel=2)

@@ -79,6 +79,40 @@ def test_hints_are_confirmed_by_the_array_or_by_links(spark):
     assert share in got[3]  # no other page of this host has it
 
 
+def test_white_space_of_any_length_in_messages(spark):
+    text = "a" + " " * 1_000_000 + "b"
+    rows = spark.createDataFrame([(1, 0, "user", f"{text}\n > {text}  "), (1, 1, "user", f"> {text}\nanswer\t \n")], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = {r.turn: r for r in chat.threads(rows).collect()}
+    assert len(got) == 2 and time.time() - began < 60
+
+
+def test_class_words_in_articles_need_confirmation(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    marks = ('class="notice-period"', 'class="widget"', 'class="copyright-law"', 'id="ad"')
+    own = lambda k: "".join(f"<p {m}>{words(1000 + 100 * k + j, 12)}</p>" for j, m in enumerate(marks, 1))
+    same = "".join(f"<div {m}>{words(9000 + j, 12)}</div>" for j, m in enumerate(marks))
+    page = lambda k, more: f'<div class="sidebar">{words(77, 10)}</div><article><p>{words(k, 20)}</p>{more}<div class="comments"><p>{words(50 + k, 9)}</p></div></article>'
+    rows = [(f"http://a.example/{k}", page(k, own(k))) for k in range(3)] + [(f"http://b.example/{k}", page(k, same)) for k in range(3)]
+    got = {r.page_id: r.text for r in webtext.extract(pages(spark, rows)).collect()}
+    assert [got[k] for k in range(3)] == [" ".join([words(k, 20), *(words(1000 + 100 * k + j, 12) for j in range(1, 5))]) for k in range(3)]
+    assert [got[k + 3] for k in range(3)] == [words(k, 20) for k in range(3)]
+
+
+@pytest.mark.parametrize("tail", [" ".join(f'a{i}="{i}"' for i in range(1000)), "<!" * 200_000, "<a" * 200_000, '<a "' * 100_000, "<a '\"" * 100_000, "<?" * 200_000, "<a b=" * 100_000, "<div " + "x=" * 100_000])
+def test_cut_off_tags_take_linear_time(tail):
+    began = time.time()
+    blocks = webtext.read_blocks(f"<article><p>kept text</p><div {tail}")
+    assert time.time() - began < 3 and blocks[0].text.startswith("kept text")
+
+
+def test_tags_with_odd_quotes():
+    text = lambda page: [b.text for b in webtext.read_blocks(page)]
+    assert text('<p title="a > b">x</p><p title=\'<q>\'>y</p>') == ["x", "y"]
+    assert text('<p class="open>x</p><p>y</p>') == ["x", "y"]
+    assert text("<p/>x<br/>y<div class=a/>z") == ["x y", "z"]
+
+
 def test_blocks_of_most_articles_go_and_copies_stay(spark):
     rng = random.Random(7)
     notice = "read our terms of use before you read on please"

@@ -95,15 +95,53 @@ def test_quality_without_rows(spark):
     assert [tuple(r)[2:] for r in quality.classify(documents(spark, ["a", None]), none).collect()] == [(0.5, 1)] * 2
 
 
+def bags_of(rng, docs, each, features=5):
+    """Bags of ``each`` passages with a few words from a small vocabulary."""
+    n = rng.integers(0, 3, docs * each)
+    return quality.Bags(rng.normal(size=(docs * each, features)), np.arange(0, docs * each + 1, each), n, rng.integers(0, 7, int(n.sum())).astype(np.uint16))
+
+
 def test_attention_gradient():
+    """One step of fit against differences of the loss, for every kind of parameter."""
+    rng = np.random.default_rng(3)
+    bags, y = bags_of(rng, 8, 3), np.array([0, 1] * 4, float)
+    start = quality.fit(bags, y, epochs=0, hidden=4, gate=3, per_word=2)
+    loss = lambda p: -np.mean(np.log(np.where(y == 1, s := quality.Model(start.mean, start.scale, p).score(bags), 1 - s)))
+    grads = quality.gradient(start, bags, y)
+    assert set(grads) == set(start.params)
+    for name, g in grads.items():
+        for at in [tuple(i) for i in np.argwhere(np.abs(g) > 1e-4)[:12]]:
+            up, down = ({k: v.copy() for k, v in start.params.items()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - g[at]) < 1e-6, (name, at)
+
+
+def test_attention_finds_the_passage_that_tells():
     rng = np.random.default_rng(0)
-    x, at = rng.normal(size=(400, 5)), np.arange(0, 401, 4)
+    bags = bags_of(rng, 100, 4)
     marked = rng.random(100) < 0.5
-    x[at[:-1][marked], 0] += 4  # one passage in four tells
-    model = quality.fit(x, at, marked.astype(float), epochs=80)
-    assert ((model.score(x, at) > 0.5) == marked).mean() > 0.95
-    attention = model.forward(x, at)["a"]
-    assert attention[at[:-1][marked]].mean() > 0.3
+    tells = bags.at[:-1][marked]
+    bags.x[tells, 0] += 4  # one passage in four
+    model = quality.fit(bags, marked.astype(float), epochs=80)
+    assert ((model.score(bags) > 0.5) == marked).mean() > 0.95
+    assert model.forward(bags)["a"][tells].mean() > 0.3
+
+
+def test_one_long_document_leaves_the_sample_as_it_is(spark):
+    texts = [f"text number {i} " * 5 for i in range(60)]
+    texts[17] = " ".join(f"word{i % 50}" for i in range(64 * 99))
+    marks = labels(spark, [(i, i % 2, 0) for i in range(60)])
+    seen = []
+    fit = quality.fit
+    quality.fit = lambda bags, y, **options: seen.append((len(bags.at) - 1, y.sum())) or fit(bags, y, epochs=1)
+    try:
+        quality.train(documents(spark, texts), marks, most=200)
+        quality.train(documents(spark, texts), marks, most=150)
+        quality.train(documents(spark, [t for i, t in enumerate(texts) if i != 17], [i for i in range(60) if i != 17]), marks, most=150)
+    finally:
+        quality.fit = fit
+    assert abs(seen[0][0] - seen[1][0]) <= 1 and seen[1] == seen[2]
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no test tables")
