@@ -11,6 +11,8 @@ from docsearch.operators.tokens import words
 
 RATIO = 0.3
 LEAST = 3
+#: Words that may be broadcast.
+LISTED = 200_000
 
 
 def close(word: Column, term: str, ratio: float = RATIO) -> Column:
@@ -59,3 +61,49 @@ def fuzzy_filter(results: DataFrame, term: str, case_sensitive: bool = False) ->
         text, t = (c, term) if case_sensitive else (F.lower(c), term.lower())
         tests.append(F.coalesce(text.contains(t) | fuzzy_term(c, term, case_sensitive), F.lit(False)))
     return results.filter(tests[0] | tests[1])
+
+
+# --- many terms against a corpus: each different word is compared once -----------------------------------------------------------
+
+
+def postings(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """word, key: a row for each different word (in lower case) of each document. A table to be written once and searched often; it is dealt
+    by word, and what a word that stands everywhere has is many rows, never one."""
+    return docs.select(key, F.explode(F.array_distinct(words(F.lower(content)))).alias("word")).select("word", key)
+
+
+def vocabulary(posted: DataFrame) -> DataFrame:
+    """word, documents."""
+    return posted.groupBy("word").agg(F.count("*").alias("documents"))
+
+
+def _bounds(terms: list[str], ratio: float) -> list[tuple]:
+    """(term, least length, greatest length, edits, first letter, last letter) of each term."""
+    return [(t, math.floor((1 - ratio) * len(t) + 1e-9), math.ceil((1 + ratio) * len(t) - 1e-9), math.floor(ratio * len(t) + 1e-9), t[0], t[-1]) for t in terms]
+
+
+def close_words(vocabulary: DataFrame, terms: list[str], ratio: float = RATIO) -> DataFrame:
+    """term, word: the words of ``vocabulary`` (each once) that are close to a term, by the rule of ``close``.
+
+    A close word begins or ends like its term, so words and terms are joined by the first letter and by the last one, with the lengths
+    in the key as well (a term stands under each length that a close word may have): a word meets the terms of its two keys only, and
+    edits are counted for these pairs. The terms are the side that is broadcast; the vocabulary isn't shuffled."""
+    spark = vocabulary.sparkSession
+    wanted = sorted({t.lower() for t in terms if len(t) >= LEAST})
+    rows = [(t, n, k, side, letter) for t, lo, hi, k, first, last in _bounds(wanted, ratio) for n in range(max(1, lo), hi + 1) for side, letter in ((0, first), (1, last))]
+    keys = F.broadcast(spark.createDataFrame(rows, "term string, _n int, _k int, _side int, _letter string"))
+    w = F.col("word")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.substring(w, 1, 1).alias("letter")), F.struct(F.lit(1).alias("side"), F.substring(w, -1, 1).alias("letter")))
+    asked = vocabulary.select("word", F.length(w).alias("_n"), F.explode(sides).alias("_e")).select("word", "_n", F.col("_e.side").alias("_side"), F.col("_e.letter").alias("_letter"))
+    pairs = asked.join(keys, ["_n", "_side", "_letter"])
+    begins = F.substring(w, 1, 1) == F.substring("term", 1, 1)
+    once = (F.col("_side") == 0) | ~begins  # a word that begins and ends like the term is met twice
+    return pairs.filter(once & (F.levenshtein("word", "term") <= F.col("_k"))).select("term", "word")
+
+
+def documents_with(posted: DataFrame, terms: list[str], key: str = "doc_id", ratio: float = RATIO) -> DataFrame:
+    """term, key of the documents with a word close to the term: each different word is compared once, however many documents have it,
+    and the words found lead to their documents through the postings. The words found are broadcast where they are counted as few."""
+    found = close_words(posted.select("word").distinct(), terms, ratio)
+    few = found.limit(LISTED + 1).count() <= LISTED
+    return posted.join(F.broadcast(found) if few else found, "word").select("term", key).distinct()

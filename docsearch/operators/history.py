@@ -27,6 +27,15 @@ def dedupe(history: DataFrame) -> DataFrame:
     return grouped.select("f.id", F.col("_last").alias("ts"), "f.name", "f.is_favorite", "f.params")
 
 
+def merge(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Two de-duplicated tables as one: an entry that is stored keeps its id, name and favourite and takes the newer time. Loads come in
+    the order of time, so what is stored is older."""
+    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    first = F.min(F.struct("_new", "ts", "id", "name", "is_favorite", "params")).alias("f")
+    grouped = both.withColumn("_key", params_key(F.col("params"))).groupBy("_key").agg(first, F.max("ts").alias("_last"))
+    return grouped.select("f.id", F.col("_last").alias("ts"), "f.name", "f.is_favorite", "f.params")
+
+
 def cap(history: DataFrame, n: int = 50) -> DataFrame:
     return history.orderBy(F.desc("ts"), F.desc("id")).limit(n)
 

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch.functions import paths, patterns, text
-from docsearch.operators import duplicates, filters, fuzzy, history, near, positions, results, telemetry, tokens
+from docsearch.operators import duplicates, filters, fuzzy, history, many_terms, near, positions, results, telemetry, tokens
 from docsearch.plans.query import Near, Not, Regex, Settings, Term, all_of, any_of, compile_query, query_terms, search
 from docsearch.plans.query import regex as regex_test
 from docsearch.plans.query import term as term_test
 from docsearch.sources import document, export, folders, ranges
 from docsearch.sources.corpus import MAX_BYTES, corpus, fetch_content, limit_content, read_table, scan, union_scans, with_read_status
+from docsearch.sources.history_store import HistoryStore
 from docsearch.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,7 +116,9 @@ def _f14(d: DataFrame) -> DataFrame:
     return d.select("doc_id", matched.alias("matched"), error.alias("error"))
 
 
-_CLOSE = "length({0}) >= {lo} AND length({0}) <= {hi} AND (substr({0}, 1, 1) = '{a}' OR right({0}, 1) = '{z}') AND levenshtein({0}, '{t}') <= {k}"
+#: DuckDB's levenshtein counts bytes: lower-case letters beyond ASCII stand as one byte each.
+_BYTE_EACH = f"translate({{0}}, '{''.join(map(chr, range(0xDF, 0x100)))}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*+')"
+_CLOSE = "length({0}) >= {lo} AND length({0}) <= {hi} AND (substr({0}, 1, 1) = '{a}' OR right({0}, 1) = '{z}') AND levenshtein(" + _BYTE_EACH + ", '{t}') <= {k}"
 
 
 def _close_sql(word: str, t: str) -> str:
@@ -139,6 +143,9 @@ def _f15(d: DataFrame) -> DataFrame:
 filtered("f16_size_units", lambda: filters.size_between(F.col("size"), text.size_to_bytes(1, "KB"), text.size_to_bytes(0.0025, "MB")), "size BETWEEN 1024 AND 2621")
 computed("f17_split_and_clean", lambda: F.array_join(text.split_and_clean(c), "|"), r"array_to_string(list_filter(list_transform(string_split_regex(content, '[\n,]+'), lambda x: trim(x)), lambda x: x <> ''), '|')")
 
+_CLOSE_TERMS = ("ortoin", "threoa", "estoin", "andred", "ingtion", "thwhhe")
+on_corpus("c14_fuzzy_by_vocabulary", " UNION ALL ".join(f"SELECT '{t}' AS term, doc_id FROM corpus WHERE {_fuzzy_sql(t)}" for t in _CLOSE_TERMS))(lambda d: fuzzy.documents_with(fuzzy.postings(d), list(_CLOSE_TERMS)))
+
 # --- content predicates --------------------------------------------------------------------------------------------------------
 filtered("c1_term", lambda: term_test(c, "Estion"), "contains(lower(content), 'estion')")
 filtered("c2_term_case_sensitive", lambda: term_test(c, "Estion", case_sensitive=True), "contains(content, 'Estion')")
@@ -330,6 +337,13 @@ computed("d14_truncate", lambda: text.truncate(c, 80), "CASE WHEN length(content
 computed("d14_preview", lambda: text.preview(c, 80), "CASE WHEN length(content) <= 80 THEN content ELSE substr(content, 1, 80) || '...' END")
 computed("d14_first_lines", lambda: text.first_lines(c, 3), "array_to_string(string_split(content, chr(10))[1:3], chr(10))")
 computed("d15_highlight", lambda: positions.highlight(c, ["estion", "the"]), r"regexp_replace(content, '(?i)(estion|the)', '<mark>\1</mark>', 'g')")
+#: All words of two and of four letters from a to j: 10,100 terms.
+_MANY = ["".join(x) for n in (2, 4) for x in product("abcdefghij", repeat=n)]
+_MANY_SQL = "(?i:[a-j]{4}|[a-j]{2})"
+on_corpus("d15_many_terms", f"SELECT doc_id, len(regexp_extract_all(content, '{_MANY_SQL}')) AS spans, md5(regexp_replace(content, '({_MANY_SQL})', '<mark>\\1</mark>', 'g')) AS md5 FROM corpus")(
+    lambda d: many_terms.highlight_many(d, _MANY).select("doc_id", F.size("spans").cast("long").alias("spans"), F.md5("marked").alias("md5"))
+)
+on_corpus("c24_many_terms", f"SELECT lower(m) AS term, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(content, '{_MANY_SQL}')) AS m FROM corpus) GROUP BY 1")(lambda d: many_terms.match_counts(d, _MANY))
 _SPAN_PLACES = "list_filter(generate_series(1, len(ch) - 5), lambda i: {0})".format(" OR ".join("(" + " AND ".join(f"ch[i + {k}] = '{x}'" for k, x in enumerate(t)) + ")" for t in ("estion", "ortion")))
 #: The two terms have one length and can't overlap, so every place is a span.
 on_corpus("d15_highlight_spans", f"SELECT doc_id, CAST(s - 1 AS INTEGER) AS start, CAST(s + 5 AS INTEGER) AS \"end\", substr(content, s, 6) AS term FROM (SELECT doc_id, content, unnest({_SPAN_PLACES}) AS s FROM {_CHARS})")(lambda d: d.select("doc_id", F.explode(positions.highlight_spans(c, ["estion", "ortion"])).alias("s")).select("doc_id", "s.start", "s.end", "s.term"))
@@ -783,6 +797,19 @@ def _w8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.update(h, patches).select("id", "name", "is_favorite")
 
 
+@query("w4_history_store", f"{_HISTORY}, e AS (SELECT first(id ORDER BY ts, id) AS id, max(ts) AS ts, first(name ORDER BY ts, id) AS name, first(fav ORDER BY ts, id) AS is_favorite FROM h GROUP BY term, u) SELECT id, ts, CASE WHEN id % 3 = 0 THEN 'renamed' ELSE name END AS name, is_favorite OR id % 3 = 0 AS is_favorite FROM e", with_corpus=False)
+def _w4_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history in two loads by time, the second twice, then a patch: equal to a rebuild from all of it."""
+    h, store = _history(spark, sf_dir), HistoryStore(spark, new_path(spark))
+    middle = h.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    late = F.unix_micros(F.col("ts").cast("timestamp")) > middle
+    for part in (h.filter(~late), h.filter(late), h.filter(late)):
+        store.load(part.withColumn("ts", F.col("ts").cast("timestamp")))
+    ids = store.read().filter("id % 3 = 0").select("id", F.lit("renamed").alias("name"), F.lit(True).alias("is_favorite"))
+    store.patch(ids)
+    return store.read().select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "name", "is_favorite")
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------------------
 
 
