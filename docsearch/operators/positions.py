@@ -11,27 +11,32 @@ from docsearch.functions.arrays import let, running_sums
 from docsearch.functions.patterns import AFTER_WORD, BEFORE_WORD, QueryError, quote
 
 
-def _in_text(content: Column, term: str, case_sensitive: bool, whole_word: bool, found: Callable[[Column, str], Column], nothing: Column) -> Column:
-    """``found(text, look)`` where the text that is searched, made once, holds the term at all, else ``nothing``. look: a pattern of
-    the empty places before the term."""
+def _period(term: str) -> int:
+    """The least distance at which the term can begin again."""
+    return next(p for p in range(1, len(term) + 1) if term.startswith(term[p:]))
+
+
+def _in_text(content: Column, term: str, case_sensitive: bool, whole_word: bool, found: Callable[[Column, str, int], Column], nothing: Column) -> Column:
+    """``found(text, pattern, taken)`` where the text that is searched, made once, holds the term at all, else ``nothing``. The pattern takes
+    the letters up to where the term can begin again (``taken``) and looks at the rest, so overlapping occurrences are all met."""
     text, t = (content, term) if case_sensitive else (F.lower(content), term.lower())
-    look = f"{BEFORE_WORD if whole_word else ''}(?=\\Q{t}\\E{AFTER_WORD if whole_word else ''})"
     if not term:
         return nothing
-    return F.coalesce(let(text, lambda x: F.when(x.contains(t), found(x, look))), nothing)
+    n = _period(t)
+    rest = (f"(?=\\Q{t[n:]}\\E{AFTER_WORD if whole_word else ''})" if t[n:] else AFTER_WORD if whole_word else "")
+    pattern = f"{BEFORE_WORD if whole_word else ''}\\Q{t[:n]}\\E{rest}"
+    return F.coalesce(let(text, lambda x: F.when(x.contains(t), found(x, pattern, n))), nothing)
 
 
 def positions(content: Column, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
-    """Starts of the term, overlapping ones too (aba in abababa: 0, 2, 4). Cutting the text before each occurrence leaves
-    segments; those that begin with the term begin at its places."""
+    """Starts of the term, overlapping ones too (aba in abababa: 0, 2, 4): what stands between them, and what the pattern takes, add up."""
 
-    def found(text: Column, look: str) -> Column:
+    def found(text: Column, pattern: str, taken: int) -> Column:
         def places(parts: Column) -> Column:
-            # The first segment may begin with the term by itself; every later one does, as the text was cut there.
-            starts = F.slice(running_sums(F.transform(parts, lambda p: F.length(p))), 1, F.size(parts))
-            return F.filter(starts.cast("array<int>"), lambda s, i: (i > 0) | text.rlike("^" + look))
+            after = F.slice(running_sums(F.transform(parts, lambda p: F.length(p) + taken)), 2, F.size(parts) - 1)
+            return F.transform(after, lambda s: (s - taken).cast("int"))
 
-        return let(F.split(text, look, -1), places)
+        return let(F.split(text, pattern, -1), places)
 
     return _in_text(content, term, case_sensitive, whole_word, found, F.array().cast("array<int>"))
 
@@ -59,7 +64,7 @@ def check_positions(spark, pattern: str) -> None:
 
 def match_count(content: Column, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
     """The number of ``positions``, without the places themselves."""
-    return _in_text(content, term, case_sensitive, whole_word, lambda text, look: F.regexp_count(text, F.lit(look)), F.lit(0))
+    return _in_text(content, term, case_sensitive, whole_word, lambda text, pattern, _: F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
 
 def _placed_lines(content: Column) -> Column:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsearch.functions.arrays import let, running_sums
+from docsearch.functions.arrow import steps, utf8
 
 WORD_CHARS = "A-Za-z0-9_À-ÿ"
 _RUN = f"[{WORD_CHARS}]+"
@@ -29,20 +34,67 @@ def placed_words(content: Column) -> Column:
     return F.filter(let(F.regexp_extract_all(content, F.lit(_RUN), F.lit(0)), placed), lambda x: F.length(x["word"]) > 1)
 
 
+_WORD_BYTE = np.zeros(256, bool)
+_WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123), 0xC3]] = True  # 0xC3 leads the letters from À to ÿ
+
+
+def _scan(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the rows of a text buffer, in one pass: row, first byte, byte behind the end, place of the first character in its row,
+    and that behind the last."""
+    word = _WORD_BYTE[buf]
+    word[1:] |= buf[:-1] == 0xC3
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[at] = True
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1] | edge[1:-1]
+    ends[:-1] &= ~word[1:] | edge[1:-1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    place = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # characters before each byte
+    row = np.searchsorted(at, first, "right") - 1
+    start, stop = place[first] - place[at[row]], place[last] - place[at[row]]
+    kept = stop - start > 1
+    return row[kept], first[kept], last[kept], np.stack([start[kept], stop[kept]])
+
+
 def tokens(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """key, word_idx, word, start, end (of the last character) of every word. Words are placed inside their document's row, so
-    nothing is shuffled."""
-    return docs.select(key, F.posexplode(placed_words(F.col(content))).alias("word_idx", "w")).select(key, "word_idx", "w.word", "w.start", "w.end")
+    """key, word_idx, word, start, end (of the last character) of every word. Texts are cut in Arrow batches, one pass over their bytes, and
+    nothing is shuffled; null texts have no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole, offsets = utf8(b.column(1))
+            for i, j in steps(offsets):
+                buf, at = whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                row, first, last, places = _scan(buf, at)
+                if not len(row):
+                    continue
+                index = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                cuts = np.stack([first, last], 1).reshape(-1).astype(np.int32)  # words and gaps take turns
+                turns = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(buf)))
+                words = turns.take(pa.array(np.arange(0, len(cuts) - 1, 2)))
+                columns = [b.column(0).take(pa.array(i + row)), pa.array(index.astype(np.int32)), words, pa.array(places[0].astype(np.int32)), pa.array((places[1] - 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "word_idx", "word", "start", "end"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, content).mapInArrow(run, f"`{key}` {kind}, word_idx int, word string, start int, end int")
+
+
+#: Characters of a block of a document in ``word_index_at``.
+BLOCK = 1 << 16
 
 
-def word_index_at(places: DataFrame, token_table: DataFrame, key: str = "doc_id") -> DataFrame:
+def word_index_at(places: DataFrame, token_table: DataFrame, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """``places`` (key, pos) with word_idx: the word that holds the position; white space after a word belongs to it; -1 before
-    the first word. An as-of lookup by one window over both tables; the documents are its groups."""
+    the first word. An as-of lookup by one window over both tables in blocks of ``block`` characters, so a document of any length is
+    many groups; the last word before each block, a small table, leads over."""
     starts = token_table.select(key, F.col("start").alias("_at"), F.lit(0).alias("_kind"), "word_idx")
     asked = places.select(key, F.col("pos").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("word_idx"))
-    w = W.partitionBy(key).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    out = starts.unionByName(asked).withColumn("_word", F.last("word_idx", ignorenulls=True).over(w)).filter("_kind = 1")
-    return out.select(key, F.col("_at").alias("pos"), F.coalesce("_word", F.lit(-1)).alias("word_idx"))
+    both = starts.unionByName(asked).withColumn("_block", F.floor(F.col("_at") / block))
+    last = both.groupBy(key, "_block").agg(F.max("word_idx").alias("_last"))
+    before = last.select(key, "_block", F.max("_last").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    w = W.partitionBy(key, "_block").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    out = both.withColumn("_word", F.last("word_idx", ignorenulls=True).over(w)).filter("_kind = 1").join(before, [key, "_block"])
+    return out.select(key, F.col("_at").alias("pos"), F.coalesce("_word", "_before", F.lit(-1)).alias("word_idx"))
 
 
 def word_distance(i: Column, j: Column) -> Column:
