@@ -28,6 +28,8 @@ TRAIN_DOCS = 3000
 VOCABULARY = 512
 #: Share of the tokens that the last step of the fit may still move.
 STILL = 1e-5
+#: Steps after which the rates are stored, so that a later step replays so many at most.
+STORED = 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -201,6 +203,19 @@ def fit_rates(members: DataFrame, weights: dict[str, float], budget: float | Non
     scale = 1 / np.maximum(mass / total, 1e-6)
     rate = 1 / max(1e-9, np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)).max())
     done = np.zeros((0, k))
+    kept = members.select("n_tokens", "posteriors", F.lit(1.0).alias("r"))  # with the rates after the first ``since`` steps
+    since = 0
+
+    def stored(moves: np.ndarray) -> DataFrame:
+        """``kept`` with the rates after ``moves`` more steps, as a table."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                r = _replay(p, moves, max_rate, b.column(2).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(r)], ["n_tokens", "posteriors", "r"])
+
+        return cut(kept.mapInArrow(run, "n_tokens long, posteriors array<double>, r double"))
 
     def residual(moves: np.ndarray) -> tuple[np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,21 +223,25 @@ def fit_rates(members: DataFrame, weights: dict[str, float], budget: float | Non
             for b in batches:
                 p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
                 n = b.column(0).to_numpy(zero_copy_only=False)
-                r = _replay(p, moves[:-1], max_rate)
+                r = _replay(p, moves[:-1], max_rate, b.column(2).to_numpy(zero_copy_only=False))
                 last = _replay(p, moves[-1:], max_rate, r)
                 out += [*((last * n) @ p), np.abs(last - r) @ n]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [f"s{d}" for d in range(k + 1)])
 
-        parts = members.select("n_tokens", "posteriors").mapInArrow(run, ", ".join(f"s{d} double" for d in range(k + 1)))
+        parts = kept.mapInArrow(run, ", ".join(f"s{d} double" for d in range(k + 1)))
         sums = np.array(parts.agg(*(F.sum(f"s{d}") for d in range(k + 1))).first(), float) / total
         return sums[:k] - target, float(sums[k])
 
     while True:
-        e, moved = residual(done)
+        e, moved = residual(done[since:])
         met = bool((np.abs(e) <= tolerance * target).all())
         if met or len(done) and moved <= STILL or len(done) >= steps:
             break
+        if len(done) - since >= STORED:
+            before, kept, since = kept, stored(done[since:]), len(done)
+            discard(before)
         done = np.vstack([done, np.round(rate * scale * e, 12)])
+    discard(kept)
     if not met:
         missed = ", ".join(f"{d} {100 * x / max(t, 1e-12):+.4f} %" for d, x, t in zip(weights, e, target, strict=True))
         warnings.warn(f"mixing: targets missed after {len(done)} steps (the last moved {moved:.1e} of the tokens): {missed}", stacklevel=2)

@@ -28,21 +28,30 @@ ROUNDS = 10
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _LOCAL = r"[\p{L}\p{M}0-9._%+-]"
+_ALNUM = r"[\p{L}\p{M}0-9]"
+#: Signs that a local part may have between letters or digits; those that part words, cells or fields of an address line are left out.
+_MARK = r"['’!#$*^{}~`]"
 _LABEL = r"[\p{L}0-9](?:[\p{L}\p{M}0-9-]*[\p{L}\p{M}0-9])?"
 #: Stands for what the first cut has replaced; where a text has this character itself, it is put back the same way.
 _HOLE = "\ue000"
 #: kind: (what must not stand before, the pattern, what must not follow). Earlier kinds win at the same place.
 _FIRST: dict[str, tuple[str, str, str]] = {
     "hole": ("", _HOLE, ""),
-    "email": (_LOCAL, rf"{_LOCAL}++@{_LABEL}(?:\.{_LABEL})++", ""),
+    "email": (rf"{_LOCAL}|{_ALNUM}{_MARK}", rf"(?:{_LOCAL}|(?<={_ALNUM}){_MARK}(?={_ALNUM}))++@{_LABEL}(?:\.{_LABEL})++", ""),
     "iban": (r"[\p{L}0-9]", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"[\p{L}0-9]"),
     "card": (r"[0-9]|[0-9][ -]", r"[0-9](?:[ -]?[0-9]){12,}+", ""),
 }
+#: Numbers without a calling code that no list of plain numbers holds: three, three and four digits with single spaces and no other number
+#: beside them (but a 1 before them), and numbers with a trunk zero, in one piece or with one or two separators.
+_NATIONAL = (
+    r"(?<![0-9][ ,])(?:1[ -])?[2-9][0-9]{2} [0-9]{3} [0-9]{4}(?![ ,][0-9]|[0-9]|[.,-][0-9])"
+    r"|(?<![0-9][ .,/-]|[.,/-])0[1-9](?:[0-9]{8,9}|[0-9]{1,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4})(?![ .,/-]?[0-9])"
+)
 _SECOND: dict[str, tuple[str, str, str]] = {
-    "date": (r"[0-9/.-]", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})", r"[0-9/-]|\.[0-9]"),
+    "date": (r"[0-9/.-]", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})", r"[0-9/-]|\.[0-9]"),
     "ipv4": (r"[0-9.]", rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"[0-9]|\.[0-9]"),
     "ssn": (r"[0-9-]", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]|-[0-9]"),
-    "phone": (r"[0-9+]", r"(?:(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})", r"[0-9]"),
+    "phone": (r"[0-9+]", r"(?:(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|" + _NATIONAL + ")", r"[0-9]"),
 }
 KINDS = ("email", "iban", "card", *_SECOND)
 
@@ -325,10 +334,11 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """A calling code after + stays; the digits behind it are permuted among those of their number."""
+    """A calling code after +, or a trunk zero, stays; the digits behind it are permuted among those of their number."""
 
     def of(d: Column) -> Column:
-        head = F.when(m.startswith("+"), F.length(F.regexp_extract(d, CALLING_CODE, 0))).otherwise(F.greatest(F.length(d) - 10, F.lit(0)))
+        trunk = F.when(d.startswith("0"), 1).otherwise(F.greatest(F.length(d) - 10, F.lit(0)))
+        head = F.when(m.startswith("+"), F.length(F.regexp_extract(d, CALLING_CODE, 0))).otherwise(trunk)
         tail = lambda h: _permute_chunk(F.substring(d, h + 1, F.length(d)), _DIGITS, F.lit("phone"), key)
         return let(head, lambda h: let(F.concat(F.substring(d, F.lit(1), h), tail(h)), lambda f: _refill(m, f, "0-9")))
 
@@ -363,6 +373,12 @@ _LEAP = "".join(f"{y} " for y in range(1800, 2200) if calendar.isleap(y))
 
 
 def _date(m: Column, key: str) -> Column:
+    """As ``_padded_date``; days and months of one digit count as with a zero before them, and the pseudonym has no such zeros either."""
+    digit = r"(?<![0-9])([0-9])(?=[/.])"
+    return F.when(F.length(m) == 10, _padded_date(m, key)).otherwise(F.regexp_replace(let(F.regexp_replace(m, digit, "0$1"), lambda p: _padded_date(p, key)), r"(?<![0-9])0(?=[0-9][/.])", ""))
+
+
+def _padded_date(m: Column, key: str) -> Column:
     """Dates of the 400 years from 1800 on. With / the day comes first; where only the month can, the date becomes another one that
     can be read in no other way, so no two dates have one pseudonym."""
     first = F.lit("1800-01-01").cast("date")

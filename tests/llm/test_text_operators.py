@@ -532,3 +532,53 @@ def test_very_many_matches_in_one_text(spark):
     listed = ",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(100_000))
     assert (row.n_hex, row.base_sha256) == (100_000, hashlib.sha256(listed.encode()).hexdigest())
     assert time.monotonic() - begun < 60
+
+
+# --- wider pseudonyms -----------------------------------------------------------------------------------------------------------
+
+
+def test_pii_of_more_notations(spark):
+    hit = {
+        "john.o'neil@example.com": "email", "O'Brien@x.org": "email", "a.b!c@x.org": "email", "555 123 4567": "phone", "1 555 123 4567": "phone", "0301234567": "phone", "030 1234567": "phone",
+        "0170/1234567": "phone", "3/4/1999": "date", "25.3.1999": "date", "3/25/1999": "date",
+    }
+    texts = [f"see {v}, then" for v in hit]
+    got = [r for r in pii.pseudonyms(documents(spark, texts), "k").orderBy("doc_id").collect()]
+    for (v, kind), r in zip(hit.items(), got, strict=True):
+        assert list(r.pii_kinds) == [kind] and v not in r.text and r.text == f"see {r.pii_values[0]}, then"
+        shape = lambda x: re.sub(r"[0-9]+", "0", x) if kind == "date" else re.sub(r"[0-9]", "0", x)
+        assert kind == "email" or shape(v) == shape(r.pii_values[0])
+    assert got[0].pii_values[0].split("@")[0][6] == "'"
+    assert got[5].pii_values[0].startswith("0") and re.sub("[^0-9]", "", got[5].pii_values[0]) == re.sub("[^0-9]", "", got[6].pii_values[0])
+
+
+def test_pii_dates_with_and_without_zeros_are_linked(spark):
+    texts = ["03/04/1999", "3/4/1999", "03.04.1999", "3.4.1999", "1999-04-03", "03/25/1999", "3/25/1999"]
+    new = [r.pii_values[0] for r in pii.pseudonyms(documents(spark, texts), "k").orderBy("doc_id").collect()]
+    number = lambda x: [int(v) for v in re.split(r"[/.-]", x)]
+    assert number(new[0]) == number(new[1]) == number(new[2]) == number(new[3]) == number(new[4])[::-1] and number(new[5]) == number(new[6])
+    assert all(len(x) == 10 for x in (new[0], new[2], new[5])) and not any(re.search(r"(?<![0-9])0[0-9]", x) for x in (new[1], new[3], new[6]))
+
+
+def test_pii_leaves_plain_numbers(spark):
+    texts = ["100 200 3000 4000", "555 123 4567 890", "9 555 123 4567", "1/2/3 4/5/6", "13/13/1999", "0.0301234567", "0000000000", "1.2.3.4.1999", "pages 012 to 340", "007 agents"]
+    got = pii.pseudonyms(documents(spark, texts), "k").orderBy("doc_id").collect()
+    kept = [r.text == t for r, t in zip(got, texts, strict=True)]
+    assert all(kept), [t for t, k in zip(texts, kept, strict=True) if not k]
+
+
+def test_pii_long_texts_take_linear_time(spark):
+    texts = ["a'" * 200_000, "a.b!" * 100_000, "0 " * 200_000, "555 123 " * 50_000, "1/" * 200_000]
+    began = time.time()
+    got = pii.pseudonyms(documents(spark, texts), "k").select("doc_id", F.length("text").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {i: len(t) for i, t in enumerate(texts)} and time.time() - began < 90
+
+
+def test_mixing_stores_rates_between_steps(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 300)
+    rows = spark.createDataFrame([(int(n), q.tolist()) for n, q in zip(rng.integers(1, 50, 300), p, strict=True)], "n_tokens long, posteriors array<double>")
+    weights = {"a": 0.7, "b": 0.2, "c": 0.1}
+    plain = mixing.fit_rates(rows, weights, max_rate=1.0, steps=30)
+    monkeypatch.setattr(mixing, "STORED", 4)
+    assert np.allclose(mixing.fit_rates(rows, weights, max_rate=1.0, steps=30), plain) and len(plain) > 8
