@@ -44,8 +44,8 @@ _FIRST: dict[str, tuple[str, str, str]] = {
 #: Numbers without a calling code that no list of plain numbers holds: three, three and four digits with single spaces and no other number
 #: beside them (but a 1 before them), and numbers with a trunk zero, in one piece or with one or two separators.
 _NATIONAL = (
-    r"(?<![0-9][ ,])(?:1[ -])?[2-9][0-9]{2} [0-9]{3} [0-9]{4}(?![ ,][0-9]|[0-9]|[.,-][0-9])"
-    r"|(?<![0-9][ .,/-]|[.,/-])0[1-9](?:[0-9]{8,9}|[0-9]{1,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4})(?![ .,/-]?[0-9])"
+    r"(?<![0-9][ ,]|[\p{L}_])(?:1[ -])?[2-9][0-9]{2} [0-9]{3} [0-9]{4}(?![ ,][0-9]|[0-9\p{L}_]|[.,-][0-9])"
+    r"|(?<![0-9][ .,/-]|[.,/\p{L}_-])0[1-9](?:[0-9]{8,9}|[0-9]{1,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4})(?![ .,/-]?[0-9]|[\p{L}_])"
 )
 _SECOND: dict[str, tuple[str, str, str]] = {
     "date": (r"[0-9/.-]", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})", r"[0-9/-]|\.[0-9]"),
