@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.functions.arrays import let, running_sums
-from docsearch.llm.common import cut, discard, text_or_empty
+from docsearch.llm.common import cut, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -96,11 +96,17 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     return todo.join(done, "blob", "left").select("blob", "text", missing.alias("missing")).filter(F.size("missing") > 0)
 
 
+def fresh(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """What a load adds to the ledger: (blob, rule, rule_version, spans) of the blob and rule version pairs in ``versions`` (columns text
+    and any others) that it lacks. A ledger is all that its loads have added; none of them is ever written again."""
+    return scan(unseen(blobs_of(versions), ledger, rules), rules)
+
+
 def update(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """The ledger after scanning what is new in ``versions`` (columns text and any others): (blob, rule, rule_version, spans).
-    Rows of older rule versions are left out of the result; unseen pairs are scanned, all others are taken over."""
-    fresh = scan(unseen(blobs_of(versions), ledger, rules), rules)
-    return fresh if ledger is None else current(ledger, rules).unionByName(fresh)
+    """The ledger after scanning what is new in ``versions``, as one table: rows of older rule versions are left out, unseen
+    pairs are scanned, all others are taken over."""
+    new = fresh(versions, ledger, rules)
+    return new if ledger is None else current(ledger, rules).unionByName(new)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
@@ -126,15 +132,14 @@ def _tagged(rule: Rule, k: int) -> Column:
 def report(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES, loads: int = 2) -> DataFrame:
     """doc_id, n_{rule} for each rule, base_sha256 and spans of every row of ``documents`` (doc_id, text; others are ignored).
 
-    The documents come in as ``loads`` loads, by a hash of doc_id: each is scanned against the ledger that the ones before it have
-    stored, so a blob that an earlier load has seen is not scanned again. The base rules are all rules here, so base_sha256 is the
+    The documents come in as ``loads`` loads, by a hash of doc_id: each is scanned against what the ones before it have added to the
+    ledger, so a blob that an earlier load has seen is not scanned again, and adds its own findings as a part of the ledger. The base rules are all rules here, so base_sha256 is the
     digest of spans."""
     versions = documents.select("doc_id", "text")
     for k in range(loads):
         load = versions.filter(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(loads)) == k)
-        before, ledger = ledger, cut(update(load, ledger, rules))
-        if k:
-            discard(before)
-    out = findings(versions, ledger, rules)
+        added = cut(fresh(load, ledger, rules))
+        ledger = added if ledger is None else ledger.unionByName(added)
+    out = findings(versions, current(ledger, rules), rules)
     counts = [F.size(f"{r.name}_spans").cast("long").alias(f"n_{r.name}") for r in rules]
     return out.select("doc_id", *counts, listed(rules).alias("spans")).withColumn("base_sha256", F.sha2("spans", 256))

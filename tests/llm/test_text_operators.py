@@ -510,6 +510,17 @@ def test_scans_match_plain_search(spark):
     assert scans.report(documents(spark, [])).count() == 0
 
 
+def test_loads_append_to_the_ledger(spark, monkeypatch):
+    docs = documents(spark, [f"token: abcdefghijkl{i % 7}" for i in range(60)])
+    written = []
+    keep = scans.cut
+    monkeypatch.setattr(scans, "cut", lambda df: written.append(keep(df)) or written[-1])
+    many = {tuple(r) for r in scans.report(docs, loads=4).select("doc_id", "spans").collect()}
+    added = [w.count() for w in written[:4]]
+    assert many == {tuple(r) for r in scans.report(docs, loads=1).select("doc_id", "spans").collect()}
+    assert sum(added) == 7 * len(scans.BASE_RULES) and added[0] > added[-1]  # every blob once, in the load that had it first
+
+
 def test_ledger_scans_only_what_is_new(spark):
     first, second = documents(spark, SECRETS[:4]), documents(spark, SECRETS[2:], ids=range(100, 98 + len(SECRETS)))
     ledger = spark.createDataFrame(scans.update(first).collect(), scans.update(first).schema)
