@@ -130,7 +130,7 @@ def threads(conversations: DataFrame) -> DataFrame:
     row of ``conversations`` (other columns are ignored).
 
     Null texts count as empty; white space around a message goes; rows with a null conv_id or turn are in no link. Repeated rows
-    stay, with equal results. If several messages share a turn, a thread goes on through the earliest of their parents. An empty
+    stay, with equal results. A very long message is one row, worked on in linear time. If several messages share a turn, a thread goes on through the earliest of their parents. An empty
     table gives an empty result."""
     parsed = messages(conversations)
     found = cut(links(parsed))

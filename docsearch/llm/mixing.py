@@ -279,6 +279,8 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rat
 
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float | None = 1.0, budget: float | None = None, domain: Column | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` says (with a max_rate of 1 once at most), with the columns they had.
+    Null and empty texts have no tokens and are taken by the rate of their posteriors; repeated rows have equal rates and, with one doc_id,
+    the same fate; an empty table gives an empty one; a very long text counts with all its words.
     The posteriors are computed a second time along the texts rather than joined to them, which would shuffle the texts."""
     domains, held = list(weights), "_held"
     model = train(docs, labels, domains, domain)

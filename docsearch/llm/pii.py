@@ -463,7 +463,8 @@ def _steps(application: str, key: str) -> tuple[Column, Column]:
 def pseudonyms(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with ``column`` (null counts as empty) pseudonymised, and two more columns, which replace any of that name:
     pii_kinds (array of the kind of each replaced value, in order) and pii_values (array of the pseudonyms).
-    One pass without a shuffle; rows keep their other columns; repeated rows have equal results."""
+    One pass without a shuffle; rows keep their other columns; repeated rows have equal results; an empty table gives an empty one; a
+    very long text is one row, cut in linear time."""
     text = F.col("_text")
     none = F.array().cast(f"array<{_PIECE}>")
     first, second = _steps(docs.sparkSession.sparkContext.applicationId, key)

@@ -266,6 +266,8 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, limit: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of ``docs`` with a score of ``least`` or more, with the columns they had."""
+    """The rows of ``docs`` with a score of ``least`` or more, with the columns they had (also columns of other names than those of
+    documents). Null and empty texts are scored as a passage without words; repeated rows go or stay together; an empty table gives an
+    empty one; very long texts are scored by all their passages."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
     return score(packed, train(docs, labels, limit), ("_row",)).filter(F.col("score") >= least).select("_row.*")

@@ -258,6 +258,19 @@ def test_threads_equal_a_plain_version(spark):
     assert got == expected and sum(p is not None and p[0] != me[0] for me, (_, p, *_) in expected.items()) > 5
 
 
+def test_a_large_table_of_threads(spark):
+    """A chain of 600 replies that quote deeper and deeper, one passage that 4,000 messages quote, thousands of short conversations that
+    quote their own first turn, and one very long message."""
+    rows = [(1, k, "user", f"chain {k}" if not k else "\n".join(f"{'>' * (d + 1)} chain {k - 1 - d}" for d in range(min(k, 3))) + f"\nchain {k}") for k in range(600)]
+    rows.append((2, 0, "user", "the passage that all of them quote"))
+    rows += [(3 + k, 0, "assistant", f"> the passage that all of them quote\nanswer {k}") for k in range(4000)]
+    rows += [(10_000 + k, t, "user", f"topic {k}" if not t else f"> topic {k}\nreply {k} {t}") for k in range(2000) for t in range(3)]
+    rows.append((90_000, 0, "user", "\n".join(f"> chain {k}" for k in range(600)) + "\n" + "word " * 200_000))
+    got = {(r.conv_id, r.turn): (r.text, (r.parent_conv, r.parent_turn) if r.parent_turn is not None else None, (r.thread_conv, r.thread_root), r.depth) for r in chat.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == plain_threads(rows)
+    assert got[1, 599][3] == 599 and sum(v[2] == (2, 0) for v in got.values()) == 4001
+
+
 # --- top-k ----------------------------------------------------------------------------------------------------------------------
 
 
