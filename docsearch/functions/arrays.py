@@ -1,4 +1,4 @@
-"""Array columns: a value bound once, and running sums that take about n steps for n elements."""
+"""Array columns: a value bound once, and running sums in blocks."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def running_sums(values: Column) -> Column:
     """The sums before each element of an array of numbers, and the sum of all: one entry more than ``values``.
 
-    The array is cut into about sqrt(n) blocks of sqrt(n) elements; sums are built up inside blocks and over the blocks, as
-    appending to one array n times would copy it n times."""
+    The array is cut into about sqrt(n) blocks of sqrt(n) elements; sums are built up inside blocks and over the blocks, so n * sqrt(n)
+    elements are copied, as appending to one array n times would copy n * n."""
     zero = F.array(F.lit(0).cast("long"))
 
     def grow(xs: Column) -> Column:

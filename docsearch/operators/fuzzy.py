@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.operators.tokens import words
+from docsearch.operators.tokens import WORD_CHARS, words
 
 RATIO = 0.3
 LEAST = 3
@@ -17,20 +18,41 @@ LISTED = 200_000
 
 def close(word: Column, term: str, ratio: float = RATIO) -> Column:
     """``word`` is about as long as the term, begins or ends like it, and is few edits away. Cheap tests stand first."""
-    n = len(term)
-    size = (F.length(word) >= math.floor((1 - ratio) * n + 1e-9)) & (F.length(word) <= math.ceil((1 + ratio) * n - 1e-9))
+    lo, hi, limit = _bounds_of(term, ratio)
+    size = (F.length(word) >= lo) & (F.length(word) <= hi)
     edge = (F.substring(word, 1, 1) == term[0]) | (F.substring(word, -1, 1) == term[-1])
-    limit = math.floor(ratio * n + 1e-9)
     return size & edge & (F.levenshtein(word, F.lit(term), limit) >= 0)
 
 
+def _bounds_of(term: str, ratio: float) -> tuple[int, int, int]:
+    """Least and greatest length of a close word, and the edits it may have."""
+    n = len(term)
+    return math.floor((1 - ratio) * n + 1e-9), math.ceil((1 + ratio) * n - 1e-9), math.floor(ratio * n + 1e-9)
+
+
+def close_words_in(text: Column, term: str, ratio: float = RATIO) -> Column:
+    """The words of a text whose length and first or last letter let them be close to the term: one pattern finds them, and no other
+    word is taken out of the text."""
+    lo, hi, _ = _bounds_of(term, ratio)
+    any_ = f"[{WORD_CHARS}]"
+    ways = [f"\\Q{term[0]}\\E{any_}{{{lo - 1},{hi - 1}}}"] * bool(re.fullmatch(any_, term[0])) + [f"{any_}{{{lo - 1},{hi - 1}}}\\Q{term[-1]}\\E"] * bool(re.fullmatch(any_, term[-1]))
+    if not ways:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(text, F.lit(f"(?<!{any_})(?:{'|'.join(ways)})(?!{any_})"), F.lit(0))
+
+
+def has_close_word(text: Column, term: str, ratio: float = RATIO) -> Column:
+    limit = _bounds_of(term, ratio)[2]
+    return F.exists(close_words_in(text, term, ratio), lambda w: F.levenshtein(w, F.lit(term), limit) >= 0)
+
+
 def fuzzy_term(content: Column, term: str, case_sensitive: bool = False, whole_word: bool = False, ratio: float = RATIO) -> Column:
     """Some word is close to the term. Terms under three characters match exactly only. Tokens are whole words, so whole_word
     asks no more of a close word."""
     text, t = (content, term) if case_sensitive else (F.lower(content), term.lower())
     if len(t) < LEAST:
         return F.exists(words(text), lambda w: w == t) if whole_word else text.contains(t)
-    return F.exists(F.array_distinct(words(text)), lambda w: close(w, t, ratio))
+    return has_close_word(text, t, ratio)
 
 
 def fuzzy_indexes(listed: Column, term: str) -> Column:
@@ -79,7 +101,7 @@ def vocabulary(posted: DataFrame) -> DataFrame:
 
 def _bounds(terms: list[str], ratio: float) -> list[tuple]:
     """(term, least length, greatest length, edits, first letter, last letter) of each term."""
-    return [(t, math.floor((1 - ratio) * len(t) + 1e-9), math.ceil((1 + ratio) * len(t) - 1e-9), math.floor(ratio * len(t) + 1e-9), t[0], t[-1]) for t in terms]
+    return [(t, *_bounds_of(t, ratio), t[0], t[-1]) for t in terms]
 
 
 def close_words(vocabulary: DataFrame, terms: list[str], ratio: float = RATIO) -> DataFrame:

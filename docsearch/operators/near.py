@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docsearch.functions.arrays import let
 from docsearch.functions.patterns import parse_literal
-from docsearch.operators.fuzzy import LEAST, fuzzy_indexes
+from docsearch.operators.fuzzy import LEAST, fuzzy_indexes, has_close_word
 from docsearch.operators.positions import positions, regex_positions
 from docsearch.operators.tokens import placed_words, words
 
@@ -80,12 +80,14 @@ def near(content: Column, one: str, two: str, distance: int | str, case_sensitiv
         base = content if parse_literal(one) or parse_literal(two) else text  # a pattern's places are those in the text as it is
         listed = lambda p: p["word"] if case_sensitive else F.transform(p["word"], F.lower)
         found = let(placed_words(base), lambda p: let(listed(p), lambda w: let(p["start"], lambda s: test(w, s))))
-    # cheap tests first: a pattern, and without close words a term, must stand in the text at all
+    # cheap tests first: a pattern or a term, or a word close to it, must stand in the text at all
     possible = F.length(content) >= LEAST_CONTENT
     for t in (one, two):
         literal = parse_literal(t)
         if literal:
             possible = possible & content.rlike(literal.java)
-        elif not fuzzy or len(t) < LEAST:
-            possible = possible & text.contains(t if case_sensitive else t.lower())
+        else:
+            same = t if case_sensitive else t.lower()
+            held = text.contains(same)
+            possible = possible & (held | has_close_word(text, same) if fuzzy and len(t) >= LEAST else held)
     return F.when(possible, found).otherwise(F.lit(False))
