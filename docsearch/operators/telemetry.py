@@ -13,8 +13,8 @@ def line_metrics(docs: DataFrame) -> DataFrame:
     """doc_id, file_path, total, blank, comment and code lines. Comment lines begin, after white space, with //, /*, * or #."""
     text, blanks = F.col("content"), r"[ \t\x0b\f\r]*+"
     total = F.regexp_count(text, F.lit("\n")) + 1
-    # (?d): a line feed alone ends a line; ^ doesn't stand behind a last line feed, so the empty line there is added
-    blank = F.regexp_count(text, F.lit(rf"(?md)^{blanks}$")) + F.when(text.endswith("\n"), 1).otherwise(0)
+    # (?d): a line feed alone ends a line; ^ doesn't stand at the end of a text, so an empty last line is added
+    blank = F.regexp_count(text, F.lit(rf"(?md)^{blanks}$")) + F.when((text == "") | text.endswith("\n"), 1).otherwise(0)
     comment = F.regexp_count(text, F.lit(rf"(?md)^{blanks}(?://|/\*|\*|#)"))
     out = docs.select("doc_id", "file_path", total.cast("long").alias("total"), blank.cast("long").alias("blank"), comment.cast("long").alias("comment"))
     return out.withColumn("code", F.col("total") - F.col("blank") - F.col("comment"))

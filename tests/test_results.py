@@ -1,9 +1,11 @@
 import datetime
 import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
-from docsearch.operators import history, results, telemetry
+from docsearch.operators import fuzzy, history, results, telemetry
 from docsearch.sources import corpus, export
 
 RESULTS = "file_path string, matched boolean, read_error string, size long, mtime timestamp"
@@ -60,7 +62,7 @@ def test_exports(spark, tmp_path):
     lost = export.export_rows(rows(spark), docs(spark).filter("file_path <> '/r/file1.txt'"))
     assert lost.filter("file_path = '/r/file1.txt'").first().details == "fileNotFoundDuringRead"
     export.materialise(rows(spark), docs(spark), str(tmp_path / "copies"))
-    assert {x.name for x in spark.read.parquet(str(tmp_path / "copies")).collect()} == {"file1.txt", "file3.js"}
+    assert {x.name for x in (tmp_path / "copies").iterdir()} == {"file1.txt", "file3.js"}
     assert export.path_list(rows(spark)).count() == 4
 
 
@@ -115,3 +117,29 @@ def test_history(spark):
     assert {r.id for r in history.search(h, "FIRST").collect()} == {"a"}
     patched = history.update(h, spark.createDataFrame([("c", "new", None)], "id string, name string, is_favorite boolean"))
     assert {(r.id, r.name, r.is_favorite) for r in patched.collect()} == {("a", "first", True), ("b", None, None), ("c", "new", None)}
+
+
+def test_line_metrics_equal_a_plain_count(spark):
+    rng = random.Random(8)
+    parts = ["", " ", "\t", "code", "  // x", "#", " * y", "/* z", "\r", "a # b", "\x0b\f", " #", "\x85", "-- no"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(400)] + ["", "\n", "\n\n", " " * 300_000 + "x", None]
+    rows = spark.createDataFrame([(i, f"/d/f{i}.txt", t) for i, t in enumerate(texts)], "doc_id long, file_path string, content string")
+    began = time.time()
+    got = {r.doc_id: (r.total, r.blank, r.comment, r.code) for r in telemetry.line_metrics(rows).collect()}
+    assert time.time() - began < 30
+    for i, t in enumerate(texts):
+        if t is not None:
+            lines = [x.strip(" \t\n\x0b\f\r") for x in t.split("\n")]
+            blank, comment = lines.count(""), sum(x.startswith(("//", "/*", "*", "#")) for x in lines)
+            assert got[i] == (len(lines), blank, comment, len(lines) - blank - comment), repr(t)
+
+
+def test_close_words_are_those_of_the_rule(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abé_1") for _ in range(n))
+    texts = ["".join(rng.choice(["(", "-", " ", ".", word(rng.randint(1, 8))]) for _ in range(12)) for _ in range(200)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string")
+    for term in ("abé_a", "(ab)", "aba", "b1é_ab1", "ab-ba"):
+        rule = F.exists(fuzzy.words(F.col("content")), lambda w: fuzzy.close(w, term))  # noqa: B023
+        got = rows.select(rule.alias("a"), fuzzy.fuzzy_term(F.col("content"), term, case_sensitive=True).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got], term
