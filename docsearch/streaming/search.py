@@ -76,7 +76,7 @@ class LevelChanges:
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}/batch=*")
 
     def _put(self, rows: DataFrame, name: str, number: int) -> None:
-        rows.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/{name}/batch={number}")
+        rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/{name}/batch={number}")  # a day is few files, a large one several
 
     def step(self, batch: DataFrame, number: int) -> None:
         """Takes in a batch; for ``foreachBatch``. A batch without points writes empty tables."""
