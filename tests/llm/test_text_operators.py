@@ -593,3 +593,21 @@ def test_mixing_stores_rates_between_steps(spark, monkeypatch):
     plain = mixing.fit_rates(rows, weights, max_rate=1.0, steps=30)
     monkeypatch.setattr(mixing, "STORED", 4)
     assert np.allclose(mixing.fit_rates(rows, weights, max_rate=1.0, steps=30), plain) and len(plain) > 8
+
+
+def test_one_passage_of_a_long_document_decides(spark):
+    """Thirty passages of common words; in documents of low quality one of them, anywhere, is junk."""
+    rng = random.Random(11)
+    common = [f"w{i}" for i in range(400)]
+    junk = [f"zq{i}" for i in range(12)]
+    texts, marks = [], []
+    for i in range(240):
+        bags = [[rng.choice(common) for _ in range(64)] for _ in range(30)]
+        good = rng.random() < 0.5
+        if not good:
+            bags[rng.randrange(30)] = [rng.choice(junk) for _ in range(64)]
+        texts.append(" ".join(w for b in bags for w in b))
+        marks.append((i, int(good), 0))
+    got = {r.doc_id: r for r in quality.classify(documents(spark, texts), labels(spark, marks)).collect()}
+    held = [(got[i].predicted, y) for i, y, _ in marks if got[i].held_out]
+    assert len(held) > 50 and sum(p == y for p, y in held) >= 0.9 * len(held)
