@@ -270,6 +270,15 @@ class Planes(DataSource):
 # --- encoding -------------------------------------------------------------------------------------------------------------------
 
 
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHER = [b for b in range(256) if b not in _OWN]
+#: Byte-level tokenizers write each byte as a letter: these as they are, the others as the letters from 256 on, in their order.
+_BYTES = {b: chr(256 + k) for k, b in enumerate(_OTHER)}
+_SPACE = _BYTES[32]
+#: Marks behind a word that are words of their own by the pattern.
+_ENDS = (".", ",", ";", ":", "!", "?")
+
+
 class Encoder:
     """Texts to ids by the tokenizers library. Where the tokenizer's words can't hold a space or a line feed behind another character
     (byte-level BPE), a text is cut in front of spaces and around line feeds: these are word borders by its pattern where no other white
@@ -293,6 +302,7 @@ class Encoder:
             and told["model"].get("dropout") is None and all(t["special"] for t in told["added_tokens"]) and self.line >= 0
         )
         self.kept: dict[str, bytes] = {}
+        self.ends = {e: self.whole(e) for e in ("", *_ENDS)}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -301,18 +311,33 @@ class Encoder:
         """Of a text, by one call of the library."""
         return array("I", self._ids(text)).tobytes()
 
+    def _word(self, letters: str, bare: bool) -> bytes:
+        """Of a word of Latin letters, with a space before it unless ``bare``: by the pattern it is cut no further, so the library's model
+        gets it as it is, in the letters that stand for bytes."""
+        name = ("" if bare else _SPACE) + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Of pieces with a space before each, or the mark 1 or 2 if there is none. A line feed is a word of its own beside a piece that
+        """Of pieces with a space before each, or the mark 1 or 2 if there is none. Words of Latin letters, also with a mark behind them,
+        which is a word of its own, go to the model alone. The others are joined: a line feed is a word of its own beside a piece that
         doesn't hold white space."""
-        out, plain = {}, []
+        out, plain, kept = {}, [], self.kept.get
         for p in pieces:
             bare = p[:1] in ("\1", "\2")
-            if self._space.search(p) or len(p) <= bare:
+            end = p[-1:] if p[-1:] in _ENDS else ""
+            letters = p[bare : len(p) - len(end)]
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250") and p[:1] != "\1":
+                base = p[: len(p) - len(end)]
+                found = kept(base) or out.get(base)
+                if found is None:
+                    out[base] = found = self._word(letters, bare)
+                out[p] = found + self.ends[end]
+            elif self._space.search(p) or len(p) <= bare:
                 out[p] = self.whole(p[1:] if bare else " " + p)
             else:
                 plain.append(p)
-        for k in range(0, len(plain), 8192):
-            part = plain[k : k + 8192]
+        for k in range(0, len(plain), 1024):
+            part = plain[k : k + 1024]
             ids = np.array(self._ids("\n".join([p[1:] if p[0] == "\2" else " " + p for p in part])), np.uint32)
             raw, ends = ids.tobytes(), [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
             if len(ends) != len(part):
