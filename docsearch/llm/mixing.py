@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import buffer_of, cut, discard, ready, slices, text_or_empty, with_fields
+from docsearch.llm.common import buffer_of, cut, discard, ready, released, slices, text_or_empty, with_fields
 from docsearch.llm.quality import N_FEATURES, passage_features
 from docsearch.llm.wordbytes import word_hashes, words
 
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), x, pa.array(sets, pa.list_(pa.int64()))], ["_id", "d", "x", "h"])
 
     rows = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("_t")).join(F.broadcast(sample), "_id")  # at most ``limit`` rows
-    read = rows.select(F.col("_id").cast("long").alias("_id"), "_d", "_t").mapInArrow(features, "_id long, d string, x binary, h array<long>")
+    read = rows.select(F.col("_id").cast("long").alias("_id"), "_d", "_t").mapInArrow(released(features), "_id long, d string, x binary, h array<long>")
     drawn = cut(read.groupBy("_id").agg(F.min(F.struct("d", "x", "h")).alias("r")).select("_id", "r.*"))  # of several texts with one doc_id one is taken
     vocabulary = _telling_words(drawn, domains)
     known_words = F.array(*(F.lit(w) for w in vocabulary.view(np.int64).tolist())).cast("array<long>")
@@ -171,7 +171,7 @@ def memberships(docs: DataFrame, model: Classifier | None, domains: list[str], k
                 rate = [] if moves is None else [pa.array(_replay(p, moves, max_rate))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(n.astype(np.int64)), lists, *rate], names)
 
-    return docs.select(*keep, text_or_empty().alias("_t")).mapInArrow(run, schema)
+    return docs.select(*keep, text_or_empty().alias("_t")).mapInArrow(released(run), schema)
 
 
 def _replay(p: np.ndarray, steps: np.ndarray, top: float | None, start: np.ndarray | None = None) -> np.ndarray:
@@ -215,7 +215,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float], budget: float | Non
                 r = _replay(p, moves, max_rate, b.column(2).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(r)], ["n_tokens", "posteriors", "r"])
 
-        return cut(kept.mapInArrow(run, "n_tokens long, posteriors array<double>, r double"))
+        return cut(kept.mapInArrow(released(run), "n_tokens long, posteriors array<double>, r double"))
 
     def residual(moves: np.ndarray) -> tuple[np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float], budget: float | Non
                 out += [*((last * n) @ p), np.abs(last - r) @ n]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [f"s{d}" for d in range(k + 1)])
 
-        parts = kept.mapInArrow(run, ", ".join(f"s{d} double" for d in range(k + 1)))
+        parts = kept.mapInArrow(released(run), ", ".join(f"s{d} double" for d in range(k + 1)))
         sums = np.array(parts.agg(*(F.sum(f"s{d}") for d in range(k + 1))).first(), float) / total
         return sums[:k] - target, float(sums[k])
 
@@ -259,7 +259,7 @@ def with_rates(members: DataFrame, moves: np.ndarray, max_rate: float | None = N
             r = _replay(p.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), moves, max_rate) if len(p) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*b.schema.names, "rate"])
 
-    return members.mapInArrow(run, with_fields(members.schema, "rate double"))
+    return members.mapInArrow(released(run), with_fields(members.schema, "rate double"))
 
 
 def copies() -> Column:

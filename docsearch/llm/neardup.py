@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import buffer_of, cut, discard, ready, slices, small, text_or_empty, with_fields
+from docsearch.llm.common import buffer_of, cut, discard, ready, released, slices, small, text_or_empty, with_fields
 from docsearch.llm.components import components
 from docsearch.llm.wordbytes import constants, mix, shingles, word_hashes, words
 
@@ -114,7 +114,7 @@ def sketch(docs: DataFrame, setting: Setting, keep: tuple[str, ...] = ()) -> Dat
                         bands[d], mins[d] = keys[r], m[r]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(cls, pa.binary()), pa.array(n), pa.array(bands, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int16()))], ["doc_id", "cls", "n", "bands", "mins"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("_t")).mapInArrow(run, "doc_id long, cls binary, n long, bands array<long>, mins array<smallint>")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("_t")).mapInArrow(released(run), "doc_id long, cls binary, n long, bands array<long>, mins array<smallint>")
 
 
 def buckets(classes: DataFrame, setting: Setting) -> DataFrame:
@@ -159,7 +159,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, setting: Setting) -> DataFr
                 grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for s in sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([_class(raw[p:q]) for p, q in zip(o[:-1], o[1:], strict=True)], pa.binary()), grams], ["cls", "grams"])
 
-    return source.mapInArrow(run, "cls binary, grams array<long>")
+    return source.mapInArrow(released(run), "cls binary, grams array<long>")
 
 
 def candidate_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
@@ -352,7 +352,7 @@ def _with_class(docs: DataFrame) -> DataFrame:
             cls = pa.array([_class(t.encode()) for t in b.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cls], ["_row", "_id", "cls"])
 
-    return packed.mapInArrow(run, with_fields(packed.select("_row", "_id").schema, "cls binary"))
+    return packed.mapInArrow(released(run), with_fields(packed.select("_row", "_id").schema, "cls binary"))
 
 
 def drop_copies(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:

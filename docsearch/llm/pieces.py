@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import buffer_of, ready, slices, text_or_empty
+from docsearch.llm.common import buffer_of, ready, released, slices, text_or_empty
 
 MARK = "▁"
-#: One generation of a worker's cache of words: so many words, none longer than CACHE_LETTERS characters, so some 40 MB at most; the
+#: One generation of a worker's cache of words: so many words, none longer than CACHE_LETTERS characters, so some 20 MB at most; the
 #: older of two generations goes when the newer is full. Longer words (texts without spaces) are encoded each time.
-CACHE_WORDS, CACHE_LETTERS = 200_000, 48
-CACHE_PAIRS = 400_000
+CACHE_WORDS, CACHE_LETTERS = 100_000, 48
+CACHE_PAIRS = 200_000
 
 
 class Codec:
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, model: str, decode: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     schema = "doc_id long, ids array<int>" + ", decoded string" * decode
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("_t")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("_t")).mapInArrow(released(run), schema)
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import buffer_of, cut, discard, ready, slices, text_or_empty, with_fields
+from docsearch.llm.common import buffer_of, cut, discard, ready, released, slices, text_or_empty, with_fields
 from docsearch.llm.wordbytes import word_hashes, words
 
 PASSAGE = 64
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, most: int
     half = [known.filter(F.col("y") == v).orderBy(F.xxhash64("_id"), "_id").limit(limit // 2) for v in (0, 1)]
     sample = F.broadcast(half[0].unionByName(half[1]))  # at most ``limit`` rows
     rows = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("_t")).join(sample, "_id").select(F.col("_id").cast("long").alias("_id"), "y", "_t")
-    drawn = cut(rows.mapInArrow(_features, "_id long, y int, passages long, x binary, n binary, w binary").groupBy("_id").agg(F.min(F.struct("y", "passages", "x", "n", "w")).alias("r")).select("_id", "r.*"))
+    drawn = cut(rows.mapInArrow(released(_features), "_id long, y int, passages long, x binary, n binary, w binary").groupBy("_id").agg(F.min(F.struct("y", "passages", "x", "n", "w")).alias("r")).select("_id", "r.*"))
     each = most // 2
     sizes = drawn.filter(F.col("passages") <= each).groupBy("y").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("_id").alias("h"), "_id", "passages"))).alias("all"))  # at most ``limit`` in all
     taken = F.aggregate(
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(len(names))), pa.array(s)], [*names, "score"])
 
     source = docs.select(*names, text_or_empty().alias("_t"))
-    return source.mapInArrow(run, with_fields(docs.select(*names).schema, "score double"))
+    return source.mapInArrow(released(run), with_fields(docs.select(*names).schema, "score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
