@@ -7,15 +7,17 @@ Substrings of LONG tokens or more that distinct pages share are boilerplate. Mar
   substrings cover go, the unique runs stay.
 * In a marked article: blocks of elements whose class hints at boilerplate ("share", "notice", "ad", "widget") go if repeated
   substrings cover half of them, or if they are mostly links: a class alone decides nothing there, as articles have boxes of their own
-  under such names. Reader comments, which no other page repeats, go by their class. Any other block goes if it stands whole in most of the host's
-  articles (in MANY at least); a passage that fewer articles share is theirs and stays.
+  under such names. Reader comments, which no other page repeats, and inline elements that are named adverts and nothing else go by
+  their class. Any other block goes if every group of the array that it takes part in (which cover it from its first token to its last)
+  has most of the host's articles (MANY at least); a passage that fewer articles share is theirs and stays.
 * Outside of a marked article nothing stays, repeated or not.
 
 The suffix array is never in one place. Suffixes are dealt by (host, their first LONG tokens): each group is one run of the
 sorted array with a common prefix of at least that length, which is all that has to be known: whether it holds two pages.
 Pages with the same text count as one, so copies of a page don't take it for boilerplate. In blocks of articles that hint at
 nothing the array is sparse: of WINDOW suffixes in a row that with the least hash is taken, so a repeated substring of LONG + WINDOW - 1 tokens is found in
-every text, and what lies between two taken suffixes is covered without a gap.
+every text, and what lies between two taken suffixes is covered without a gap. The first and the last suffix within each block are taken too, so
+the groups of a block follow from its tokens alone and reach both of its ends.
 """
 
 from __future__ import annotations
@@ -59,6 +61,8 @@ _WORDS = set(
     "respond breadcrumb breadcrumbs pagination pager widget copyright".split()
 )
 _COMMENTS = set("comment comments disqus replies respond".split())
+#: An inline element that is named by these alone is an advert wherever it stands.
+_ADS = set("ad ads adv advert adverts advertisement advertising".split())
 #: Words that stand on a page's own blocks too: hints everywhere. The array, or links, must confirm a hint.
 _HINTS = set("header masthead overlay login status alert note legal disclaimer share sharing social related recommended skip toolbar".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -77,6 +81,7 @@ def _judge(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
         roles = set(a.get("role", "").split())
         whole = name in ("body", "html", "article", "main")
         drop = name in _DROPPED or bool(roles & _ROLES) or "hidden" in a or a.get("aria-hidden") == "true" or (not whole and bool(marks & _COMMENTS))
+        drop = drop or (name in _INLINE and bool(marks & _ADS) and marks - {""} <= _ADS)
         drop = drop or (name == "article" and bool(marks & {"comment", "comments", "ad", "ads", "advert", "related", "promo"}))
         body = name in ("article", "main") or bool(roles & {"main", "article"}) or "articlebody" in a.get("itemprop", "").split()
         named = not whole and bool(marks & _WORDS)
@@ -176,7 +181,7 @@ def read_blocks(page: str) -> list[Block]:
         inside, outside, contains, hint = _judge(name, attrs.removesuffix("/"))
         dropped = inside if body >= 0 else outside
         contains = contains and not dropped
-        if name not in _INLINE or dropped:
+        if name not in _INLINE or dropped or hint:
             flush()
         stack.append((name, drop, body, hints))
         opened[name] += 1
@@ -282,8 +287,26 @@ class Streams:
             windows = np.lib.stride_tricks.sliding_window_view(groups, WINDOW)
             first = np.flatnonzero(page[: len(windows)] == page[WINDOW - 1 :])
             out[first + np.argmin(windows[first], 1)] = True
+        out[self.settling(groups, at)[1]] = True
         return out
 
+    def settling(self, groups: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that settle each block of ``whole``: the first and the last within it, and the least of WINDOW in a row within it. For each
+        block where its part begins (and the end), and the numbers of the suffixes."""
+        which = self.whole()[0]
+        page = np.searchsorted(self.block_at, which, "right") - 1
+        n = np.diff(self.word_at)[which] - LONG + 1
+        ends = np.cumsum(n)
+        inside = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n)
+        number = np.repeat(at[page] + self.word_at[which] - self.page_at[page], n) + inside
+        picked = np.zeros(len(number), bool)
+        picked[ends - n] = picked[ends - 1] = True
+        if len(number) >= WINDOW:
+            windows = np.lib.stride_tricks.sliding_window_view(groups[number], WINDOW)
+            first = np.flatnonzero(inside + WINDOW <= np.repeat(n, n))
+            picked[first + np.argmin(windows[first], 1)] = True
+        return np.concatenate([[0], np.cumsum(picked)])[np.concatenate([[0], ends])], number[picked]
+
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         """The blocks of articles of LONG tokens or more (their numbers in the flat list), and a hash of the host and all their tokens."""
         which = np.flatnonzero(self.article & (np.diff(self.word_at) >= LONG))
@@ -336,12 +359,17 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, host) -> host, core, the article's blocks, and the page itself where something is open."""
+    """(page_id, url, html, host) -> host, core, the article's blocks with the suffixes that settle them, and the page itself where something is
+    open."""
     for b, streams in _pages(batches, 2, 3):
         which, keys = streams.whole()
+        groups, suffix_at = streams.groups()
+        parts, numbers = streams.settling(groups, suffix_at)
+        suffixes = pa.ListArray.from_arrays(pa.array(parts.astype(np.int32)), pa.array(groups[numbers]))
+        blocks = pa.StructArray.from_arrays([pa.array(keys), suffixes], ["key", "suffixes"])
         at = np.searchsorted(which, streams.block_at).astype(np.int32)
         page = pa.array([h if is_open else None for h, is_open in zip(b.column(2).to_pylist(), streams.open(), strict=True)], pa.string())
-        columns = [b.column(0), b.column(1), b.column(3), pa.array(streams.cores()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys)), page]
+        columns = [b.column(0), b.column(1), b.column(3), pa.array(streams.cores()), pa.ListArray.from_arrays(pa.array(at), blocks), page]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "core", "blocks", "open"])
 
 
@@ -361,23 +389,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html) -> page_id, url, text, for pages where nothing is open and no block is common."""
-    for b in batches:
-        rows, texts = [], []
-        for k, page in enumerate(b.column(2).to_pylist()):
-            blocks = read_blocks(page)
-            mine = [x for x in blocks if x.article]
-            if mine and not any(x.hint for x in mine) or not any(x.kept for x in blocks):
-                rows.append(k)
-                texts.append(" ".join(x.text for x in mine))
-        some = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-
 def _with_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page_id, url, html, host) -> page_id, url, host, core, the article's blocks and their hashes (0 for short ones), for pages
-    where nothing is open."""
+    where nothing is open: of these blocks those go that the array has found to be common."""
     for b, streams in _pages(batches, 2, 3):
         named = dict(zip(*(x.tolist() for x in streams.whole()), strict=True))
         rows = [k for k, is_open in enumerate(streams.open()) if not is_open]
@@ -395,15 +409,21 @@ def repeated_suffixes(pages: DataFrame) -> DataFrame:
     return every.groupBy("suffix").agg(F.min("core").alias("a"), F.max("core").alias("b")).filter("a <> b").select("suffix")
 
 
-def common_blocks(found: DataFrame) -> DataFrame:
-    """(host, core, common): for the pages with blocks that stand in most of the host's articles, and in MANY, these blocks.
-    ``found``: host, core, blocks; pages of equal text count once."""
-    articles = found.filter(F.size("blocks") > 0).select("host", "core", "blocks").dropDuplicates(["host", "core"])
-    each = articles.select("host", "core", F.explode(F.array_distinct("blocks")).alias("block"))  # a line may stand in a page many times
-    counts = each.groupBy("host", "block").agg(F.count("*").alias("n")).filter(F.col("n") >= MANY)
-    sizes = articles.groupBy("host").agg(F.count("*").alias("all"))
-    most = counts.join(sizes, "host").filter(2 * F.col("n") > F.col("all")).select("block")
-    return each.join(small(cut(most)), "block").groupBy("host", "core").agg(F.collect_set("block").alias("common"))  # at most a page's own blocks
+def common_blocks(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(host, core, common): for the pages with blocks that the array finds in most of the host's articles, and in MANY, these blocks.
+
+    ``found``: host, core, blocks (key, suffixes); ``repeated``: the groups of the array that hold more than one page. A group counts the articles
+    (pages of equal text once) whose blocks it settles; a block is common if each of its groups has enough of them."""
+    articles = found.filter(F.size("blocks") > 0)
+    each = articles.select("host", "core", F.explode("blocks").alias("b")).select("host", "core", "b.key", F.array_distinct("b.suffixes").alias("s"))
+    each = each.select("host", "core", "key", F.size("s").alias("size"), F.explode("s").alias("suffix"))
+    members = cut(each.join(small(repeated), "suffix", "left_semi").distinct())
+    counts = members.select("host", "core", "suffix").distinct().groupBy("host", "suffix").agg(F.count("*").alias("n")).filter(F.col("n") >= MANY)
+    sizes = articles.select("host", "core").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    most = cut(counts.join(sizes, "host").filter(2 * F.col("n") > F.col("all")).select("suffix"))
+    held = members.select("key", "size", "suffix").distinct().join(small(most), "suffix", "left_semi")
+    gone = cut(held.groupBy("key", "size").agg(F.count("*").alias("n")).filter("n = size").select("key"))
+    return members.select("host", "core", "key").join(small(gone), "key").groupBy("host", "core").agg(F.collect_set("key").alias("common"))  # at most a page's own blocks
 
 
 def _host(url: str) -> Column:
@@ -420,15 +440,12 @@ def extract(pages: DataFrame) -> DataFrame:
     source = pages.select("page_id", "url", text_or_empty("html").alias("_h"), _host("url").alias("_host"))
     ids = T.StructType([source.schema["page_id"], source.schema["url"]])
     repeated = cut(repeated_suffixes(source))
-    found = cut(source.mapInArrow(_marks, with_fields(ids, "host long, core long, blocks array<long>, open string")))
-    common = cut(common_blocks(found))
-    if common.isEmpty():
-        out = source.select("page_id", "url", "_h").mapInArrow(_decided, with_fields(ids, "text string"))
-    else:
-        done = source.mapInArrow(_with_blocks, with_fields(ids, "host long, core long, texts array<string>, keys array<long>")).join(small(common), ["host", "core"], "left")
-        listed = F.coalesce("common", F.array().cast("array<long>"))
-        text = F.transform(F.filter(F.arrays_zip("texts", "keys"), lambda x: ~F.array_contains(listed, x["keys"])), lambda x: x["texts"])
-        out = done.select("page_id", "url", F.array_join(text, " ").alias("text"))
+    found = cut(source.mapInArrow(_marks, with_fields(ids, "host long, core long, blocks array<struct<key:long,suffixes:array<long>>>, open string")))
+    common = cut(common_blocks(found, repeated))
+    done = source.mapInArrow(_with_blocks, with_fields(ids, "host long, core long, texts array<string>, keys array<long>")).join(small(common), ["host", "core"], "left")
+    listed = F.coalesce("common", F.array().cast("array<long>"))
+    text = F.transform(F.filter(F.arrays_zip("texts", "keys"), lambda x: ~F.array_contains(listed, x["keys"])), lambda x: x["texts"])
+    out = done.select("page_id", "url", F.array_join(text, " ").alias("text"))
     open_pages = found.filter("open is not null").select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "open", "host", "core")
     if not open_pages.isEmpty():
         open_pages = cut(open_pages)

@@ -128,6 +128,24 @@ def test_blocks_of_most_articles_go_and_copies_stay(spark):
         assert got[k] == (f"{one} {passage} {two}" if k >= 12 or k % 3 == 0 else f"{one} {two}")
 
 
+def test_the_array_settles_blocks_of_articles(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    notice = words("n", 11)  # stands three or four times in a block: no block stands in most articles, each of its substrings does
+    rows = [("http://a.example/%d" % k, f"<article><p>{words(k, 20)}</p><p>{' '.join([notice] * (3 + k % 2))}</p><p>{notice} {words(k + 50, 3)}</p></article>") for k in range(10)]
+    source = pages(spark, rows).select("page_id", "url", F.col("html").alias("_h"), webtext._host("url").alias("_host"))
+    got = {r.page_id: r.text for r in webtext.extract(pages(spark, rows)).collect()}
+    assert got == {k: f"{words(k, 20)} {notice} {words(k + 50, 3)}" for k in range(10)}
+    found = source.mapInArrow(webtext._marks, webtext.with_fields(source.select("page_id", "url").schema, "host long, core long, blocks array<struct<key:long,suffixes:array<long>>>, open string"))
+    repeated = webtext.repeated_suffixes(source)
+    assert webtext.common_blocks(found, repeated).count() == 10
+    assert webtext.common_blocks(found, repeated.limit(0)).count() == 0
+
+
+def test_inline_hints_hold_their_own_text_only():
+    blocks = webtext.read_blocks('<main>own words <span class="notice">more</span> end</main>')
+    assert [(b.text, b.hint) for b in blocks] == [("own words", False), ("more", True), ("end", False)]
+
+
 def test_sparse_suffixes_cover_what_is_repeated():
     rng = random.Random(11)
     token = lambda: f"t{rng.randrange(10**6)}"
