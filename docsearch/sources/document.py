@@ -24,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from docsearch.sources.files import exists, place, write_whole
 
 PIECE = 4 << 20
+#: Characters of a value by which rows of one key are dealt.
+PREFIX = 16
 
 
 @dataclass
@@ -97,12 +99,17 @@ class OneDocument(DataSource):
         return Writer(dict(self.options), overwrite)
 
 
+def dealt(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Column value of ``rows``, sorted by the columns ``order`` (then by value). Ranges are cut by ``order`` and the first characters of
+    value, as Spark brings a sample of what it cuts by to the driver."""
+    return rows.repartitionByRange(*order, F.substring("value", 1, PREFIX)).sortWithinPartitions(*order, "value").select("value")
+
+
 def write(rows: DataFrame, path: str, order: list[str], head: str = "", empty: str = "", between: str = "\n", tail: str = "", overwrite: bool = True) -> None:
     """Writes column value of ``rows``, sorted by the columns ``order`` (then by value), as one file at ``path``."""
     rows.sparkSession.dataSource.register(OneDocument)
-    dealt = rows.repartitionByRange(*order, "value").sortWithinPartitions(*order, "value").select("value")
     options = {"head": head, "empty": empty, "between": between, "tail": tail}
-    dealt.write.format("one_document").options(**options).mode("overwrite" if overwrite else "append").save(path)
+    dealt(rows, order).write.format("one_document").options(**options).mode("overwrite" if overwrite else "append").save(path)
 
 
 def described(rows_of: DataFrame, path: str) -> DataFrame:
