@@ -17,7 +17,7 @@ from docsearch.plans.query import term as term_test
 from docsearch.sources import document, export, folders, ranges
 from docsearch.sources.corpus import MAX_BYTES, corpus, fetch_content, limit_content, read_table, scan, union_scans, with_read_status
 from docsearch.sources.history_store import HistoryStore
-from docsearch.sources.scratch import new_path
+from docsearch.sources.scratch import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,13 +33,6 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, for queries that read it more than once."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def query(name: str, sql: str | None = None, with_corpus: bool = True) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +144,7 @@ filtered("f16_size_units", lambda: filters.size_between(F.col("size"), text.size
 computed("f17_split_and_clean", lambda: F.array_join(text.split_and_clean(c), "|"), r"array_to_string(list_filter(list_transform(string_split_regex(content, '[\n,]+'), lambda x: trim(x)), lambda x: x <> ''), '|')")
 
 _CLOSE_TERMS = ("ortoin", "threoa", "estoin", "andred", "ingtion", "thwhhe")
-on_corpus("c14_fuzzy_by_vocabulary", " UNION ALL ".join(f"SELECT '{t}' AS term, doc_id FROM corpus WHERE {_fuzzy_sql(t)}" for t in _CLOSE_TERMS))(lambda d: fuzzy.documents_with(_stored(fuzzy.postings(d)), list(_CLOSE_TERMS)))
+on_corpus("c14_fuzzy_by_vocabulary", " UNION ALL ".join(f"SELECT '{t}' AS term, doc_id FROM corpus WHERE {_fuzzy_sql(t)}" for t in _CLOSE_TERMS))(lambda d: fuzzy.documents_with(stored(fuzzy.postings(d)), list(_CLOSE_TERMS)))
 
 # --- content predicates --------------------------------------------------------------------------------------------------------
 filtered("c1_term", lambda: term_test(c, "Estion"), "contains(lower(content), 'estion')")
@@ -624,7 +617,7 @@ _DOCUMENTS_SQL = " UNION ALL ".join(
 @on_results("s6_to_s9_documents", f"{_EXPORTED} {_DOCUMENTS_SQL}", most=8000)
 def _s6_to_s9(d: DataFrame, r: DataFrame) -> DataFrame:
     """Each format's one file, in order, by its number of entries, bytes and digest."""
-    path, exported, out = new_path(d.sparkSession), _stored(export.export_rows(r, d)), None
+    path, exported, out = new_path(d.sparkSession), stored(export.export_rows(r, d)), None
     for kind in _DOCUMENTS:
         export.write_document(exported, kind, f"{path}/export.{kind}")
         row = document.described(d, f"{path}/export.{kind}").select(F.lit(kind).alias("kind"), "*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -27,3 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_dir(spark).rstrip('/')}/docsearch/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for what is read more than once."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

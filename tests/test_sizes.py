@@ -19,3 +19,15 @@ def test_documents_are_cut_by_keys_and_not_by_texts(spark):
     cut = next(x for x in plan(some).splitlines() if "RepartitionByExpression" in x)
     assert "substring(value" in cut and cut.count("value#") == 1
     assert [r.value for r in some.collect()] == [r.value for r in sorted(rows.collect())]
+
+
+def test_duplicate_groups_shuffle_digests(spark, monkeypatch):
+    texts = [f"{'text ' * 300}{k % 12}" if k % 2 else f"own {k}" for k in range(60)] + [None, None, "", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    few = {tuple(r) for r in duplicates.duplicate_groups(docs).collect()}
+    plans, kept = [], duplicates.stored
+    monkeypatch.setattr(duplicates, "stored", lambda df: plans.append(plan(df)) or kept(df))
+    monkeypatch.setattr(duplicates, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in duplicates.duplicate_groups(docs).collect()} == few and len(few) == 32
+    joined = [p.split("Join LeftSemi", 1)[1].splitlines()[1] for p in plans if "Join LeftSemi" in p]
+    assert joined and all("sha2" in side and "Project" in side for side in joined)
