@@ -8,6 +8,7 @@ alternation of the terms, whose time grows with their number. The terms go to th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsearch.functions.arrow import steps, utf8
+
 #: Letters of all terms together: the automaton takes some 100 bytes for each.
 MOST_LETTERS = 2_000_000
+#: Bytes of text whose matches are held at once (or one text): a match takes some hundred times its own byte in Python.
+STEP_BYTES = 1 << 17
 SPANS = "array<struct<start:int,end:int,term:string>>"
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _automata: dict[tuple, object] = {}
@@ -38,6 +43,13 @@ def automaton(terms: tuple[str, ...]):
     return found
 
 
+def _kept(terms: list[str], case_sensitive: bool) -> tuple[str, ...]:
+    kept = tuple(sorted({t if case_sensitive else t.translate(_LOWER) for t in terms if t}))
+    if sum(map(len, kept)) > MOST_LETTERS:
+        raise ValueError(f"the terms have more than {MOST_LETTERS} letters; search them in parts")
+    return kept
+
+
 def longest_first(text: str, auto) -> list[tuple[int, int]]:
     """(start, end) of the matches that count, in order."""
     best: dict[int, int] = {}
@@ -53,16 +65,21 @@ def longest_first(text: str, auto) -> list[tuple[int, int]]:
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) in parts of about STEP_BYTES of text, however large Spark has made them."""
+    for b in batches:
+        for i, j in steps(utf8(b.column(1))[1], STEP_BYTES):
+            yield b.slice(i, j - i)
+
+
 def highlight_many(docs: DataFrame, terms: list[str], case_sensitive: bool = False, key: str = "doc_id", content: str = "content", before: str = "<mark>", after: str = "</mark>") -> DataFrame:
     """key, marked (the text with its matches between ``before`` and ``after``) and spans (start, end, term as it stands in the text; code points,
     the end exclusive) for every row. Without case A-Z count as a-z, as in the patterns of this package. Null texts stay null, without spans."""
-    kept = tuple(sorted({t if case_sensitive else t.translate(_LOWER) for t in terms if t}))
-    if sum(map(len, kept)) > MOST_LETTERS:
-        raise ValueError(f"the terms have more than {MOST_LETTERS} letters; search them in parts")
+    kept = _kept(terms, case_sensitive)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(kept) if kept else None
-        for b in batches:
+        for b in _parts(batches):
             marked, starts, ends, found, sizes = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 spans = longest_first(text if case_sensitive else text.encode().lower().decode(), auto) if text and auto else []
@@ -84,8 +101,23 @@ def highlight_many(docs: DataFrame, terms: list[str], case_sensitive: bool = Fal
 
 
 def match_counts(docs: DataFrame, terms: list[str], case_sensitive: bool = False, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """term (in lower case unless ``case_sensitive``), n, documents: the counting matches of all texts. Counts are added up in the tasks first."""
-    spans = highlight_many(docs, terms, case_sensitive, key, content).select(key, F.explode("spans").alias("s"))
-    term = F.col("s.term") if case_sensitive else F.translate("s.term", "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123))))
-    each = spans.groupBy(key, term.alias("term")).agg(F.count("*").alias("n"))
+    """term (in lower case unless ``case_sensitive``), n, documents: the counting matches of all texts. Counts are added up by text in
+    the tasks first."""
+    kept = _kept(terms, case_sensitive)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = automaton(kept) if kept else None
+        for b in _parts(batches):
+            rows, found, counts = [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                if text and auto:
+                    text = text if case_sensitive else text.encode().lower().decode()
+                    each = Counter(text[s:e] for s, e in longest_first(text, auto))
+                    rows += [k] * len(each)
+                    found += each
+                    counts += each.values()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(counts, pa.int64())], [key, "term", "n"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    each = docs.select(key, content).mapInArrow(run, f"`{key}` {kind}, term string, n long").groupBy(key, "term").agg(F.sum("n").alias("n"))
     return each.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))

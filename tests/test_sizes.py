@@ -21,6 +21,14 @@ def test_documents_are_cut_by_keys_and_not_by_texts(spark):
     assert [r.value for r in some.collect()] == [r.value for r in sorted(rows.collect())]
 
 
+def test_matches_of_few_texts_are_held_at_once():
+    texts = ["ab " * 5000] * 100 + ["ab" * many_terms.STEP_BYTES, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "content"])
+    parts = list(many_terms._parts([batch.slice(0, 50), batch.slice(50)]))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= many_terms.STEP_BYTES for b in parts)
+
+
 def test_duplicate_groups_shuffle_digests(spark, monkeypatch):
     texts = [f"{'text ' * 300}{k % 12}" if k % 2 else f"own {k}" for k in range(60)] + [None, None, "", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
