@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docsearch.functions.arrays import let, running_sums
 from docsearch.functions.arrow import steps, utf8
+from docsearch.sources.scratch import stored
 
 WORD_CHARS = "A-Za-z0-9_À-ÿ"
 _RUN = f"[{WORD_CHARS}]+"
@@ -101,9 +102,34 @@ def word_distance(i: Column, j: Column) -> Column:
     return F.when((i < 0) | (j < 0), -1).otherwise(F.abs(i - j))
 
 
-def boundary_positions(token_table: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, pos of every start of a word and of every place after its end."""
-    return token_table.select(key, F.explode(F.array(F.col("start"), F.col("end") + 1)).alias("pos")).distinct()
+#: Keys of several rows that ``boundary_positions`` broadcasts.
+REPEATED_KEYS = 200_000
+
+
+def boundary_positions(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """key, pos of every start of a word and of every place after its end, once each.
+
+    In one text no place is both, as a word is followed by a character of no word; so nothing is shuffled but the keys, and the
+    places of keys that several rows have (all places, if such keys are too many to broadcast)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole, offsets = utf8(b.column(1))
+            for i, j in steps(offsets):
+                row, _, _, places = _scan(whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + np.repeat(row, 2))), pa.array(places.T.reshape(-1).astype(np.int32))], [key, "pos"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.filter(F.col(content).isNotNull()).select(key, content)
+    again = stored(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_again")))
+    places = lambda some: some.mapInArrow(run, f"`{key}` {kind}, pos int")
+    many = again.limit(REPEATED_KEYS + 1).count()
+    if not many:
+        return places(rows)
+    if many > REPEATED_KEYS:
+        return places(rows).distinct()
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return places(rows.join(F.broadcast(again), same, "left_anti")).unionByName(places(rows.join(F.broadcast(again), same, "left_semi")).distinct())
 
 
 def nearest_words(content: Column, one: str, two: str) -> Column:

@@ -427,7 +427,7 @@ def _d21_groups(d: DataFrame) -> DataFrame:
 
 @on_tokens("d19_boundaries", 'SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, start AS pos FROM toks UNION ALL SELECT doc_id, "end" + 1 FROM toks)')
 def _d19(d: DataFrame, t: DataFrame) -> DataFrame:
-    return tokens.boundary_positions(t)
+    return tokens.boundary_positions(d)
 
 
 at_first("d19_is_whole_word", lambda at: positions.whole_word_at(c, at, 6), "NOT ((@ > 0 AND regexp_matches(substr(content, @, 1), '[A-Za-z0-9_]')) OR regexp_matches(substr(content, @ + 7, 1), '[A-Za-z0-9_]'))")

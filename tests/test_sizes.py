@@ -39,3 +39,15 @@ def test_duplicate_groups_shuffle_digests(spark, monkeypatch):
     assert {tuple(r) for r in duplicates.duplicate_groups(docs).collect()} == few and len(few) == 32
     joined = [p.split("Join LeftSemi", 1)[1].splitlines()[1] for p in plans if "Join LeftSemi" in p]
     assert joined and all("sha2" in side and "Project" in side for side in joined)
+
+
+def test_boundaries_shuffle_no_places(spark, monkeypatch):
+    rows = [(1, "one two x three"), (2, "Ünder_score  été"), (None, "ab cd"), (3, None), (4, ""), (5, "ab cd")]
+    expected = lambda docs: sorted(map(str, tokens.tokens(docs).select("doc_id", F.explode(F.array("start", F.col("end") + 1)).alias("pos")).distinct().collect()))
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    got = tokens.boundary_positions(docs)
+    assert sorted(map(str, got.collect())) == expected(docs) and "Aggregate" not in plan(got) and "Join" not in plan(got)
+    again = docs.unionByName(docs).unionByName(spark.createDataFrame([(1, "one more text"), (9, "last one")], docs.schema))
+    assert sorted(map(str, tokens.boundary_positions(again).collect())) == expected(again)
+    monkeypatch.setattr(tokens, "REPEATED_KEYS", 1)
+    assert sorted(map(str, tokens.boundary_positions(again).collect())) == expected(again)
