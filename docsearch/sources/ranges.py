@@ -22,10 +22,13 @@ from docsearch.operators.positions import positions
 from docsearch.plans.query import Node, Settings, compile_query
 from docsearch.sources.files import place
 from docsearch.sources.folders import Reader as Folders
+from docsearch.sources.scratch import stored
 
 SCHEMA = "file_path string, chunk_no long, start_byte long, before string, own_chars long, chunk string"
 #: Bytes of a range, characters of overlap, bytes of ranges that one task reads.
 SIZE, OVERLAP, TASK_BYTES = 64 << 10, 1 << 10, 32 << 20
+#: Tasks beyond which they are made larger.
+MOST_TASKS = 1000
 
 
 def _begin(data: bytes, at: int) -> int:
@@ -64,6 +67,9 @@ class RangeReader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         found = [r for r in Folders({"roots": self.options["roots"], "content": "false"}).listed() if r[4]]
+        # an asked-for task is the least: with more than MOST_TASKS of them in all, tasks grow up to TASK_BYTES
+        total = sum(-(-r[4] // self.size) for r in found)
+        self.each = max(self.each, min(-(-total // MOST_TASKS), TASK_BYTES // self.size))
         parts = []
         for root, name, _, _, length, *_ in found:
             many = -(-length // self.size)
@@ -136,5 +142,6 @@ def places(rows: DataFrame, term: str, overlap: int = OVERLAP, whole_word: bool
     """file_path, pos of every occurrence (in characters of the whole file), equal to a search of the whole text."""
     if len(term) >= overlap:
         raise ValueError("a term longer than the overlap can be cut off by it")
-    found = rows.select("file_path", "chunk_no", F.explode(hits(term, whole_word)).alias("_i"))
-    return found.join(starts(rows), ["file_path", "chunk_no"]).select("file_path", (F.col("start") + F.col("_i")).alias("pos"))
+    seen = stored(rows.select("file_path", "chunk_no", "own_chars", hits(term, whole_word).alias("_at")))  # the file is read once
+    found = seen.filter(F.size("_at") > 0).join(starts(seen), ["file_path", "chunk_no"])
+    return found.select("file_path", F.explode("_at").alias("_i"), "start").select("file_path", (F.col("start") + F.col("_i")).alias("pos"))

@@ -41,6 +41,13 @@ def test_duplicate_groups_shuffle_digests(spark, monkeypatch):
     assert joined and all("sha2" in side and "Project" in side for side in joined)
 
 
+def test_one_large_file_is_a_bounded_number_of_tasks(tmp_path):
+    (tmp_path / "all.txt").write_bytes(b"x" * 300_001)
+    parts = ranges.RangeReader({"roots": json.dumps([str(tmp_path)]), "size": "10", "overlap": "2", "task_bytes": "10"}).partitions()
+    assert len(parts) <= ranges.MOST_TASKS and sum(p.ranges for p in parts) == 30_001
+    assert all(a.first + a.ranges == b.first for a, b in zip(parts[:-1], parts[1:], strict=True))
+
+
 def test_boundaries_shuffle_no_places(spark, monkeypatch):
     rows = [(1, "one two x three"), (2, "Ünder_score  été"), (None, "ab cd"), (3, None), (4, ""), (5, "ab cd")]
     expected = lambda docs: sorted(map(str, tokens.tokens(docs).select("doc_id", F.explode(F.array("start", F.col("end") + 1)).alias("pos")).distinct().collect()))
