@@ -557,9 +557,9 @@ def _s4_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_ = F.regexp_extract("file_path", "_([0-9]+)[^/]*$", 1).cast("long")
     wanted = folders.files(spark, folder, content=False).select(F.regexp_extract("file_path", "([^/]+/[^/]+)$", 1).alias("name"), "file_path", id_.alias("id"))
     asked = F.when(F.col("id") % 4 == 0, F.concat("file_path", F.lit(".gone"))).when(F.col("id") % 4 == 1, F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)).otherwise(F.col("file_path"))
-    named = wanted.select("name", asked.alias("file_path"))
-    got = folders.fetch(spark, named.select("file_path").distinct())
-    return named.join(got, "file_path").select("name", "error", F.md5("content").alias("md5"))
+    named = stored(wanted.select("name", asked.alias("file_path")))
+    got = folders.fetch(spark, named.select("file_path").distinct()).select("file_path", "error", F.md5("content").alias("md5"))
+    return named.join(got, "file_path").select("name", "error", "md5")
 
 
 @query("f13_errors_of_reads", """SELECT lang || '/' || doc_id || '.gone' AS name, 'ENOENT' AS code FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL""", with_corpus=False)

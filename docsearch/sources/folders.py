@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import datasource as ds
 
 from docsearch.sources.files import place
+from docsearch.sources.scratch import stored
 
 SCHEMA = "root string, file_path string, ext string, depth int, size long, mtime timestamp, content string, read_error string, code string, message string"
 #: Why a file can't be read, by the system's code (fixed values); any other code is a readError.
 CAUSES = {"EPERM": "readPermissionDenied", "EACCES": "readPermissionDenied", "ENOENT": "fileNotFoundDuringRead", "EISDIR": "pathIsDir"}
 #: Bytes that a task reads, what opening a file costs in bytes, rows and bytes of a batch, and folders listed at once.
 TASK_BYTES, OPEN_BYTES, BATCH_ROWS, BATCH_BYTES, LISTERS = 64 << 20, 64 << 10, 4096, 8 << 20, 16
+#: Paths that a task of ``fetch`` reads.
+FETCH_FILES = 2000
 
 Row = tuple  # of the columns of SCHEMA
 
@@ -207,8 +210,8 @@ def path_errors(found: DataFrame) -> DataFrame:
 
 
 def fetch(spark: SparkSession, wanted: DataFrame, batch: int = 256) -> DataFrame:
-    """file_path, content, error for every path of ``wanted``, read from the file systems by the tasks that hold the rows. Each cause of a
-    failure has its key; a null or empty path has "noFilePath"."""
+    """file_path, content, error for every path of ``wanted``, read from the file systems by tasks of about FETCH_FILES paths: paths are
+    short, so tasks of a size in bytes would be few. Each cause of a failure has its key; a null or empty path has "noFilePath"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader({"roots": "[]"})
@@ -228,7 +231,8 @@ def fetch(spark: SparkSession, wanted: DataFrame, batch: int = 256) -> DataFrame
                         rows.append((None, "readError"))
                 yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(pa.array(c, pa.string()) for c in zip(*rows, strict=True))], ["file_path", "content", "error"])
 
-    return wanted.select(F.col("file_path").cast("string")).mapInArrow(run, "file_path string, content string, error string")
+    paths = stored(wanted.select(F.col("file_path").cast("string")))
+    return paths.repartition(max(1, -(-paths.count() // FETCH_FILES))).mapInArrow(run, "file_path string, content string, error string")
 
 
 def utc(text: str) -> datetime:

@@ -41,6 +41,15 @@ def test_duplicate_groups_shuffle_digests(spark, monkeypatch):
     assert joined and all("sha2" in side and "Project" in side for side in joined)
 
 
+def test_paths_are_fetched_by_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "FETCH_FILES", 3)
+    for k in range(10):
+        (tmp_path / f"{k}.txt").write_text(str(k))
+    got = folders.fetch(spark, spark.createDataFrame([(f"{tmp_path}/{k}.txt",) for k in range(11)], "file_path string").coalesce(1))
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted((r.content, r.error) for r in got.collect() if r.content) == [(str(k), None) for k in range(10)] and got.count() == 11
+
+
 def test_one_large_file_is_a_bounded_number_of_tasks(tmp_path):
     (tmp_path / "all.txt").write_bytes(b"x" * 300_001)
     parts = ranges.RangeReader({"roots": json.dumps([str(tmp_path)]), "size": "10", "overlap": "2", "task_bytes": "10"}).partitions()
