@@ -639,8 +639,8 @@ def _s11(d: DataFrame, r: DataFrame) -> DataFrame:
     old = F.regexp_extract(paths.base_name(p), "[0-9]+", 0).cast("long") % 3 == 0
     loads = [("first", r.filter(old), "skip"), ("skip", r, "skip"), ("replace", r, "replace")]
     parts = [export.materialise(some, d, folder, how).groupBy("outcome").agg(F.count("*").alias("names")).select(F.lit(load).alias("load"), "outcome", "names") for load, some, how in loads]
-    there = folders.files(d.sparkSession, folder)
-    parts += [there.select(F.lit("found").alias("load"), F.lit("bytes").alias("outcome"), F.sum(F.octet_length("content").cast("long")).alias("names")), there.select(F.lit("found").alias("load"), F.lit("files").alias("outcome"), F.count("*").alias("names"))]
+    there = stored(folders.files(d.sparkSession, folder).agg(F.sum(F.octet_length("content").cast("long")).alias("bytes"), F.count("*").alias("files")))
+    parts.append(there.unpivot([], ["bytes", "files"], "outcome", "names").select(F.lit("found").alias("load"), "outcome", "names"))
     return union_all(parts)
 
 

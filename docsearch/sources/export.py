@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docsearch.functions import paths
 from docsearch.sources import document, folders
 from docsearch.sources.files import place, write_whole
-from docsearch.sources.scratch import new_path
+from docsearch.sources.scratch import new_path, stored
 
 
 def export_rows(results: DataFrame, docs: DataFrame) -> DataFrame:
@@ -88,14 +88,20 @@ def path_list(results: DataFrame, selected: DataFrame | None = None) -> DataFram
 def named_copies(results: DataFrame, docs: DataFrame, conflict: str = "skip") -> DataFrame:
     """name, file_path, content of the matched documents as they are to be copied to one place: of several with one base name
     the first by path stays, or with ``conflict`` "replace" the last."""
-    matched = docs.select("file_path", "content").join(results.filter("matched").select("file_path").distinct(), "file_path", "left_semi")
+    return _picked(results, docs, conflict).join(docs.select("file_path", "content"), "file_path").select("name", "file_path", "content")
+
+
+def _picked(results: DataFrame, docs: DataFrame, conflict: str) -> DataFrame:
+    """name, file_path of ``named_copies``, told from paths alone."""
+    matched = docs.select("file_path").join(results.filter("matched").select("file_path"), "file_path", "left_semi")
     pick = F.min if conflict == "skip" else F.max
-    first = matched.groupBy(paths.base_name(F.col("file_path")).alias("name")).agg(pick("file_path").alias("file_path"))
-    return first.join(matched, "file_path").select("name", "file_path", "content")
+    return matched.groupBy(paths.base_name(F.col("file_path")).alias("name")).agg(pick("file_path").alias("file_path"))
 
 
 #: What can become of a name in ``materialise``.
 COPIED, SKIPPED, REPLACED, FAILED = "copied", "skipped", "replaced", "failed"
+#: Files that a task of ``materialise`` writes.
+PUT_FILES = 2000
 
 
 def _put(folder: str):
@@ -136,7 +142,8 @@ def materialise(results: DataFrame, docs: DataFrame, folder: str, conflict: str
     """Copies the matched documents into ``folder``, a file for each base name, and returns name, file_path, outcome, error of all of them.
 
     Each name is settled for itself against what the folder held before: with "skip" it stays as it is, with "replace" it is
-    written anew; names that the results don't have aren't touched. A name that can't be written is a row with its error. Run again
+    written anew; names that the results don't have aren't touched. Names are settled without the contents, and files are dealt to tasks by
+    their number, as writing one costs more than its bytes. A name that can't be written is a row with its error. Run again
     after a loss, "replace" gives the same files, and "skip" writes those that are missing."""
     if conflict not in ("skip", "replace"):
         raise ValueError("a conflict is settled by skip or replace")
@@ -146,13 +153,16 @@ def materialise(results: DataFrame, docs: DataFrame, folder: str, conflict: str
     before = listed.distinct()
     before.write.parquet(f"{path}/before")  # what the folder holds now, not what it will hold when a task reads this again
     before = spark.read.schema(before.schema).parquet(f"{path}/before").withColumn("there", F.lit(True))
-    named = named_copies(results, docs, conflict).join(before, "name", "left").select("name", "file_path", "content", F.coalesce("there", F.lit(False)).alias("there"))
+    named = stored(_picked(results, docs, conflict).join(before, "name", "left").select("name", "file_path", F.coalesce("there", F.lit(False)).alias("there")))
     stays = F.col("there") if conflict == "skip" else F.lit(False)
-    done = named.filter(~stays).mapInArrow(_put(folder), "name string, file_path string, there boolean, error string")
+    written = named.filter(~stays)
+    tasks = max(1, -(-written.count() // PUT_FILES))
+    texts = written.join(docs.select("file_path", "content"), "file_path").select("name", "file_path", "content", "there").repartition(tasks)
+    done = texts.mapInArrow(_put(folder), "name string, file_path string, there boolean, error string")
     outcome = F.when(F.col("error").isNotNull(), FAILED).when(F.col("there"), REPLACED).otherwise(COPIED)
     rows = done.select("name", "file_path", outcome.alias("outcome"), "error")
     rows.write.parquet(f"{path}/outcome")  # the copying happens here, once
-    kept = named.filter(stays).select("name", "file_path", F.lit(SKIPPED).alias("outcome"), F.lit(None).cast("string").alias("error"))
+    kept = named.filter(stays).join(docs.select("file_path"), "file_path").select("name", "file_path", F.lit(SKIPPED).alias("outcome"), F.lit(None).cast("string").alias("error"))
     return spark.read.schema(rows.schema).parquet(f"{path}/outcome").unionByName(kept)
 
 

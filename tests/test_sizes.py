@@ -67,3 +67,12 @@ def test_boundaries_shuffle_no_places(spark, monkeypatch):
     assert sorted(map(str, tokens.boundary_positions(again).collect())) == expected(again)
     monkeypatch.setattr(tokens, "REPEATED_KEYS", 1)
     assert sorted(map(str, tokens.boundary_positions(again).collect())) == expected(again)
+
+
+def test_copies_are_dealt_by_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(export, "PUT_FILES", 2)
+    docs = spark.createDataFrame([(f"/c/{k}.txt", f"text {k}") for k in range(10)], "file_path string, content string").coalesce(1)
+    done = export.materialise(docs.select("file_path", F.lit(True).alias("matched")), docs, f"{tmp_path}/out", "replace")
+    assert {r.outcome for r in done.collect()} == {"copied"} and done.count() == 10
+    assert len([x for x in done.inputFiles() if "/outcome/" in x]) == 5
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == [f"{k}.txt" for k in range(10)]
