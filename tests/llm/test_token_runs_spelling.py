@@ -227,3 +227,11 @@ def test_greatest_run_and_empty_table(spark):
     assert runs.digests(docs).collect() == []
     one = runs.digests(documents(spark, [None], [None])).collect()[0]
     assert (one.doc_id, one.n_runs, one.start, one.exponent_milli) == (None, 0, None, None)
+
+
+def test_white_space_behind_spaces_and_line_feeds_is_found():
+    e = planes.encoder(TOKENIZER)
+    white = [" ", "\n", *planes._WHITE]
+    texts = [f"{a}one{x}{y}two{z}" for x in white for y in white for a in ("", x) for z in ("", y)] + ["a\1b  c", "\2", "tab\tin words"]
+    assert all((planes.Encoder._odd.search(f"{x}{y}") is not None) == (x in " \n") for x in white for y in white)
+    assert e.encode(texts) == [e.whole(t) for t in texts]
