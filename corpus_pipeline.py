@@ -8,6 +8,9 @@ twice); the last stage encodes the texts and decodes them again.
 
 from __future__ import annotations
 
+import secrets
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,8 @@ TARGETS = {"clean": 0.945, "low": 0.05, "toxic": 0.005}
 #: The session setting that names the secret key of the pseudonyms, and the key where it is unset (local masters only: whoever has the
 #: key can turn pseudonyms back).
 KEY_SETTING, TEST_KEY = "spark.docsearch.pii.key", "key of test runs"
+#: Random keys by application, of clusters whose sessions set none.
+_drawn: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -34,11 +39,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secret_key(spark: SparkSession) -> str:
-    """The key of the session. A cluster needs one of its own."""
+    """The key of the session. A cluster without one gets a random key for the application, as a known one would hide nothing: equal
+    values are then linked in all that the application makes, but not to what others have made."""
     key = spark.conf.get(KEY_SETTING, None)
-    if not key and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {KEY_SETTING} to a secret key: with a known one the pseudonyms hide nothing")
-    return key or TEST_KEY
+    if key or spark.sparkContext.master.startswith("local"):
+        return key or TEST_KEY
+    app = spark.sparkContext.applicationId
+    if app not in _drawn:
+        _drawn[app] = secrets.token_hex(32)
+        warnings.warn(f"pipeline: {KEY_SETTING} is unset; pseudonyms are those of a random key, and other applications will have others", stacklevel=2)
+    return _drawn[app]
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

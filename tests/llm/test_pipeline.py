@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from docsearch.llm import pii
 from docsearch.llm.common import cut, table
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,26 @@ def test_null_repeated_and_very_long_rows(spark):
     rows = docs.collect()
     assert len({r.doc_id for r in rows if r.doc_id is not None}) == sum(r.doc_id is not None for r in rows)
     assert not {9003} & {r.doc_id for r in rows}
+
+
+def test_cluster_without_a_key(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr("docsearch.sources.scratch.shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(corpus_pipeline, "_drawn", {}, raising=False)
+    texts = ["jane.roe@example.com or +1 (555) 123-4567", "ask jane.roe@example.com", "nothing to hide"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], table(spark, SF, "documents").schema)
+    hidden = lambda: [r.text for r in corpus_pipeline.hide_personal_data(spark, docs, SF).orderBy("doc_id").collect()]
+    with pytest.warns(UserWarning, match="random key"):
+        first = hidden()
+    known = [r.text for r in pii.mask(docs, corpus_pipeline.TEST_KEY).orderBy("doc_id").collect()]
+    assert first == hidden() and first[2] == texts[2]  # one key for the application
+    assert first[0].split(" or ")[0] == first[1].removeprefix("ask ")
+    assert all(a not in (b, c) for a, b, c in zip(first[:2], texts, known))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    monkeypatch.setattr(corpus_pipeline, "_drawn", {}, raising=False)
+    assert hidden() != first  # as another application would have it
+    spark.conf.set(corpus_pipeline.KEY_SETTING, "a key of the session")
+    try:
+        assert hidden() == [r.text for r in pii.mask(docs, "a key of the session").orderBy("doc_id").collect()]
+    finally:
+        spark.conf.unset(corpus_pipeline.KEY_SETTING)
